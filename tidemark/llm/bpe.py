@@ -27,8 +27,8 @@ from .common import documents_of
 WORD_END = "</w>"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: White space as the tokenizer's patterns see it; str.split() also splits at \x1c-\x1f.
-SPACE = "\t-\r \x85\xa0  -     　"
-_END = ""
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_END = "\ue000"
 #: Words whose encoding a worker remembers; past this many it starts anew.
 REMEMBERED = 300_000
 
