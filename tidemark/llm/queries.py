@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii
+from . import bpe, fingerprint, langid, packing, pii
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(docs, pii.train(docs)))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,7 +39,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op5_packing, op6_bpe, op7_langid)}
+    return {f.__name__: f for f in (op2_pii, op4_fingerprint, op5_packing, op6_bpe, op7_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
