@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, pii
+from . import bpe, fingerprint, langid, packing, pii, substring_dedup, suffix_dedup
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(docs, pii.train(docs)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(read_table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op4_fingerprint, op5_packing, op6_bpe, op7_langid)}
+    return {f.__name__: f for f in (op2_pii, op3_suffix_dedup, op4_fingerprint, op5_packing, op6_bpe, op7_langid, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
