@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, written
+from .common import carried, documents_of, written
 
 #: Units of one numpy pass, and bytes of representatives that are compared in one go.
 CHUNK, BLOCK = 1 << 20, 4 << 20
@@ -74,6 +74,26 @@ def byte_kmers(data: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def word_hashes(whole: bytes, sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """Hash, first byte and end of every word, and the first word and end of every piece.
+
+    whole: pieces of the given sizes end to end, in which one space follows every word.
+    """
+    data = np.frombuffer(whole, np.uint8)
+    word_ends = np.flatnonzero(data == 32)
+    word_starts = np.concatenate([[0], word_ends[:-1] + 1]) if len(word_ends) else word_ends
+    ends = np.searchsorted(word_starts, np.cumsum(sizes))
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    # the sum of a word's bytes times powers of an odd number, by prefix sums, over the first power
+    odd = 0x9E3779B97F4A7C15
+    base = np.full(len(data) + 1, odd, np.uint64)
+    base[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(base)[:-1])])
+    back = np.full(len(data) + 1, pow(odd, -1, 2**64), np.uint64)
+    back[0] = 1
+    return mixed((sums[word_ends] - sums[word_starts]) * np.cumprod(back)[word_starts]), word_starts, word_ends, starts, ends
+
+
 class Bytes:
     """Windows of bytes. Long documents are cut into overlapping chunks; where they are cut changes segments, not results."""
 
@@ -113,19 +133,7 @@ class Words:
 
     def found(self, pieces: list[bytes]):
         whole = b"".join(pieces)
-        data = np.frombuffer(whole, np.uint8)
-        word_ends = np.flatnonzero(data == 32)
-        word_starts = np.concatenate([[0], word_ends[:-1] + 1]) if len(word_ends) else word_ends
-        ends = np.searchsorted(word_starts, np.cumsum([len(p) for p in pieces]))
-        starts = np.concatenate([[0], ends[:-1]])
-        # a word's hash: sum of its bytes times powers of an odd number, by prefix sums, over the first power
-        base = np.full(len(data) + 1, 0x9E3779B97F4A7C15 | 1, np.uint64)
-        base[0] = 1
-        power = np.cumprod(base)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-        back = np.full(len(data) + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64), np.uint64)
-        back[0] = 1
-        words = mixed((sums[word_ends] - sums[word_starts]) * np.cumprod(back)[word_starts])
+        words, word_starts, word_ends, starts, ends = word_hashes(whole, [len(p) for p in pieces])
         kmers = words.copy()
         for j in range(1, self.k):
             kmers[:-j] = kmers[:-j] * np.uint64(0x5851F42D4C957F2D) + words[j:]
@@ -140,26 +148,26 @@ class Words:
         return [b" ".join(words[a : a + n + self.window - 1]) for a, n in places]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null: smallest), part, text. part tells rows of one id apart by their text; it is 0 where ids are unique.
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id (null: smallest), part, text, and the columns to carry. part tells rows of one id apart by their text; it is 0 where ids are unique.
 
     Rows that agree in both are the same text, so that whatever holds for one holds for the other.
     """
-    docs = documents_of(docs)
+    docs = documents_of(docs, carry)
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("most")).first()["most"]
     part = F.lit(0).cast("long") if (ids or 0) < 2 else F.xxhash64("text")
-    return docs.select(F.coalesce("doc_id", F.lit(SMALLEST)).alias("doc_id"), part.alias("part"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(SMALLEST)).alias("doc_id"), part.alias("part"), "text", *carry)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """keyed documents with z, the compressed text, so that what moves between machines is small."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             z = [squeeze(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(z, pa.binary())], ["doc_id", "part", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(z, pa.binary()), *[batch.column(c) for c in carry]], ["doc_id", "part", "z", *carry])
 
-    return docs.mapInArrow(run, "doc_id long, part long, z binary")
+    return docs.mapInArrow(run, "doc_id long, part long, z binary" + carried(docs, carry))
 
 
 def opened(z: bytes) -> str:

@@ -39,6 +39,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents_of(docs: DataFrame) -> DataFrame:
-    """The two columns that every text operator reads; other columns, also ones named like an operator's own, are left behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+def documents_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns that every text operator reads, and those to carry along; all others, also ones named like an operator's own, are left behind."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *carry)
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    """The carried columns as the end of a schema string."""
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import carried, documents_of
 
 #: Longest context in bytes; labelled documents sampled for each language; bytes of each that training reads.
 ORDER, SAMPLE, REMEMBERED = 4, 600, 400_000
@@ -127,8 +127,8 @@ def _scorer(broadcast) -> Scorer:
     return Scorer(broadcast.value)
 
 
-def identify(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) and bits_per_byte of every document.
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1) and bits_per_byte of every document, and the columns to carry.
 
     lang_pred is und, with score 0, where the text is null or has no letter, or where nothing was learned. Only the text is read. Whole
     texts are scored. Ties go to the language first in order. Repeated rows give repeated results; a null doc_id stays null.
@@ -144,6 +144,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFr
                 lang.append(a)
                 share.append(b)
                 bits.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(bits, pa.float64()), *[batch.column(c) for c in carry]], ["doc_id", "lang_pred", "score", "bits_per_byte", *carry])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    docs = documents_of(docs, tuple(c for c in carry if c not in ("doc_id", "text")))
+    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double" + carried(docs, carry))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, pii, substring_dedup, suffix_dedup
+from . import bpe, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, substring_dedup, suffix_dedup
 from .common import read_table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.digest(pii.spans(docs, pii.train(docs)))
@@ -42,12 +46,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents")).drop("part")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_suffix_dedup, op4_fingerprint, op5_packing, op6_bpe, op7_langid, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_mtree_topk, op2_pii, op3_suffix_dedup, op4_fingerprint, op5_packing, op6_bpe, op7_langid, op8_minhash_dedup, op9_substring_dedup, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import SMALLEST, Bytes, by_anchor, compressed, keyed, opened, repeated_segments, representatives
+from .common import carried
 
 #: Never a byte of UTF-8; ends every string of a block.
 END = 0xFF
@@ -154,17 +155,17 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with texts also the kept text, cut at whole characters.
+def deduplicate(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with texts also the kept text, cut at whole characters; and the columns to carry.
 
     Removed is each byte covered by a 200-byte string that starts at another place too, in this or another row; strings
     are judged on the input. Null text is empty text; rows that share a doc_id, or have none, are documents of their own. Texts
     under 200 bytes lose nothing. Other columns play no part.
     """
     scheme = Bytes()
-    docs = keyed(docs)
+    docs = keyed(docs, carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")] + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +176,7 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
                 row = (None if doc_id == SMALLEST else doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest())
                 rows.append((*row, kept(data, whole_characters(data, runs)).decode()) if texts else row)
             types = [pa.int64()] * 4 + [pa.string()] * (1 + texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)] + [batch.column(c) for c in carry], names)
 
-    joined = compressed(docs).join(marked(docs, scheme), ["doc_id", "part"], "left")
-    return joined.select("doc_id", "z", "marks").mapInArrow(run, schema)
+    joined = compressed(docs, carry).join(marked(docs, scheme), ["doc_id", "part"], "left")
+    return joined.select("doc_id", "z", "marks", *carry).mapInArrow(run, schema + carried(docs, carry))
