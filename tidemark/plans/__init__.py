@@ -1,0 +1,13 @@
+"""Queries of the engine's operators over the driver's tables, with the SQL that gives the same rows."""
+
+from . import analysis_queries, cohort_queries, evidence_queries, import_queries, series_queries, space_queries
+
+MODULES = (series_queries, evidence_queries, analysis_queries, space_queries, cohort_queries, import_queries)
+
+
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

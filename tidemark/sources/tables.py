@@ -84,7 +84,7 @@ def read_plan(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     if not path.rstrip("/").endswith(".csv"):
         df = spark.read.parquet(path)
     else:
-        header = [h.strip() for h in spark.read.text(path).first()[0].lstrip("﻿").split(",")]
+        header = [h.strip() for h in spark.read.text(path).first()[0].lstrip("\ufeff").split(",")]
         if len(set(header)) < len(header) or "" in header:
             raise ValueError(f"blank or repeated header: {header}")
         schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField("_extra", T.StringType())])
@@ -110,7 +110,7 @@ def canonical_boundaries(rows: DataFrame, fields: dict[str, list[str]], code: st
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """Wide exports in long form: source_file, date_text, position, label, value_text. The header is the first line whose first cell is a unit of time."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "﻿|\r", "").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "\ufeff|\r", "").alias("text"))
     lines = texts.select("source_file", F.posexplode(F.split("text", "\n")).alias("line", "content")).where("trim(content) <> ''")
     cells = lines.withColumn("cells", F.transform(F.split("content", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))))
     head = cells.where(F.lower(F.get("cells", F.lit(0))).isin("date", "day", "week", "month")).groupBy("source_file").agg(F.min("line").alias("head_line"), F.min_by("cells", "line").alias("labels"))
