@@ -115,15 +115,18 @@ class Bytes:
         seg = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + more).tolist())], np.uint64)
         return doc, first - starts[doc], n, kmers[place].view(np.int64), seg.view(np.int64)
 
-    def strings(self, text: str, places: list[tuple[int, int]]) -> list[bytes]:
-        data = text.encode("utf-8", "replace")
+    def strings(self, data: bytes, places: list[tuple[int, int]]) -> list[bytes]:
         return [data[a : a + n + self.window - 1] for a, n in places]
 
 
 class Words:
-    """Windows of words, that is, runs of bytes other than ASCII white space; a window is its words joined by one space."""
+    """Windows of words, that is, runs of bytes other than ASCII white space; a window is its words joined by one space.
+
+    Minimisers are ordered by how long their words are, the longest first, and then by hash: runs of short, common words occur again by
+    chance, and are minimisers only where a window has nothing else.
+    """
 
-    window, k = 13, 5
+    window, k = 13, 3
 
     def pieces(self, text: str) -> Iterator[tuple[int, bytes]]:
         words = text.encode("utf-8", "replace").split()
@@ -137,14 +140,17 @@ class Words:
         kmers = words.copy()
         for j in range(1, self.k):
             kmers[:-j] = kmers[:-j] * np.uint64(0x5851F42D4C957F2D) + words[j:]
-        kmers = mixed(kmers)
+        length = word_ends.copy()
+        length[: 1 - self.k] = word_ends[self.k - 1 :]
+        short = np.clip(63 - (length - word_starts), 0, 63).astype(np.uint64)
+        kmers = short << np.uint64(58) | mixed(kmers) >> np.uint64(6)
         doc, first, n, place = segments(kmers, starts, ends, self.window, self.k)
         view, digest, more = memoryview(whole), xxhash.xxh3_64_intdigest, self.window - 1
         seg = np.array([digest(view[a:b]) for a, b in zip(word_starts[first].tolist(), word_ends[first + n + more - 1].tolist())], np.uint64)
         return doc, first - starts[doc], n, kmers[place].view(np.int64), seg.view(np.int64)
 
-    def strings(self, text: str, places: list[tuple[int, int]]) -> list[bytes]:
-        words = text.encode("utf-8", "replace").split()
+    def strings(self, data: bytes, places: list[tuple[int, int]]) -> list[bytes]:
+        words = data.split()
         return [b" ".join(words[a : a + n + self.window - 1]) for a, n in places]
 
 
@@ -170,8 +176,20 @@ def compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, part long, z binary" + carried(docs, carry))
 
 
-def opened(z: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(z).decode("utf-8")
+def opened(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def marks_of(column: pa.Array) -> Iterator[tuple[list, list, list]]:
+    """Starts, windows and verdicts of each row's marks; empty lists for a row without any."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    marks = column.flatten()
+    starts, windows, verdicts = (marks.field(c).to_pylist() for c in ("start", "windows", "verdict"))
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        n = n or 0
+        yield starts[at : at + n], windows[at : at + n], verdicts[at : at + n]
+        at += n
 
 
 def all_segments(docs: DataFrame, scheme, anchors_only: bool = False) -> DataFrame:
@@ -205,10 +223,11 @@ def all_segments(docs: DataFrame, scheme, anchors_only: bool = False) -> DataFra
 
 def repeated_segments(docs: DataFrame, scheme) -> DataFrame:
     """Segments whose anchor occurs again, with how many there are, the smallest and largest doc_id, and whether they differ (several)."""
-    again = all_segments(docs, scheme, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # tables in between let Spark split the hot side of each join
+    again = written(all_segments(docs, scheme, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     hits = written(all_segments(docs, scheme).join(again, "anchor"), "hits")
     about = hits.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("seg") != F.max("seg")).alias("several"))
-    return written(hits.join(about, "anchor"), "segments")
+    return written(hits.join(written(about, "anchors"), "anchor"), "segments")
 
 
 def representatives(docs: DataFrame, hits: DataFrame, scheme) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import SMALLEST, Words, by_anchor, compressed, keyed, opened, repeated_segments, representatives
+from .anchored import SMALLEST, Words, by_anchor, compressed, keyed, marks_of, opened, repeated_segments, representatives
 
 
 def judge(rows: list[dict]) -> list[bytes]:
@@ -56,16 +57,17 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, z, marks in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("marks")):
-                words = opened(z.as_py()).encode("utf-8", "replace").split()
-                edge = np.zeros(len(words) + 1, np.int32)
-                for m in marks.as_py() or () if marks.is_valid else ():
-                    at = np.arange(m["windows"]) if m["verdict"] is None else np.flatnonzero(np.frombuffer(m["verdict"], "<i8") < doc_id)
-                    np.add.at(edge, m["start"] + at, 1)
-                    np.add.at(edge, m["start"] + at + scheme.window, -1)
-                stay = (np.cumsum(edge[:-1]) == 0).tolist()
-                left = b" ".join([w for w, s in zip(words, stay) if s])
-                row = (None if doc_id == SMALLEST else doc_id, len(words), stay.count(False), hashlib.sha256(left).hexdigest())
+            for doc_id, z, marks in zip(batch.column("doc_id").to_pylist(), batch.column("z"), marks_of(batch.column("marks"))):
+                words = opened(z.as_py()).split()
+                stay = bytearray(b"\1") * len(words)
+                for start, n, verdict in zip(*marks):
+                    if verdict is None:
+                        stay[start : start + n - 1 + scheme.window] = bytes(n - 1 + scheme.window)
+                    else:
+                        for j in np.flatnonzero(np.frombuffer(verdict, "<i8") < doc_id).tolist():
+                            stay[start + j : start + j + scheme.window] = bytes(scheme.window)
+                left = b" ".join(compress(words, stay))
+                row = (None if doc_id == SMALLEST else doc_id, len(words), stay.count(0), hashlib.sha256(left).hexdigest())
                 rows.append((*row, left.decode()) if texts else row)
             types = [pa.int64()] * 3 + [pa.string()] * (1 + texts)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
