@@ -122,3 +122,15 @@ def apply_decisions(decisions: DataFrame, members: DataFrame) -> DataFrame:
     rows = rows.withColumn("grp", group)
     ids = rows.groupBy("grp").agg(stable_id("ep_", F.array_join(F.array_sort(F.collect_list("event_id")), ";")).alias("new_id"))
     return rows.join(ids, "grp").select("event_id", "episode_key", "new_id")
+
+
+def slices(catalog: DataFrame) -> DataFrame:
+    """The episodes that diagnostics look at, once for each slice they are in: flagged for review, crossing the split, in several states."""
+    which = reasons((F.col("reasons") != "", "review_flagged"), (F.col("crosses_split"), "split_crossing"), (F.col("state_count") > 1, "multistate"))
+    return catalog.select("episode_key", "status", F.explode(which).alias("slice"))
+
+
+def features(catalog: DataFrame) -> DataFrame:
+    """Model features of each episode: sine and cosine of its month, log of its size and extent, and whether it is a primary unit (retained, in one state)."""
+    month = F.month("episode_start") * 2 * F.pi() / 12
+    return catalog.select("episode_key", F.sin(month).alias("season_sin"), F.cos(month).alias("season_cos"), F.log1p(F.col("member_count").cast("double")).alias("log_members"), F.log1p("diagonal_km").alias("log_diagonal"), ((F.col("status") == "retained") & (F.col("state_count") == 1)).alias("primary_unit"))

@@ -67,3 +67,9 @@ def temporal_quality(cohort: DataFrame) -> DataFrame:
 
 def monthly_counts(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy(F.date_format("start", "yyyy-MM").alias("month")).agg(F.count("*").alias("events"), F.sum((F.col("cohort_status") == "eligible").cast("long")).alias("eligible"))
+
+
+def state_records(cohort: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Rows of the bridge (event_id, state) whose event is not excluded, with the event's dates and status, and whether the state is its primary one."""
+    kept = cohort.where("cohort_status <> 'excluded'").select("event_id", "start", "end", "primary_state", "study_domain", "cohort_status")
+    return bridge.join(kept, "event_id").withColumn("is_primary_state", F.col("state").eqNullSafe(F.col("primary_state")))
