@@ -25,6 +25,8 @@ from .common import documents_of, partitions
 #: Cells of a fingerprint, and how many times more each retry takes.
 CELLS, GROWTH = 24, 4
 HASHES = 3
+#: Documents whose sketches are computed side by side.
+BLOCK = 128
 #: Ends of units: line ends, sentence ends, and before words that start with one of these letters.
 UNIT = re.compile(r"\n+|(?<=[.!?;]) +| +(?=[a-eA-E0-9])")
 #: Units longer than LONG, such as data without spaces, are cut further at these places.
@@ -51,75 +53,84 @@ def mixed(digests: np.ndarray, factor: np.uint64) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _CHECK
 
 
-class Sketch:
-    """counts, XOR of digests and XOR of check values in 3 equal tables of cells."""
+class Sketches:
+    """Sketches of many texts side by side: counts, sums of digests and sums of check values (modulo 2**64) in 3 equal tables of cells each."""
 
-    def __init__(self, cells: int, digests: np.ndarray | None = None):
-        self.third = max(1, cells // HASHES)
-        n = self.third * HASHES
+    def __init__(self, thirds: np.ndarray):
+        self.thirds = thirds
+        self.starts = np.cumsum(HASHES * thirds) - HASHES * thirds
+        n = int((HASHES * thirds).sum())
         self.counts, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        if digests is not None and len(digests):
-            self.add(digests, 1)
-
-    def places(self, digests: np.ndarray) -> np.ndarray:
-        return np.stack([(mixed(digests, m) >> np.uint64(20)) % np.uint64(self.third) + np.uint64(k * self.third) for k, m in enumerate(_MIX)]).astype(np.int64)
-
-    def add(self, digests: np.ndarray, sign) -> None:
-        at = self.places(digests).ravel()
-        if np.ndim(sign):
-            np.add.at(self.counts, at, np.tile(sign, HASHES))
-        else:
-            self.counts += sign * np.bincount(at, minlength=len(self.counts))
-        np.bitwise_xor.at(self.keys, at, np.tile(digests, HASHES))
-        np.bitwise_xor.at(self.checks, at, np.tile(mixed(digests, _MIX[0]) >> np.uint64(32), HASHES))
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(0)
-        out.third, out.counts, out.keys, out.checks = self.third, self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
+
+    def add(self, digests: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+        """Adds each digest to the sketch of its owner, or with sign -1 takes it away."""
+        third = self.thirds[owner]
+        checks, factor = mixed(digests, _MIX[0]) >> np.uint64(32), sign.astype(np.uint64)
+        for k, m in enumerate(_MIX):
+            at = self.starts[owner] + k * third + ((mixed(digests, m) >> np.uint64(20)) % third.astype(np.uint64)).astype(np.int64)
+            np.add.at(self.counts, at, sign)
+            np.add.at(self.keys, at, digests * factor)
+            np.add.at(self.checks, at, checks * factor)
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.thirds)
+        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests that only the first, and only the second, text has; None if cells remain that can't be told apart."""
-        found: list[np.ndarray] = []
-        signs: list[np.ndarray] = []
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many digests only the first, and only the second, of each pair has, and for which pairs peeling came to an end."""
+        pairs = len(self.thirds)
+        owner_of = np.repeat(np.arange(pairs), HASHES * self.thirds)
+        first, second = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
         for _ in range(len(self.counts) + 1):
-            pure = np.flatnonzero((np.abs(self.counts) == 1) & (mixed(self.keys, _MIX[0]) >> np.uint64(32) == self.checks))
-            if not len(pure):
+            sign = self.counts
+            pure = np.flatnonzero(np.abs(sign) == 1)
+            sign = sign[pure]
+            key = self.keys[pure] * sign.astype(np.uint64)
+            fine = mixed(key, _MIX[0]) >> np.uint64(32) == self.checks[pure] * sign.astype(np.uint64)
+            key, sign, owner = key[fine], sign[fine], owner_of[pure[fine]]
+            if not len(key):
                 break
-            digests, first = np.unique(self.keys[pure], return_index=True)
-            sign = self.counts[pure][first]
-            self.add(digests, -sign)
-            found.append(digests)
-            signs.append(sign)
-        if self.counts.any() or self.keys.any() or self.checks.any():
-            return None
-        d, s = (np.concatenate(found), np.concatenate(signs)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return d[s > 0], d[s < 0]
-
-    def text(self) -> str:
-        return base64.b85encode(self.counts.astype("<i2").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in a and only in b, from sketches of as many cells as it takes."""
-    while True:
-        got = Sketch(cells, a).minus(Sketch(cells, b)).peel()
-        if got is not None and len(a) - len(got[0]) == len(b) - len(got[1]):
-            return got
-        cells *= GROWTH
-
-
-def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> float:
-    """Share of common digests among all, 1 where both are empty."""
-    if not len(a) and not len(b):
-        return 1.0
+            order = np.lexsort((key, owner))
+            key, sign, owner = key[order], sign[order], owner[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            key, sign, owner = key[new], sign[new], owner[new]
+            self.add(key, owner, -sign)
+            first += np.bincount(owner[sign > 0], minlength=pairs)
+            second += np.bincount(owner[sign < 0], minlength=pairs)
+        left = (self.counts != 0) | (self.keys != 0) | (self.checks != 0)
+        return first, second, np.bincount(owner_of[left], minlength=pairs) == 0
+
+
+def sketched(texts: list[np.ndarray], thirds: np.ndarray) -> Sketches:
+    out = Sketches(thirds)
+    every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    out.add(every, np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.ones(len(every), np.int64))
+    return out
+
+
+def fingerprints(texts: list[np.ndarray], cells: int) -> list[str]:
+    s = sketched(texts, np.full(len(texts), max(1, cells // HASHES)))
+    rows = zip(*[x.astype(t).reshape(len(texts), -1) for x, t in ((s.counts, "<i2"), (s.keys, "<u8"), (s.checks, "<u4"))])
+    return [base64.b85encode(b"".join(part.tobytes() for part in row)).decode() for row in rows]
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """Share of common digests among all of each pair, 1 where both are empty; pairs that don't peel are sketched again with more cells."""
+    sizes_a, sizes_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     # one digest in eight, picked by its own bits, tells how many cells are worth a first try
-    some_a, some_b = a[a & np.uint64(7) == 0], b[b & np.uint64(7) == 0]
-    apart = len(np.setxor1d(some_a, some_b, assume_unique=True))
-    cells = max(cells, int(1.6 * max(8 * apart, abs(len(a) - len(b)))))
-    first, second = difference(a, b, cells)
-    common = len(a) - len(first)
-    return common / (len(a) + len(second))
+    apart = np.array([len(np.setxor1d(x[x & np.uint64(7) == 0], y[y & np.uint64(7) == 0], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+    tried = np.maximum(cells, (1.6 * np.maximum(8 * apart, np.abs(sizes_a - sizes_b))).astype(np.int64))
+    out, waiting = np.zeros(len(a)), np.arange(len(a))
+    while len(waiting):
+        thirds = np.maximum(1, tried[waiting] // HASHES)
+        first, second, done = sketched([a[k] for k in waiting], thirds).minus(sketched([b[k] for k in waiting], thirds)).peel()
+        done &= sizes_a[waiting] - first == sizes_b[waiting] - second
+        common, whole = sizes_a[waiting] - first, sizes_a[waiting] + second
+        out[waiting[done]] = np.where(whole > 0, common / np.maximum(whole, 1), 1.0)[done]
+        waiting = waiting[~done]
+        tried[waiting] *= GROWTH
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -164,24 +175,29 @@ def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
                     row = (part, guard, doc_id, text.as_py())
                     digests = unit_digests(row[3])
                     if last and last[0][0] == part and not last[0][1]:
-                        yield one(*last, row[3], digests)
+                        yield (*last, row[3], digests)
                     last = (row, digests)
 
-        def one(row, digests, following: str, next_digests):
-            _, _, doc_id, text = row
-            new = edited(text, following)
-            new_digests = unit_digests(new)
-            return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), Sketch(cells, digests).text(), Sketch(cells, new_digests).text(), likeness(digests, new_digests, cells), likeness(digests, next_digests, cells), len(digests))
-
-        block = []
+        def settled(held) -> pa.RecordBatch:
+            texts, digests, following, after = [h[0][3] for h in held], [h[1] for h in held], [h[2] for h in held], [h[3] for h in held]
+            new = [edited(t, f) for t, f in zip(texts, following)]
+            changed = [unit_digests(t) for t in new]
+            columns = [
+                [h[0][2] for h in held], list(map(len, texts)), [hashlib.sha256(t.encode()).hexdigest() for t in new], fingerprints(digests, cells), fingerprints(changed, cells),
+                likenesses(digests, changed, cells), likenesses(digests, after, cells), list(map(len, digests)),
+            ]
+            types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        held, size = [], 0
         for row in rows():
-            block.append(row)
-            if len(block) == 1000:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*block))), names)
-                block = []
-        if block:
-            schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in names[2:5]], ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_units", pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), schema)], schema=schema)
+            held.append(row)
+            size += len(row[0][3])
+            if len(held) == BLOCK or size > 4 << 20:
+                yield settled(held)
+                held, size = [], 0
+        if held:
+            yield settled(held)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_units long"
     docs = documents_of(docs)
