@@ -27,6 +27,8 @@ CELLS, GROWTH = 24, 4
 HASHES = 3
 #: Documents whose sketches are computed side by side.
 BLOCK = 128
+#: Ranges of doc_id for each task.
+RANGES = 8
 #: Ends of units: line ends, sentence ends, and before words that start with one of these letters.
 UNIT = re.compile(r"\n+|(?<=[.!?;]) +| +(?=[a-eA-E0-9])")
 #: Units longer than LONG, such as data without spaces, are cut further at these places.
@@ -140,22 +142,28 @@ def edited(text: str, following: str) -> str:
 
 
 def with_guards(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows dealt to parts ranges of doc_id, each also holding its follower's first row as a guard at its end.
+    """Rows dealt to parts ranges of doc_id, each also holding its follower's first rows as guards at its end.
 
-    The borders are ids of the table; there are fewer than parts of them. The last range's guard is the table's first row.
+    The borders are ids of the table; there are fewer than parts of them. The last range's guard is the table's first row. A task holds
+    some ranges, so that their sizes even out.
     """
-    ids = docs.select("doc_id")
-    found = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("q"), F.min("doc_id").alias("first")).first()
-    borders = sorted(set(found["q"] or []) - {found["first"]})
-    at = F.lit(0)
-    for k, border in enumerate(borders):
-        at = F.when(F.col("doc_id") >= border, k + 1).otherwise(at)
-    here = F.struct(at.alias("part"), F.lit(False).alias("guard"))
-    before = F.struct((at - 1).alias("part"), F.lit(True).alias("guard"))
-    around = F.struct(F.lit(len(borders)).alias("part"), F.lit(True).alias("guard"))
-    copies = F.array_compact(F.array(here, F.when(F.col("doc_id").isin(borders), before) if borders else F.lit(None).cast("struct<part:int,guard:boolean>"), F.when(F.col("doc_id") == F.lit(found["first"]).cast("long"), around)))
-    dealt = docs.withColumn("copy", F.explode(copies)).select("copy.part", "copy.guard", "doc_id", "text")
-    return dealt.repartition(len(borders) + 1, "part").sortWithinPartitions("part", "guard", "doc_id", "text")
+    found = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("q"), F.min("doc_id").alias("first")).first()
+    first = found["first"]
+    borders = np.array(sorted(set(found["q"] or []) - {first}), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("doc_id")
+            ids, known = column.fill_null(np.iinfo(np.int64).min).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            part = np.searchsorted(borders, ids, "right")
+            border, around = np.flatnonzero(known & np.isin(ids, borders)), np.flatnonzero(known & (ids == first)) if first is not None else np.zeros(0, np.int64)
+            rows = batch.take(pa.array(np.concatenate([np.arange(len(ids)), border, around])))
+            to = np.concatenate([part, part[border] - 1, np.full(len(around), len(borders))])
+            guard = np.arange(len(to)) >= len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(guard), *rows.columns], ["part", "guard", "doc_id", "text"])
+
+    dealt = docs.mapInArrow(run, "part long, guard boolean, doc_id long, text string")
+    return dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guard", "doc_id", "text")
 
 
 def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -201,4 +209,4 @@ def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_units long"
     docs = documents_of(docs)
-    return with_guards(docs, partitions(docs.sparkSession)).mapInArrow(run, schema)
+    return with_guards(docs, RANGES * partitions(docs.sparkSession)).mapInArrow(run, schema)
