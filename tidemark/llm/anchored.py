@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import carried, documents_of, written
 
-#: Units of one numpy pass, and bytes of representatives that are compared in one go.
-CHUNK, BLOCK = 1 << 20, 4 << 20
+#: Units of one numpy pass, bytes of representatives that are compared in one go, and different segments up to which an anchor's are compared in one task.
+CHUNK, BLOCK, CROWD = 1 << 20, 1 << 20, 4096
 SMALLEST = -(2**63)
 SEGMENT = "doc_id long, part long, anchor long, seg long, start int, windows int"
 
@@ -115,6 +115,9 @@ class Bytes:
         seg = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + more).tolist())], np.uint64)
         return doc, first - starts[doc], n, kmers[place].view(np.int64), seg.view(np.int64)
 
+    def windows(self, string: bytes) -> list[bytes]:
+        return [string[k : k + self.window] for k in range(len(string) - self.window + 1)]
+
     def strings(self, data: bytes, places: list[tuple[int, int]]) -> list[bytes]:
         return [data[a : a + n + self.window - 1] for a, n in places]
 
@@ -149,6 +152,10 @@ class Words:
         seg = np.array([digest(view[a:b]) for a, b in zip(word_starts[first].tolist(), word_ends[first + n + more - 1].tolist())], np.uint64)
         return doc, first - starts[doc], n, kmers[place].view(np.int64), seg.view(np.int64)
 
+    def windows(self, string: bytes) -> list[bytes]:
+        words = string.split(b" ")
+        return [b" ".join(words[k : k + self.window]) for k in range(len(words) - self.window + 1)]
+
     def strings(self, data: bytes, places: list[tuple[int, int]]) -> list[bytes]:
         words = data.split()
         return [b" ".join(words[a : a + n + self.window - 1]) for a, n in places]
@@ -230,21 +237,50 @@ def repeated_segments(docs: DataFrame, scheme) -> DataFrame:
     return written(hits.join(written(about, "anchors"), "anchor"), "segments")
 
 
-def representatives(docs: DataFrame, hits: DataFrame, scheme) -> DataFrame:
-    """(anchor, seg, n, low, string): one row for each different segment of an anchor that has several."""
+def representatives(docs: DataFrame, hits: DataFrame, scheme, crowd: int = CROWD) -> DataFrame:
+    """A table of one row (anchor, seg, n, low, string) for each different segment of an anchor that has several.
+
+    An anchor of more than crowd segments has a row (anchor, seg, n, low, place, h1, h2) for each of their windows instead: such windows are counted by
+    128 bits of hash, over all machines.
+    """
     one = hits.where("several").groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "part", "start", "windows")).alias("at"))
-    wanted = one.groupBy("at.doc_id", "at.part").agg(F.collect_list(F.struct("anchor", "seg", "n", "low", "at.start", "at.windows")).alias("wanted"))
-    schema = "anchor long, seg long, n long, low long, string binary"
+    crowded = one.groupBy("anchor").agg(F.count("*").alias("segs")).where(F.col("segs") > crowd).select("anchor", F.lit(True).alias("crowded"))
+    one = one.join(crowded, "anchor", "left")
+    wanted = one.groupBy("at.doc_id", "at.part").agg(F.collect_list(F.struct("anchor", "seg", "n", "low", "at.start", "at.windows", "crowded")).alias("wanted"))
+    schema = "anchor long, seg long, n long, low long, string binary, place int, h1 long, h2 long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for z, wanted in zip(batch.column("z"), batch.column("wanted")):
                 asked = wanted.as_py()
-                strings = scheme.strings(opened(z.as_py()), [(a["start"], a["windows"]) for a in asked])
-                columns = [pa.array([a[c] for a in asked], pa.int64()) for c in ("anchor", "seg", "n", "low")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(strings, pa.binary())], ["anchor", "seg", "n", "low", "string"])
+                rows = []
+                for a, string in zip(asked, scheme.strings(opened(z.as_py()), [(a["start"], a["windows"]) for a in asked])):
+                    key = (a["anchor"], a["seg"], a["n"], a["low"])
+                    if not a["crowded"]:
+                        rows.append((*key, string, None, None, None))
+                        continue
+                    for k, w in enumerate(scheme.windows(string)):
+                        h = xxhash.xxh3_128_digest(w)
+                        rows.append((*key, None, k, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
+                types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return written(compressed(docs).join(wanted, ["doc_id", "part"]).select("z", "wanted").mapInArrow(run, schema), "representatives")
+
+
+def verdicts(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]], value: F.Column, encode: Callable[[list], bytes]) -> DataFrame:
+    """(anchor, seg, verdict) of all representatives: by judge, or for crowded anchors by encode from each window's value, an aggregate over its equals."""
+    windows = rows.where("place is not null")
+    known = written(windows.groupBy("anchor", "h1", "h2").agg(value.alias("value")), "windows")
+    each = windows.join(known, ["anchor", "h1", "h2"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [encode([x["value"] for x in v]) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("seg"), pa.array(got, pa.binary())], ["anchor", "seg", "verdict"])
 
-    return compressed(docs).join(wanted, ["doc_id", "part"]).select("z", "wanted").mapInArrow(run, schema)
+    return by_anchor(rows.where("place is null").select("anchor", "seg", "n", "low", "string"), judge).unionByName(each.mapInArrow(run, "anchor long, seg long, verdict binary"))
 
 
 def by_anchor(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]]) -> DataFrame:

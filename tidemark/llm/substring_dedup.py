@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import SMALLEST, Words, by_anchor, compressed, keyed, marks_of, opened, repeated_segments, representatives
+from .anchored import SMALLEST, Words, compressed, keyed, marks_of, opened, repeated_segments, representatives, verdicts
 
 
 def judge(rows: list[dict]) -> list[bytes]:
@@ -46,10 +46,10 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     scheme = Words()
     docs = keyed(docs)
     hits = repeated_segments(docs, scheme).where("low < high")
-    verdicts = by_anchor(representatives(docs, hits, scheme), judge)
+    judged = verdicts(representatives(docs, hits, scheme), judge, F.min("low"), lambda low: np.array(low, "<i8").tobytes())
     later = hits.where("doc_id > low")
     whole = later.where("not several").select("doc_id", "part", "start", "windows", F.lit(None).cast("binary").alias("verdict"))
-    some = later.where("several").join(verdicts, ["anchor", "seg"]).select("doc_id", "part", "start", "windows", "verdict")
+    some = later.where("several").join(judged, ["anchor", "seg"]).select("doc_id", "part", "start", "windows", "verdict")
     marks = whole.unionByName(some).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "windows", "verdict")).alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
     names = [c.split()[0] for c in schema.split(", ")]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import SMALLEST, Bytes, by_anchor, compressed, keyed, opened, repeated_segments, representatives
+from .anchored import SMALLEST, Bytes, compressed, keyed, marks_of, opened, repeated_segments, representatives, verdicts
 from .common import carried
 
 #: Never a byte of UTF-8; ends every string of a block.
@@ -31,9 +31,18 @@ def words_at(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def grouped_order(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Order by of and then key: one quick sort of the keys, then stable passes over 16 bits of the group numbers each."""
+    by = np.argsort(key)
+    group = of - of[0]
+    for shift in range(0, max(1, int(group[-1]).bit_length()), 16):
+        by = by[np.argsort((group[by] >> shift).astype(np.uint16), kind="stable")]
+    return by
+
+
 def sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """at ordered by the suffixes there, as far as depth bytes tell them apart."""
-    order = at[np.argsort(words[at], kind="stable")]
+    order = at[np.argsort(words[at])]
     key = words[order]
     fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(order) else np.zeros(0, bool)
     group = np.cumsum(fresh)
@@ -44,11 +53,11 @@ def sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
             break
         rows, of = order[live], group[live]
         key = words[rows + deep]
-        by = np.lexsort((key, of))
+        by = grouped_order(key, of)
         rows, key = rows[by], key[by]
         order[live] = rows
         fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])
-        group[live] = of * 0 + np.cumsum(fresh)
+        group[live] = of = np.cumsum(fresh)
         tied = ~(fresh & np.concatenate([fresh[1:], [True]]))
         live = live[tied]
     return order
@@ -110,32 +119,44 @@ def windows_again(strings: list[bytes], window: int) -> list[np.ndarray]:
     return [again[at : at + max(0, size - window)] for at, size in zip(starts, sizes)]
 
 
+def window_runs(again: np.ndarray) -> bytes:
+    """Maximal runs of marked windows: first and one past the last, as little-endian integers."""
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+    return turns.astype("<i4").tobytes()
+
+
 def judge(rows: list[dict]) -> list[bytes]:
-    """Bits of the windows that occur again; all of them where the segment itself does."""
-    return [np.packbits(np.ones(len(r["string"]) - Bytes.window + 1, bool) if r["n"] > 1 else w).tobytes() for r, w in zip(rows, windows_again([r["string"] for r in rows], Bytes.window))]
+    """Runs of the windows that occur again; all of them where the segment itself does."""
+    return [np.array([0, len(r["string"]) - Bytes.window + 1], "<i4").tobytes() if r["n"] > 1 else window_runs(w) for r, w in zip(rows, windows_again([r["string"] for r in rows], Bytes.window))]
 
 
 def marked(docs: DataFrame, scheme: Bytes) -> DataFrame:
     """(doc_id, part, marks) where marks are (start, windows, verdict) of segments with windows that occur again; no verdict: all of them do."""
     hits = repeated_segments(docs, scheme)
-    verdicts = by_anchor(representatives(docs, hits, scheme), judge)
+    judged = verdicts(representatives(docs, hits, scheme), judge, F.sum("n") > 1, lambda again: window_runs(np.array(again, bool)))
     whole = hits.where("not several").select("doc_id", "part", "start", "windows", F.lit(None).cast("binary").alias("verdict"))
-    some = hits.where("several").join(verdicts, ["anchor", "seg"]).select("doc_id", "part", "start", "windows", "verdict")
+    some = hits.where("several").join(judged, ["anchor", "seg"]).select("doc_id", "part", "start", "windows", "verdict")
     return whole.unionByName(some).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "windows", "verdict")).alias("marks"))
 
 
-def removed_runs(marks, length: int, window: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    edge = np.zeros(length + 1, np.int32)
-    for m in marks or ():
-        at = np.arange(m["windows"])
-        if m["verdict"] is not None:
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(m["verdict"], np.uint8), count=m["windows"]))
-        np.add.at(edge, m["start"] + at, 1)
-        np.add.at(edge, m["start"] + at + window, -1)
-    covered = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(covered))
-    return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
+def covered(starts: list[int], windows: list[int], verdicts: list[bytes | None], window: int) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes, from a document's marks."""
+    parts = []
+    for start, n, verdict in zip(starts, windows, verdicts):
+        if verdict is None:
+            parts.append((start, start + n - 1 + window))
+        else:
+            turns = np.frombuffer(verdict, "<i4").tolist()
+            parts += [(start + a, start + b - 1 + window) for a, b in zip(turns[::2], turns[1::2])]
+    parts.sort()
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -170,9 +191,9 @@ def deduplicate(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, z, marks in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("marks")):
-                data = opened(z.as_py()).encode("utf-8", "replace")
-                runs = removed_runs(marks.as_py(), len(data), scheme.window) if marks.is_valid else []
+            for doc_id, z, marks in zip(batch.column("doc_id").to_pylist(), batch.column("z"), marks_of(batch.column("marks"))):
+                data = opened(z.as_py())
+                runs = covered(*marks, scheme.window)
                 row = (None if doc_id == SMALLEST else doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest())
                 rows.append((*row, kept(data, whole_characters(data, runs)).decode()) if texts else row)
             types = [pa.int64()] * 4 + [pa.string()] * (1 + texts)
