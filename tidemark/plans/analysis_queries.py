@@ -204,6 +204,11 @@ v AS (SELECT metric, count(DISTINCT request_id) AS requests, count(DISTINCT conc
 SELECT metric, requests, concepts, units, repeated_units, {_r('mean', 'sd')}, CASE WHEN units < 3 THEN 'too_few_units' WHEN repeated_units = 0 THEN 'not_repeated' WHEN coalesce(sd, 0) <= 1e-12 THEN 'constant' ELSE 'usable' END AS reason FROM v""",
     "group_coverage": f"WITH {SUMM} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS rows, count(DISTINCT request_id) AS requests FROM rm GROUP BY {c}" for c in ("request_id", "concept_id", "repeat_id", "quality")),
     "repeat_coverage": f"WITH {SUMM} SELECT request_id, concept_id, count(DISTINCT repeat_id) AS repeats, string_agg(DISTINCT repeat_id, ';' ORDER BY repeat_id) AS repeat_ids, count(DISTINCT repeat_id) = 2 AS pair FROM rm GROUP BY 1, 2",
+    "readiness": f"""WITH {SUMM}, un1 AS (SELECT metric, request_id, concept_id, count(DISTINCT repeat_id) AS repeats, avg(value) AS v FROM u WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+v AS (SELECT metric, count(*) >= 3 AND count(*) FILTER (repeats >= 2) > 0 AND coalesce(CASE WHEN count(v) >= 2 THEN stddev_pop(v) END, 0) > 1e-12 AS usable FROM un1 GROUP BY 1),
+x AS (SELECT (SELECT count(*) FROM v WHERE usable) AS usable_metrics, (SELECT count(*) FROM v) AS metrics, (SELECT count(*) FROM (SELECT 1 FROM rm GROUP BY request_id, concept_id HAVING count(DISTINCT repeat_id) = 2)) AS paired_units,
+  (SELECT count(*) FROM (SELECT 1 FROM rm JOIN plan USING (request_id) GROUP BY episode_id, concept_id HAVING bool_or(role = 'treated') AND bool_or(role = 'control'))) AS matched_concepts)
+SELECT *, CASE WHEN usable_metrics = 0 THEN 'collect_more' WHEN matched_concepts = 0 THEN 'add_controls' WHEN paired_units = 0 THEN 'repeat_requests' ELSE 'ready' END AS recommendation FROM x""",
     "final_metrics": f"WITH {FINAL} SELECT {_K}, variant, role, episode_id, geography, baseline_days, {_r('baseline_mean', 'baseline_sd', 'peak_value', 'zero_share', 'lift', 'standardized', 'robust')}, response_days, peak_date, reasons, eligible FROM fe",
     "event_units": f"WITH {FINAL} SELECT episode_id, geography, concept_id, role, request_id, variant, repeats, eligible_repeats, {_r('baseline_mean', 'peak_value', 'lift', 'standardized', 'robust', 'lift_sd')} FROM un",
     "complete_pairs": f"""WITH {FINAL} SELECT {_K}, variant, eligible, coalesce(bool_or(role = 'treated' AND eligible) OVER w AND bool_or(role = 'control' AND eligible) OVER w, FALSE) AS complete_pair FROM fe WHERE role IN ('treated', 'control') WINDOW w AS (PARTITION BY episode_id, concept_id, repeat_id, variant)""",
