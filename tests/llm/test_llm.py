@@ -155,6 +155,37 @@ def test_near_duplicate_classes_equal_brute_force(spark, docs, rows):
     assert {(r["doc_id"], r["class_id"]) for r in got.collect()} == brute_classes(spark, both, rows + more)
 
 
+def test_copies_that_are_only_like_their_original_are_one_class(spark):
+    """A star: copies are 0.84 like the original and 0.70 like each other, and hundreds of them crowd its buckets."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(500, " ".join(base))]
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(57, 7, replace=False) * 7:
+            words[at] = base[rng.integers(400)]
+        rows.append((1000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(spark, docs, rows)
+    assert sum(c == 500 for _, c in want) > 390
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.classes(docs).collect()} == want
+
+
+def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
+    """Small blocks, some of one class and some mixed, give every agreeing pair of different classes, and no other."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    signs = rng.integers(0, 2, (90, 42)).astype(np.uint8)
+    classed = {k: k // 30 * 30 for k in range(60)}
+    at = lambda k: [1] * (k < 70) + [2] * (k >= 20) + [3] * (k < 30)
+    crowded = spark.createDataFrame([(k, b) for k in range(90) for b in at(k)], "node long, bucket long")
+    signed = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(signs)], "node long, signature binary")
+    found = spark.createDataFrame(list(classed.items()), "node long, component long")
+    alike = (signs[:, None] == signs[None]).sum(axis=2)
+    want = [(a, b, int(alike[a, b])) for a in range(90) for b in range(a) if classed.get(a, a) != classed.get(b, b) and set(at(a)) & set(at(b)) and alike[a, b] >= near_dedup.LEAST_AGREEMENT * 42]
+    same([tuple(r) for r in near_dedup.across(crowded, signed, found).collect()], want)
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

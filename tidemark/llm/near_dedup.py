@@ -8,6 +8,8 @@ are the connected components of the links.
 Exact copies are one representative from the start. Buckets of few members give all their pairs. Members of larger buckets
 are dealt again by pairs of bands, and only in sub-buckets that are still large, whose members nearly all are near copies
 of each other, are members compared with a few centres that all sub-buckets choose by the same orders. Verification goes in two rounds: one candidate for each text, then those that would join different classes.
+Centres only save work: members of a crowded bucket whom all this leaves in different classes are then compared block against block, every
+one with every other, and verified by the same two rounds. Nothing is left out but pairs already in one verified class.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BANDS, ROWS = 14, 3
 ALL_PAIRS, CENTRES = 24, 3
 #: Following bands by each of which a crowded bucket is dealt again.
 NEXT = 3
+#: Members of crowded buckets that meet in one block, about.
+BLOCK = 1024
 #: Share of documents from which on a word counts as less than rare. At most (distinct words in a document) / FREQUENT words can reach it, whatever the
 #: number of documents; that bounds the table that is sent to the workers.
 FREQUENT = 1e-3
@@ -205,8 +209,9 @@ def small(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "signature")).alias("members")).select("members")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a bucket and whose samples agree often enough. signed: a table of (node, buckets, signature)."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of nodes that share a bucket and whose samples agree often enough, of crowded buckets only the likely ones; and (node, bucket) of
+    crowded buckets. signed: a table of (node, buckets, signature)."""
     rows = signed.select("node", F.posexplode("buckets").alias("band", "bucket"))
     sized = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = written(rows.join(sized, "bucket"), "shared")
@@ -224,7 +229,75 @@ def candidates(signed: DataFrame) -> DataFrame:
     near = F.filter(centres, lambda c: (c["node"] != F.col("node")) & (agreeing(F.col("signature"), c["signature"]) >= LEAST_AGREEMENT))
     star = dealt.where(F.col("n") > ALL_PAIRS).select("node", F.transform(near, lambda c: c["node"]).alias("centres"))
     star = star.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres")).select("node", F.explode("centres").alias("c"))
-    return few.unionByName(fewer).unionByName(star.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"))).distinct()
+    pairs = few.unionByName(fewer).unionByName(star.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"))).distinct()
+    return pairs, shared.where(F.col("n") > ALL_PAIRS).select("node", "bucket")
+
+
+def compared(sides: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of agreeing members of different classes, and how many samples agree. sides: (pair, side, node, class, signature) of pairs of blocks."""
+    def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        right = rows["side"].to_numpy() == 1
+        node, of = rows["node"].to_numpy(), rows["class"].to_numpy()
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        others, classes_of, signs = node[right], of[right], sign[right]
+        out: dict[tuple[int, int], int] = {}
+        for i in np.flatnonzero(~right).tolist():
+            alike = (signs == sign[i]).sum(axis=1)
+            for j in np.flatnonzero((alike >= LEAST_AGREEMENT * sign.shape[1]) & (classes_of != of[i])).tolist():
+                x, y = int(node[i]), int(others[j])
+                out[max(x, y), min(x, y)] = int(alike[j])
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out.values(), pa.int64())], ["a", "b", "alike"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start < end:
+                    if held and pair[start] != last:
+                        yield from block(held)
+                        held = []
+                    held.append(batch.slice(start, end - start))
+                    last = pair[start]
+        if held:
+            yield from block(held)
+
+    return sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long, alike long")
+
+
+def across(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, alike) for every pair of nodes that share a crowded bucket, are of different classes so far, and whose samples agree often enough.
+
+    Members of a class that has BLOCK of them in the bucket stand in blocks of their own, which are not compared with each other; members of smaller classes share blocks.
+    """
+    members = crowded.join(found.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    members = written(members, "members")
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= BLOCK).withColumn("group", F.when(F.col("own"), F.col("class")).otherwise(0))
+    sizes = written(sizes, "sizes")
+    divided = sizes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    groups = sizes.groupBy("bucket", "own", "group").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).join(divided, "bucket")
+    groups = written(groups, "groups")
+    blocks = groups.select("bucket", "own", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # named anew, so that the two sides of the join are told apart
+    left, right = (blocks.select("bucket", F.struct("own", "group", "block").alias(side)) for side in ("l", "r"))
+    met = left.join(right, "bucket").where("l <= r and not (l.own and r.own and l.group = r.group)").withColumn("pair", F.xxhash64("bucket", "l", "r"))
+    met = met.select("bucket", "pair", F.posexplode(F.array("l", "r")).alias("side", "at")).select("bucket", "pair", "side", "at.own", "at.group", "at.block")
+    placed = members.join(sizes.select("bucket", "class", "own", "group"), ["bucket", "class"]).join(groups, ["bucket", "own", "group"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(signed.select("node", "signature"), "node")
+    return compared(placed.join(met, ["bucket", "own", "group", "block"]).select("pair", "side", "node", "class", "signature")).distinct()
+
+
+def hubs_first(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs the one with the partner that agrees most with all its partners: where many are like one original, that is the original."""
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))
+    weight = ends.groupBy("y").agg(F.sum("alike").alias("weight"))
+    best = ends.join(weight, "y").groupBy("x").agg(F.max(F.struct("weight", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, frozen) -> DataFrame:
@@ -265,17 +338,28 @@ def classes(docs: DataFrame) -> DataFrame:
     frozen = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     again = written(rows.join(copies.select("h1", "h2", F.col("node").alias("kept")), ["h1", "h2"]).select("doc_id", "part", "node", "kept"), "rows")
     later = again.where("node <> kept").select("node").distinct()
-    pairs = written(candidates(written(bands(docs, frozen).join(later, "node", "left_anti"), "signed")), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    signed = written(bands(docs, frozen).join(later, "node", "left_anti"), "signed")
+    pairs, crowded = candidates(signed)
+    pairs = written(pairs, "pairs")
     named = compressed(docs).withColumn("node", F.when(F.col("part") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "part")))
-    # the same join at every size: what is wanted grows with the input
-    texts = written(named.join(wanted.hint("merge"), "node").select("node", "z").dropDuplicates(["node"]), "texts")
-    links = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, frozen), "links")
-    found = written(components(links), "classes")
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = written(verified(apart, texts, frozen), "links")
-    found = written(components(links.unionByName(more)), "classes")
+
+    def joined(pairs: DataFrame, first: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """links and those of pairs, and their components: first is verified before all others that would still join different classes."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        # the same join at every size: what is wanted grows with the input
+        texts = written(named.join(wanted.hint("merge"), "node").select("node", "z").dropDuplicates(["node"]), "texts")
+        some = written(verified(first, texts, frozen), "links")
+        links = links.unionByName(some) if links else some
+        found = written(components(links), "classes")
+        side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        links = links.unionByName(written(verified(apart, texts, frozen), "links"))
+        return links, written(components(links), "classes")
+
+    links, found = joined(pairs, pairs.groupBy("a").agg(F.min("b").alias("b")), None)
+    rest = written(across(crowded, signed, found), "across").join(pairs, ["a", "b"], "left_anti")
+    if not rest.isEmpty():
+        _, found = joined(rest.select("a", "b"), hubs_first(rest), links)
     labelled = again.join(found.withColumnRenamed("node", "kept"), "kept", "left").withColumn("component", F.coalesce("component", "kept"))
     named_id = F.when(F.col("doc_id") != SMALLEST, F.col("doc_id"))
     about = labelled.groupBy("component").agg(F.min(named_id).alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "part")).alias("one"))
