@@ -312,6 +312,15 @@ def test_page_text(spark, sf_dir):
     assert {r["page_id"]: r["text"] for r in html_text.extract(odd).collect()} == {1: "", 2: "a"}
 
 
+def test_articles_beside_the_text_and_fixed_lines_in_articles(spark):
+    """Comments that are article elements do not hide a body without one, and what all of a host's pages share goes, also within an article."""
+    body = [(k, "http://a.org/x", f"<div><p>Body {k}</p></div><article class='comment'><p>Reader {k}</p></article>") for k in range(5)]
+    shared = [(100 + k, "http://b.org/x", f"<article><p>Story {k}</p><p>{'Read our terms' if k % 5 < 3 else f'Own line {k}'}</p></article>") for k in range(40)]
+    docs = spark.createDataFrame(body + shared, "page_id long, url string, html string")
+    want = {k: f"Body {k}" for k in range(5)} | {100 + k: f"Story {k}" + ("" if k % 5 < 3 else f" Own line {k}") for k in range(40)}
+    assert {r["page_id"]: r["text"] for r in html_text.extract(docs).collect()} == want
+
+
 def test_wrappers_hold_what_repeats():
     pages = [f"<div><p>Same line</p><p>Text {k}</p></div><div class=x><p>Other {k}</p></div>" for k in range(4)]
     fixed = html_text.template_paths(pages)

@@ -1,25 +1,27 @@
-"""Main text of web pages by inferred wrappers.
+"""Main text of web pages by what a host's pages have in common.
 
-For every host a wrapper, a regular expression without alternatives, is inferred from the token streams of some of its pages: streams are
-aligned one after the other; where text differs, a text slot arises, where elements are missing, an optional group,
-where like elements follow each other, a repeated group. Slots are told apart by what the wrapper says about them: their path of
-elements, how much of them varies from page to page, and how much of them is links. A page's text is what its blocks in content
-slots hold; pages of hosts without a wrapper go by the paths alone.
+All pages of a host are token streams (path of elements, text); tokens that more than half of them share are fixed parts of the host's template, the
+others vary. A page's text is what its varying blocks hold that do not stand beside the article; article elements are a feature only: in
+them blocks may be mostly links. Pages of hosts with fewer than three pages go by the paths alone. infer() and template_paths() give the
+aligned wrapper of a few pages with its optional and repeated slots; extract() does not use them.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Set
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that its wrapper is inferred from, picked by a hash of their ids.
-SAMPLE = 12
+from .common import written
+
+#: Counts that a task holds before it passes them on.
+HELD = 200_000
 
 #: Fixed values of HTML: elements whose content is never text, elements that stand alone, elements inside a line.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "canvas", "head", "title"}
@@ -37,6 +39,8 @@ NAMES = re.compile(
     r"(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Classes that say of an article element that it is not the page's own.
+OTHERS = {"comment", "comments", "reply", "replies", "teaser", "related", "recommended", "promo", "sponsored"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 #: Elements that a following one of the same set ends, within the nearest block.
@@ -50,7 +54,7 @@ def element(name: str, rest: str) -> tuple[str, bool]:
         key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if key in ("class", "id"):
             label += f".{value.strip().lower()}" if not any(c.isdigit() for c in value) else ""
-            off = off or bool(NAMES.search(value)) and name not in ("html", "body", "article", "main")
+            off = off or bool(NAMES.search(value)) and name not in ("html", "body", "article", "main") or name == "article" and not OTHERS.isdisjoint(value.lower().split())
         elif key == "role":
             off = off or value.lower() in ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -186,37 +190,55 @@ def template_paths(pages: list[str]) -> list[str]:
     return sorted(set(fixed))
 
 
-def main_text(page: str | None, fixed: set[str] = frozenset()) -> str:
-    """The article's blocks joined by one space.
+def place(path: str, text: str) -> str:
+    return f"{path}\x00{text}"
 
-    Blocks beside the article go. If the page marks an article, only blocks in it stay; else blocks that are not mostly links and not fixed in the host's wrapper.
-    """
-    found = list(blocks(page or ""))
-    marked = any(inside for *_, inside, _ in found)
-    if marked:
-        return " ".join(text for path, text, off, inside, _ in found if inside and not off)
-    return " ".join(text for path, text, off, _, links in found if not off and links < 0.5 and f"{path}\x00{text}" not in fixed)
+
+def digest(path: str, text: str) -> int:
+    """A signed 64-bit number for a path and a text."""
+    n = xxhash.xxh3_64_intdigest(place(path, text).encode("utf-8", "replace"))
+    return n - (n >> 63 << 64)
+
+
+def main_text(page: str | None, fixed: Set = frozenset(), key: Callable = place) -> str:
+    """The article's blocks joined by one space: those that are neither beside the article, nor fixed in the host's wrapper, nor, outside an
+    element that marks an article, mostly links. fixed has the key of each fixed block."""
+    return " ".join(text for path, text, off, inside, links in blocks(page or "") if not off and (inside or links < 0.5) and key(path, text) not in fixed)
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, fixed): what each host's wrapper holds fixed, from at most sample pages of it."""
-    first = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
-    some = pages.where("html is not null").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
-    grouped = some.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "html"))).alias("pages"))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, fixed): digests of the blocks that more than half of all the host's pages share, for hosts of 3 pages or more.
 
+    Tasks count what they read, a grouped aggregate adds up. A host's list is at most twice as long as its pages have blocks on average.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fixed = [template_paths([p["html"] for p in pages]) for pages in batch.column("pages").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(fixed, pa.list_(pa.string()))], ["host", "fixed"])
+        count: Counter = Counter()
 
-    return grouped.mapInArrow(run, "host string, fixed array<string>")
+        def flush() -> pa.RecordBatch:
+            host, block = zip(*count)
+            return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(block, pa.int64()), pa.array(count.values(), pa.int64())], ["host", "block", "n"])
 
-
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+        for batch in batches:
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
+                count[host, None] += 1  # the page itself
+                count.update((host, k) for k in {digest(*token) for token in tokens(page.as_py())})
+                if len(count) > HELD:
+                    yield flush()
+                    count.clear()
+        if count:
+            yield flush()
+
+    counted = pages.where("html is not null").select("host", "html").mapInArrow(run, "host string, block long, n long").groupBy("host", "block").agg(F.sum("n").alias("n"))
+    counted = written(counted.where("n > 1"), "blocks")
+    totals = counted.where("block is null and n > 2").select("host", F.col("n").alias("pages"))
+    return counted.where("block is not null").join(totals, "host").where("2 * n > pages").groupBy("host").agg(F.collect_list("block").alias("fixed"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null html, or a page without an article's text, gives an empty text; a null or odd url is the host without a name. Pages are read whole. Repeated rows give repeated
@@ -226,7 +248,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), set(f or ())) for h, f in zip(batch.column("html"), batch.column("fixed").to_pylist())]
+            texts = [main_text(h.as_py(), set(f or ()), digest) for h, f in zip(batch.column("html"), batch.column("fixed").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(wrappers(pages, sample), "host", "left").select("page_id", "url", "html", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
