@@ -13,6 +13,7 @@ from tidemark.config import Rules
 from tidemark.functions import expr, geometry as g
 from tidemark.operators import catalog, cohort, describe, episodes, finalize, imports, integrate, quality, sampling, series, spatial
 from tidemark.operators.components import components
+from tidemark.plans import space_queries
 from tidemark.sources import tables
 from tidemark.streaming.imports import SCHEMA, import_stream
 
@@ -195,3 +196,10 @@ def test_require_clean(spark):
     integrate.require_clean(spark.range(0), "x")
     with pytest.raises(ValueError, match="id"):
         integrate.require_clean(spark.range(3), "x")
+
+
+def test_episode_areas_cover_every_policy(spark, sf_dir):
+    """Each policy's episodes have an area, also those of the policy with the largest components."""
+    got = space_queries.episode_areas(spark, sf_dir).select("policy", "component").collect()
+    want = space_queries.episode_members(spark, sf_dir).select("policy", "component").distinct().collect()
+    assert {r["policy"] for r in got} == {p[0] for p in episodes.POLICIES} and sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -103,7 +103,7 @@ def episode_rollup(spark, d):
 
 def episode_areas(spark, d):
     e, _, members = grouped(spark, d)
-    return rounded(ep.union_areas(members.where("policy <> 'broad'"), e), 4)
+    return rounded(ep.union_areas(members, e), 4)
 
 
 def policy_sensitivity(spark, d):
