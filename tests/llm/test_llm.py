@@ -272,10 +272,67 @@ def test_language_is_found_on_held_out_documents(spark, sf_dir):
     assert langid.train(d.limit(0)) == {}
 
 
-def test_code_lengths_are_those_of_the_counts():
-    scorer = langid.Scorer({"x": {b"": (3, {97: 1, 98: 1}), b"\x02": (2, {97: 1})}}, 1)
-    # a after the start: share 1/2; the end after a: no context a, escape 2/3 ... from the empty context, then 8 bits
-    assert scorer.word("a")[0] == pytest.approx(-np.log2(1 / 2) - np.log2(2 / 3) + 8)
+def brute_code_length(learned: list[str], text: str) -> float:
+    """Bits of a text by prediction by partial matching with exclusion, byte for byte."""
+    counts = defaultdict(lambda: defaultdict(int))
+    for t in learned:
+        data = bytes(langid.ORDER) + t.encode()
+        for at in range(langid.ORDER, len(data)):
+            for back in range(langid.ORDER + 1):
+                counts[data[at - back : at]][data[at]] += 1
+    data, bits = bytes(langid.ORDER) + text.encode(), 0.0
+    for at in range(langid.ORDER, len(data)):
+        named: set = set()
+        for back in range(langid.ORDER, -1, -1):
+            context = data[at - back : at]
+            follow = {s: n for s, n in counts[context].items() if s not in named} if context in counts else {}
+            total = sum(follow.values()) + len(follow)
+            if data[at] in follow:
+                bits += np.log2(total / follow[data[at]])
+                break
+            if follow:
+                bits += np.log2(total / len(follow))
+                named |= set(follow)
+        else:
+            bits += np.log2(256 - len(named))
+    return bits
+
+
+def test_code_lengths_are_those_of_the_counts(spark, monkeypatch):
+    """Also where documents are cut into pieces and the table of remembered grams overflows."""
+    learned = {"x": ["banana bandana", "ananas", "banana bandana!"], "y": ["der Band ändert", "Ende"]}
+    rows = []
+    for lang, ts in learned.items():
+        for t in ts:
+            at = next(i for i in range(1000 * len(rows), 1000 * len(rows) + 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+            rows.append((at, t, lang))
+    out = next(i for i in range(50000, 50099) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows += [(out, "held out zzz", "x"), (7, None, "x"), (8, "no language", None), rows[0], (None, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert list(model) == ["x", "y"]
+    texts = ["banana", "ändern", "a", "zz bandana Ende", "ban\x00an", "é" * 40 + "anan" * 30]
+    monkeypatch.setattr(langid, "CHUNK", 16)
+    units, sizes = langid.Scorer(model, remembered=8).texts(texts)
+    for k, t in enumerate(texts):
+        assert sizes[k] == len(t.encode())
+        for j, lang in enumerate(model):
+            assert units[k, j] / langid.UNIT == pytest.approx(brute_code_length(learned[lang], t), abs=1e-3)
+    # repeated rows repeat, ties go to the first language, columns named like the operator's own play no part
+    clash = spark.createDataFrame([(1, "Σ", "y", 2.0), (1, "Σ", "y", 3.0), (None, "banana " * 3000, None, 1.0), (3, "½ ² ①", "x", 0.0), (4, None, "x", 0.0)], "doc_id long, text string, lang_pred string, score double")
+    got = langid.identify(clash, model).collect()
+    likely = min(model, key=lambda lang: brute_code_length(learned[lang], "Σ"))
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in got) == [(0, "x"), (1, likely), (1, likely), (3, "und"), (4, "und")]
+    assert langid.Scorer({"b": model["x"], "a": model["x"]}).score(["banana"])[0] == ["b"]
+    assert langid.identify(clash.limit(0), model).count() == 0
+
+
+def test_the_sample_is_bounded(spark):
+    """Also where one id, or one row, is repeated."""
+    docs = spark.createDataFrame([(3, f"text {k % 40}", "x") for k in range(300)] + [(k, "same", "y") for k in range(300)], "doc_id long, text string, lang string")
+    got = langid.sampled(docs, 10).groupBy("lang").count().collect()
+    assert {r["lang"] for r in got} <= {"x", "y"} and all(r["count"] <= 10 for r in got)
+    assert langid.sampled(docs, 1000).where("lang = 'x'").count() == 40
 
 
 def test_top_k_equals_brute_force(spark):
