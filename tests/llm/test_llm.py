@@ -227,8 +227,83 @@ def test_base_spans_equal_regular_expressions(private):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
-    for r in pii.redact(found).collect():
-        assert not brute_pii(r["text"]) or "" in r["text"] or r["text"]
+    by_id = {r["doc_id"]: r for r in pii.digest(found).collect()}
+    for r in pii.redact(found, "<{}>").collect():
+        out, at, text = "", 0, texts[r["doc_id"]]
+        for start, kind, end in sorted(((int(a), k, int(b)) for k, a, b in (x.split(":") for x in by_id[r["doc_id"]]["spans"].split(",") if x)), key=lambda x: (x[0], x[2], pii.KINDS.index(x[1]))):
+            if start >= at:
+                out += text[at:start] + f"<{kind}>"
+            at = max(at, end)
+        assert r["text"] == out + text[at:]
+
+
+HIDDEN = {
+    "email": ["{w}.{w} at mail dot {w} dot org", "{w} [at] {w} [dot] com", "{w}(at){w}(dot)net", "{w} @ {w} . com"],
+    "ip": ["10[.]{b}[.]7[.]{b}", "172 . {b} . {b} . 9", "8(dot)8(dot){b}(dot)8"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4012  8888  8888  1881"],
+    "phone": ["44 7700 900{c}", "0044 7700 900{c}", "269.555.3{c}"],
+}
+DECOYS = ["in 2024 and 2023", "version 1.2", "chapter 12.3.4", "look at home", "pages 100-120", "1999-2001", "id 12345", "40 000 people", "at 10.30 we met at noon dot", "x = 3.14159", "1234.1234.1234.1234", "5 . 6 . 700 . 8"]
+
+
+def test_disguised_personal_data_is_found(spark):
+    """Recall and precision of added spans on documents with planted forms that base patterns miss, among decoys."""
+    rng = np.random.default_rng(11)
+    words = "the of and house river stone green walk they with from under table light".split()
+    some = lambda n: " ".join(rng.choice(words, n))
+    open_ = ["anna.{w}@mail.{w}.org", "{w}@{w}.net", "{w}{b}@{w}.com", "10.0.{b}.7", "4111 1111 1111 1111", "+44 7700 900{c}", "+1 (269) 555-3{c}"]
+    filled = lambda t: re.sub("{(.)}", lambda m: {"w": str(rng.choice(words)), "b": str(rng.integers(1, 255)), "c": str(rng.integers(100, 999))}[m[1]], t)
+    rows, planted = [], {}
+    for k in range(1500):
+        text = f"{some(6)} {filled(str(rng.choice(open_)))} {some(5)} {rng.choice(DECOYS)} {some(4)}"
+        rows.append((k, text))
+    for k in range(2000, 2200):
+        kind = str(rng.choice(pii.KINDS))
+        head, hit = some(7) + " ", filled(str(rng.choice(HIDDEN[kind])))
+        rows.append((k, head + hit + " " + some(5)))
+        planted[k] = (kind, len(head), len(head) + len(hit))
+    rows += [(3000 + k, f"{some(5)} {rng.choice(DECOYS)} {some(5)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("wide", F.lit("x"))
+    model = pii.train(docs.where("doc_id < 2000"))
+    found = pii.digest(pii.spans(docs, model)).collect()
+    extra = {r["doc_id"]: [tuple(x.split(":")) for x in r["spans"].split(",") if x] for r in found if r["doc_id"] >= 2000}
+    touched = sum(any(k == p[0] and int(a) < p[2] and p[1] < int(b) for k, a, b in extra[i]) for i, p in planted.items())
+    right = sum(k == planted[i][0] and int(a) < planted[i][2] and planted[i][1] < int(b) for i in planted for k, a, b in extra[i])
+    every = sum(map(len, extra.values()))
+    missed = [(p[0], rows[1500 + i - 2000][1][p[1] : p[2]]) for i, p in planted.items() if not any(k == p[0] and int(a) < p[2] and p[1] < int(b) for k, a, b in extra[i])]
+    assert touched >= 0.9 * len(planted) and right >= 0.9 * every, (touched / len(planted), right / every, missed)
+    # repeated rows repeat, ids may be missing
+    twice = spark.createDataFrame([(None, "mail a@b.com"), (5, "mail a@b.com"), (5, "mail a@b.com")], "doc_id long, text string")
+    assert [r["spans"] for r in pii.digest(pii.spans(twice, model)).collect()] == ["email:5:12"] * 3
+
+
+def test_scores_and_choice_of_candidates_equal_plain_python(private):
+    model = pii.train(private)
+    model.thresholds = [model.start - 1] * 4  # lets many in
+    rows = pii.with_base(private).select("doc_id", "base", pii.candidates(F.col("text")).alias("c")).withColumn("score", F.transform("c", model.score)).collect()
+    extra = {r["doc_id"]: {x for x in r["spans"].split(",") if x} for r in pii.digest(pii.spans(private, model)).collect()}
+    added = 0
+    for r in rows:
+        taken = {(pii.KINDS[b["kind"]], b["start"], b["end"]) for b in r["base"]}
+        free = [c for c, score in zip(r["c"], r["score"]) if score >= model.start - 1 and not any(b["start"] < c["end"] and c["start"] < b["end"] for b in r["base"])]
+        assert all(abs(model.raw(c.asDict()) - score) < 1e-9 for c, score in zip(r["c"], r["score"]))
+        at = 0
+        for c in sorted(free, key=lambda c: (c["start"], -c["end"], c["kind"])):
+            if c["start"] >= at:
+                at = c["end"]
+                taken.add((pii.KINDS[c["kind"]], c["start"], c["end"]))
+                added += 1
+        assert extra[r["doc_id"]] == {f"{k}:{a}:{b}" for k, a, b in taken}
+    assert added > 20
+
+
+def test_many_spans_in_one_text(spark):
+    """Thousands of spans cross the borders of the blocks and pieces that arrays and texts are built from."""
+    text = "é a@b.com 10.0.0.1 x@y.org, " * 3000
+    found = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.Model())
+    r = pii.digest(found).first()
+    assert (r["n_email"], r["n_ip"], r["n_spans"]) == (6000, 3000, 9000)
+    assert pii.redact(found).first()["text"] == "é [email] [ip] [email], " * 3000
 
 
 def test_pii_plan_has_no_python(private):
@@ -370,19 +445,75 @@ def test_page_text(spark, sf_dir):
 
 
 def test_articles_beside_the_text_and_fixed_lines_in_articles(spark):
-    """Comments that are article elements do not hide a body without one, and what all of a host's pages share goes, also within an article."""
+    """Comments that are article elements do not hide a body without one, and what most of a host's pages share goes, also within an article."""
     body = [(k, "http://a.org/x", f"<div><p>Body {k}</p></div><article class='comment'><p>Reader {k}</p></article>") for k in range(5)]
-    shared = [(100 + k, "http://b.org/x", f"<article><p>Story {k}</p><p>{'Read our terms' if k % 5 < 3 else f'Own line {k}'}</p></article>") for k in range(40)]
+    shared = [(100 + k, "http://b.org/x", f"<article><p>Story {k}</p><div>{'Read our terms' if k % 5 < 3 else f'Own line {k}'}</div></article>") for k in range(40)]
     docs = spark.createDataFrame(body + shared, "page_id long, url string, html string")
     want = {k: f"Body {k}" for k in range(5)} | {100 + k: f"Story {k}" + ("" if k % 5 < 3 else f" Own line {k}") for k in range(40)}
     assert {r["page_id"]: r["text"] for r in html_text.extract(docs).collect()} == want
 
 
-def test_wrappers_hold_what_repeats():
-    pages = [f"<div><p>Same line</p><p>Text {k}</p></div><div class=x><p>Other {k}</p></div>" for k in range(4)]
-    fixed = html_text.template_paths(pages)
-    assert [f.split("\x00")[1] for f in fixed] == ["Same line"]
-    assert html_text.main_text(pages[0], set(fixed)) == "Text 0 Other 0"
+def nameless(k: int, host: str) -> tuple[str, str]:
+    """A page whose marks say nothing of what is what, and its text."""
+    story = [f"{host} story {k} part {j} " + "word " * (5 + (k + j) % 7) for j in range(2 + k % 3)]
+    links = "".join(f"<li><a href=/{j}>{host} {k % 5} link {j}</a>" for j in range(3 + k % 4))
+    notice = "<div class=qb>Site closes on Friday</div>" if k % 7 == 0 else ""
+    page = f"<body><div class=qa>Welcome to {host}</div>{notice}<ul>{links}</ul><div class=qc><h1>Title {k}</h1><div class=qd>{''.join(f'<p>{p}' for p in story)}</div></div><div class=qe>Seen {k * 37 % 11} times</div>"
+    return page, " ".join([f"Title {k}", *[" ".join(p.split()) for p in story]])
+
+
+@pytest.mark.parametrize("limit", [html_text.BROADCAST, 0])
+def test_pages_without_any_mark_go_by_their_wrapper(spark, monkeypatch, limit):
+    """Also where wrappers are merged in many steps and where plans are joined instead of broadcast; other columns and repeated rows change nothing."""
+    monkeypatch.setattr(html_text, "BROADCAST", limit)
+    monkeypatch.setattr(html_text, "HELD", 20)
+    monkeypatch.setattr(html_text, "FAN", 2)
+    rows, want = [], []
+    for host in ("a.org", "b.org"):
+        for k in range(60):
+            page, text = nameless(k, host)
+            rows.append((k, f"https://{host}/x", page))
+            want.append((k, f"https://{host}/x", text))
+    rows.append(rows[0])
+    want.append(want[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("content", F.lit("x")).withColumn("n", F.lit(None).cast("int")).repartition(9)
+    same([tuple(r)[:3] for r in html_text.extract(pages).collect()], want)
+
+
+def test_wrappers_match_all_pages_they_come_from():
+    """The wrapper is a union-free regular expression; in which order pages are aligned, and whether in parts, it matches all of them."""
+    rng = np.random.default_rng(7)
+
+    def some(depth: int = 0) -> str:
+        out = ""
+        for kind in rng.choice(list("abcp#"), rng.integers(0, 5)):
+            out += "text<br>" if kind == "#" else f"<div class={kind}>{some(depth + 1) if depth < 3 else 't'}</div>"
+        return out
+
+    for _ in range(300):
+        pages = [some() for _ in range(rng.integers(1, 6))]
+        whole = html_text.infer(pages)
+        parts = html_text.merged(html_text.infer(pages[::2]), html_text.infer(pages[1::2] or pages))
+        assert html_text.loaded(html_text.dumped(whole)) == whole
+        for wrapper in (whole, parts):
+            assert "|" not in html_text.regex(wrapper)
+            for page in pages:
+                assert re.fullmatch(html_text.regex(wrapper), html_text.stream(html_text.parse(page)[0]))
+
+
+def test_mismatches_become_repeated_and_optional_groups():
+    pages = ["<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><h2>only here</h2><p>x</p><p>y</p>", "<dl><dt>k<dd>v<dt>k<dd>v</dl><p>z</p>"]
+    assert html_text.regex(html_text.infer(pages)).replace("(?:", "(") == "(<>(<ul>(<li>(#)</>)+</>)?(<dl>((<dt>(#)</>)(<dd>(#)</>))+</>)?(<h2>(#)</>)?(<p>(#)</>)+</>)"
+
+
+def test_odd_pages(spark):
+    """Empty tables, very long and deep pages, and pages that are no HTML."""
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(none).count() == 0
+    long = "<p>" + "word " * 200000
+    rows = [(1, "u", long), (2, "u", "<div>" * 300 + "deep"), (3, "u", "< > </ & &amp; <!-- x"), (4, None, "\0<b>b"), (None, None, None)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, none.schema)).collect()}
+    assert got[1] == long[3:].strip() and got[2] == "deep" and got[None] == "" and got[4] == "\0b"
 
 
 def test_pipeline_stages(spark, sf_dir):
