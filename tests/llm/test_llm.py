@@ -280,7 +280,7 @@ def test_disguised_personal_data_is_found(spark):
 def test_scores_and_choice_of_candidates_equal_plain_python(private):
     model = pii.train(private)
     model.thresholds = [model.start - 1] * 4  # lets many in
-    rows = pii.with_base(private).select("doc_id", "base", pii.candidates(F.col("text")).alias("c")).withColumn("score", F.transform("c", model.score)).collect()
+    rows = pii.with_candidates(pii.with_base(private)).select("doc_id", "base", F.col("candidates").alias("c")).withColumn("score", F.transform("c", model.score)).collect()
     extra = {r["doc_id"]: {x for x in r["spans"].split(",") if x} for r in pii.digest(pii.spans(private, model)).collect()}
     added = 0
     for r in rows:
