@@ -2,8 +2,8 @@
 
 A text is cut into units: lines, and within a line runs of words that end where the next word's first letters say so, so
 that an edit moves only the borders near it. A sketch hashes every unit's 64-bit digest into three of its cells, which hold
-a count, the XOR of digests and the XOR of check values. Two sketches subtract cell by cell; peeling cells that hold one
-digest recovers the digests in which the texts differ. If peeling fails, both are sketched again with more cells. The
+a count, the sum of digests and the sum of check values (modulo 2**64). Two sketches subtract cell by cell; peeling cells that hold one
+digest recovers the digests in which the texts differ. Fingerprints are subtracted first; where peeling fails, both texts are sketched again with more cells. The
 likeness is the share of common digests among all.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents_of, partitions
 
 #: Cells of a fingerprint, and how many times more each retry takes.
-CELLS, GROWTH = 24, 4
+CELLS, GROWTH = 48, 6
 HASHES = 3
 #: Documents whose sketches are computed side by side.
 BLOCK = 128
@@ -31,18 +31,25 @@ BLOCK = 128
 RANGES = 8
 #: Ends of units: line ends, sentence ends, and before words that start with one of these letters.
 UNIT = re.compile(r"\n+|(?<=[.!?;]) +| +(?=[a-eA-E0-9])")
-#: Units longer than LONG, such as data without spaces, are cut further at these places.
-LONG, INNER = 120, re.compile(r"(?<=[aA0e|])(?=[^aA0e|])")
+#: Units longer than this, such as data or scripts without spaces, are cut further between characters that one in INNER hashes picks, whatever the script.
+LONG, INNER = 120, 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
 
 
+def inner_units(unit: str) -> list[str]:
+    code = np.frombuffer(unit.encode("utf-32-le", "replace"), "<u4")
+    picked = (code[:-1] * np.uint32(0x9E3779B1) ^ code[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+    cuts = (np.flatnonzero(picked % np.uint32(INNER) == 0) + 1).tolist()
+    return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
+
+
 def unit_digests(text: str) -> np.ndarray:
     """Sorted distinct 64-bit digests; a unit that occurs again is a digest of its own, by how often it came before."""
     seen: dict[str, int] = {}
     out = set()
     for whole in UNIT.split(text):
-        for unit in (whole,) if len(whole) <= LONG else INNER.split(whole):
+        for unit in (whole,) if len(whole) <= LONG else inner_units(whole):
             if unit:
                 n = seen.get(unit, 0)
                 seen[unit] = n + 1
@@ -111,28 +118,28 @@ def sketched(texts: list[np.ndarray], thirds: np.ndarray) -> Sketches:
     return out
 
 
-def fingerprints(texts: list[np.ndarray], cells: int) -> list[str]:
-    s = sketched(texts, np.full(len(texts), max(1, cells // HASHES)))
-    rows = zip(*[x.astype(t).reshape(len(texts), -1) for x, t in ((s.counts, "<i2"), (s.keys, "<u8"), (s.checks, "<u4"))])
+def fingerprints(s: Sketches) -> list[str]:
+    """Sketches of one size as text."""
+    rows = zip(*[x.astype(t).reshape(len(s.thirds), -1) for x, t in ((s.counts, "<i2"), (s.keys, "<u8"), (s.checks, "<u4"))])
     return [base64.b85encode(b"".join(part.tobytes() for part in row)).decode() for row in rows]
 
 
-def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Share of common digests among all of each pair, 1 where both are empty; pairs that don't peel are sketched again with more cells."""
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], of_a: Sketches, of_b: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Share of common digests among all of each pair, 1 where both are empty, and how many times it was sketched again. of_a and of_b, the fingerprints, are subtracted first; pairs that
+    don't peel are sketched again with GROWTH times the cells."""
     sizes_a, sizes_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    # one digest in eight, picked by its own bits, tells how many cells are worth a first try
-    apart = np.array([len(np.setxor1d(x[x & np.uint64(7) == 0], y[y & np.uint64(7) == 0], assume_unique=True)) for x, y in zip(a, b)], np.int64)
-    tried = np.maximum(cells, (1.6 * np.maximum(8 * apart, np.abs(sizes_a - sizes_b))).astype(np.int64))
-    out, waiting = np.zeros(len(a)), np.arange(len(a))
+    out, retries, waiting = np.zeros(len(a)), np.zeros(len(a), np.int64), np.arange(len(a))
+    thirds = of_a.thirds
     while len(waiting):
-        thirds = np.maximum(1, tried[waiting] // HASHES)
-        first, second, done = sketched([a[k] for k in waiting], thirds).minus(sketched([b[k] for k in waiting], thirds)).peel()
+        first, second, done = of_a.minus(of_b).peel()
         done &= sizes_a[waiting] - first == sizes_b[waiting] - second
         common, whole = sizes_a[waiting] - first, sizes_a[waiting] + second
         out[waiting[done]] = np.where(whole > 0, common / np.maximum(whole, 1), 1.0)[done]
-        waiting = waiting[~done]
-        tried[waiting] *= GROWTH
-    return out
+        waiting, thirds = waiting[~done], thirds[~done] * GROWTH
+        retries[waiting] += 1
+        if len(waiting):
+            of_a, of_b = (sketched([x[k] for k in waiting], thirds) for x in (a, b))
+    return out, retries
 
 
 def edited(text: str, following: str) -> str:
@@ -167,14 +174,14 @@ def with_guards(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_units for every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_units, retries_edited, retries_next for every document.
 
     The next document is the next in ascending doc_id (rows of one id: by text); after the last comes the first. Of rows that share the
     smallest id, the first is the last document's next. Rows whose doc_id is null come before all others. Null text is empty text. Two empty texts have likeness 1.
     A table of one row is its own next.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_units"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_units", "retries_edited", "retries_next"]
 
         def rows():
             last = None
@@ -190,11 +197,13 @@ def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
             texts, digests, following, after = [h[0][3] for h in held], [h[1] for h in held], [h[2] for h in held], [h[3] for h in held]
             new = [edited(t, f) for t, f in zip(texts, following)]
             changed = [unit_digests(t) for t in new]
+            own, other, next_ = (sketched(x, np.full(len(x), max(1, cells // HASHES))) for x in (digests, changed, after))
+            (near_edited, again), (near_next, again_next) = likenesses(digests, changed, own, other), likenesses(digests, after, own, next_)
             columns = [
-                [h[0][2] for h in held], list(map(len, texts)), [hashlib.sha256(t.encode()).hexdigest() for t in new], fingerprints(digests, cells), fingerprints(changed, cells),
-                likenesses(digests, changed, cells), likenesses(digests, after, cells), list(map(len, digests)),
+                [h[0][2] for h in held], list(map(len, texts)), [hashlib.sha256(t.encode()).hexdigest() for t in new], fingerprints(own), fingerprints(other),
+                near_edited, near_next, list(map(len, digests)), again, again_next,
             ]
-            types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+            types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         held, size = [], 0
@@ -207,6 +216,6 @@ def fingerprint(docs: DataFrame, cells: int = CELLS) -> DataFrame:
         if held:
             yield settled(held)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_units long"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_units long, retries_edited long, retries_next long"
     docs = documents_of(docs)
     return with_guards(docs, RANGES * partitions(docs.sparkSession)).mapInArrow(run, schema)
