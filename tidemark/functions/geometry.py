@@ -45,6 +45,19 @@ def read(wkb: bytes | None) -> tuple[str, Rings] | None:
         return None
 
 
+def boxes(wkb: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """Which of some geometries are polygons of one ring that is a box along the axes with some extent, and their bounds x0, y0, x1, y1."""
+    header = struct.pack("<BIII", 1, 3, 1, 5)
+    at = np.array([k for k, w in enumerate(wkb) if w is not None and len(w) == 93 and w[:13] == header], np.int64)
+    ring = np.frombuffer(b"".join(wkb[k][13:] for k in at), "<f8").reshape(-1, 5, 2)
+    x, y = ring[..., 0], ring[..., 1]
+    fine = np.isfinite(ring).all(axis=(1, 2)) & (ring[:, 0] == ring[:, 4]).all(axis=1)
+    turned = (x[:, 0] == x[:, 1]) & (y[:, 1] == y[:, 2]) & (x[:, 2] == x[:, 3]) & (y[:, 3] == y[:, 0])
+    level = (y[:, 0] == y[:, 1]) & (x[:, 1] == x[:, 2]) & (y[:, 2] == y[:, 3]) & (x[:, 3] == x[:, 0])
+    fine &= (turned | level) & (x[:, 0] != x[:, 2]) & (y[:, 0] != y[:, 2])
+    return at[fine], *(np.array(f(c[fine, :4], axis=1)) for f, c in ((np.min, x), (np.min, y), (np.max, x), (np.max, y)))
+
+
 def _read(data: bytes, at: int) -> tuple[str | None, Rings, int]:
     order = {0: ">", 1: "<"}[data[at]] if data[at] in (0, 1) else "?"
     if order == "?":
@@ -134,6 +147,40 @@ def union_area(shapes: list[Rings]) -> float:
     return total
 
 
+def union_of_boxes(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> float:
+    """Area of the union of boxes: slab by slab, the merged intervals of the boxes that reach through it."""
+    order = np.argsort(x0, kind="stable")
+    x0, y0, x1, y1 = x0[order], y0[order], x1[order], y1[order]
+    heights = np.unique(np.concatenate([y0, y1]))
+    total = 0.0
+    for lo, hi in zip(heights[:-1], heights[1:]):
+        on = (y0 <= lo) & (y1 >= hi)
+        if on.any():
+            left, right = x0[on], x1[on]
+            reach = np.maximum.accumulate(right)
+            before = np.concatenate([[-np.inf], reach[:-1]])
+            total += (hi - lo) * float(np.maximum(0.0, right - np.maximum(left, before)).sum())
+    return total
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, one row each."""
+    points = np.unique(np.stack([x, y], axis=1), axis=0)
+    if len(points) < 3:
+        return points
+
+    def half(rows) -> list:
+        out: list = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    rows = points.tolist()
+    return np.array(half(rows) + half(rows[::-1])).reshape(-1, 2)
+
+
 def bounds(rings: Rings) -> tuple[float, float, float, float]:
     every = np.vstack(rings)
     return (*every.min(axis=0).tolist(), *every.max(axis=0).tolist())

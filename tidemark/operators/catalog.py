@@ -18,32 +18,37 @@ class CatalogRules:
     most_members: int = 4
     most_diagonal_km: float = 20.0
     most_gap: int = 1
+    most_distance_km: float = 15.0
+    most_states: int = 2
 
 
 #: Review type and priority of each reason; 10 for any other.
-REVIEW = (("merge_candidate", "merge", 1), ("long_duration", "split", 2), ("many_members", "split", 3), ("wide", "geometry", 4), ("bridge", "split", 5), ("split_boundary", "split_boundary", 6))
+REVIEW = (("merge_candidate", "merge", 1), ("long_duration", "split", 2), ("many_members", "split", 3), ("wide", "geometry", 4), ("bridge", "split", 5), ("split_boundary", "split_boundary", 6), ("member_distance", "geometry", 7), ("many_states", "split", 8))
 
 
-def assemble(rolled: DataFrame, members: DataFrame, rules: CatalogRules, boundary: str, base: str = "conservative", wider: str = "balanced") -> DataFrame:
+def assemble(rolled: DataFrame, members: DataFrame, areas: DataFrame, rules: CatalogRules, boundary: str, base: str = "conservative", wider: str = "balanced") -> DataFrame:
     """One row for each base episode: the wider policy's components that hold its members, flags, sorted reasons, status and strength of evidence.
 
-    An episode whose wider component holds members of other base episodes is a candidate for merging; one that starts before and ends on or after the boundary date crosses the split.
+    rolled: episodes with the largest distance of members; areas: (policy, component, union_km2). An episode whose wider component holds members of other base episodes is a candidate for merging; one that starts before and ends on or after the boundary date crosses the split.
     """
     side = lambda p, c: members.where(F.col("policy") == p).select("event_id", F.col("component").alias(c))
     both = side(base, "component").join(side(wider, "wider_component"), "event_id")
     shared = both.groupBy("wider_component").agg(F.count_distinct("component").alias("base_episodes"))
     near = both.join(shared, "wider_component").groupBy("component").agg(F.max("base_episodes").alias("wider_base_episodes"), F.count_distinct("wider_component").alias("wider_components"))
-    rows = rolled.where(F.col("policy") == base).join(near, "component")
+    before, after = (F.col("episode_start") < F.lit(boundary).cast("date")), (F.col("episode_end") >= F.lit(boundary).cast("date"))
+    crossing = rolled.where(F.col("policy") == wider).select(F.col("component").alias("wider_component"), (before & after).alias("crosses"))
+    near = near.join(both.join(crossing, "wider_component").groupBy("component").agg(F.bool_or("crosses").alias("wider_crosses_split")), "component")
+    rows = rolled.where(F.col("policy") == base).join(near, "component").join(areas.where(F.col("policy") == base).select("component", "union_km2"), "component")
     merge = F.col("wider_base_episodes") > 1
-    crosses = (F.col("episode_start") < F.lit(boundary).cast("date")) & (F.col("episode_end") >= F.lit(boundary).cast("date"))
-    bridge = (F.col("edge_count") > 0) & (F.col("member_count") > 2) & (F.col("edge_count") < F.col("member_count"))
-    why = reasons((bridge, "bridge"), (F.col("duration_days") > rules.most_days, "long_duration"), (F.col("member_count") > rules.most_members, "many_members"), (merge, "merge_candidate"), (crosses, "split_boundary"), (F.col("diagonal_km") > rules.most_diagonal_km, "wide"))
+    crosses = before & after
+    bridge = (F.col("edge_count") > 0) & (F.col("member_count") > 2)
+    far, states = F.col("largest_distance_km") > rules.most_distance_km, F.col("state_count") > rules.most_states
+    why = reasons((bridge, "bridge"), (F.col("duration_days") > rules.most_days, "long_duration"), (F.col("member_count") > rules.most_members, "many_members"), (states, "many_states"), (far, "member_distance"), (merge, "merge_candidate"), (crosses | F.col("wider_crosses_split"), "split_boundary"), (F.col("diagonal_km") > rules.most_diagonal_km, "wide"))
     out = rows.withColumn("reasons", F.array_join(why, ";")).withColumn("crosses_split", crosses)
-    has = lambda r: F.array_contains(F.split("reasons", ";"), r)
-    status = F.when(has("merge_candidate"), "merge_candidate").when(has("long_duration") | has("many_members") | has("bridge"), "split_candidate").when(F.col("reasons") != "", "manual_review").otherwise("retained")
+    status = F.when(merge & ~F.col("wider_crosses_split"), "merge_candidate").when(F.col("wider_crosses_split"), "split_candidate").when(F.col("reasons") != "", "manual_review").otherwise("retained")
     strength = F.when(F.col("member_count") >= 3, "strong").when(F.col("member_count") == 2, "moderate").otherwise("single")
     out = out.withColumn("status", status).withColumn("strength", strength)
-    return out.select(F.col("component").alias("episode_key"), "episode_start", "episode_end", "duration_days", "member_count", "primary_state", "state_count", "edge_count", "diagonal_km", "wider_base_episodes", "wider_components", "crosses_split", "reasons", "status", "strength")
+    return out.select(F.col("component").alias("episode_key"), "episode_start", "episode_end", "duration_days", "member_count", "primary_state", "state_count", "edge_count", "diagonal_km", "largest_distance_km", "union_km2", "wider_base_episodes", "wider_components", "wider_crosses_split", "crosses_split", "reasons", "status", "strength")
 
 
 def review_rows(catalog: DataFrame) -> DataFrame:
@@ -131,6 +136,6 @@ def slices(catalog: DataFrame) -> DataFrame:
 
 
 def features(catalog: DataFrame) -> DataFrame:
-    """Model features of each episode: sine and cosine of its month, log of its size and extent, and whether it is a primary unit (retained, in one state)."""
+    """Model features of each episode: sine and cosine of its month, logs of its size, extent and area, and whether it is a primary unit (retained, in one state)."""
     month = F.month("episode_start") * 2 * F.pi() / 12
-    return catalog.select("episode_key", F.sin(month).alias("season_sin"), F.cos(month).alias("season_cos"), F.log1p(F.col("member_count").cast("double")).alias("log_members"), F.log1p("diagonal_km").alias("log_diagonal"), ((F.col("status") == "retained") & (F.col("state_count") == 1)).alias("primary_unit"))
+    return catalog.select("episode_key", F.sin(month).alias("season_sin"), F.cos(month).alias("season_cos"), F.log1p(F.col("member_count").cast("double")).alias("log_members"), F.log1p("diagonal_km").alias("log_diagonal"), F.log1p("union_km2").alias("log_area"), ((F.col("status") == "retained") & (F.col("state_count") == 1)).alias("primary_unit"))

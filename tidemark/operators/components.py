@@ -9,26 +9,29 @@ from ..sources.tables import written
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*edges.columns))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b), nodes being longs; a component is named by its smallest node.
+def components(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, node, component) for every node of edges (keys, a, b), nodes being longs; a component is named by its smallest node. Edges of different keys are graphs of their own,
+    all of which take the same rounds.
 
     Alternating large-star and small-star steps. Neighbours' minima are partial aggregates and joins, so that no node's neighbours meet in one
     group. Every round is written, and the rounds end when one changes nothing. No edges: no rows.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    at = [*keys, "a"]
+    edges = written(edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
+        both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*at).agg(F.min("b").alias("m")).select(*at, F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, at).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        smallest = large.groupBy(*at).agg(F.min("b").alias("m"))
+        pairs = large.join(smallest, at)
+        small = pairs.select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(smallest.select(*at, F.col("m").alias("b"))).distinct()
         edges = written(small, "edges")
         new = _state(edges)
         if new == state:
-            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+            roots = edges.select(*keys, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         state = new

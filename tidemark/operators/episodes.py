@@ -1,122 +1,200 @@
-"""Episodes: pairs of near footprints, edges by policy, components, rollups, agreement of policies."""
+"""Episodes: pairs of near footprints, edges by policy, components, rollups, agreement of policies.
+
+Events have event_id, state (the primary one), start, end (null: the start), decoded geometry, and may have states, an array of all their states.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.expr import size_bin
+from ..functions.expr import reasons, size_bin
+from .cohort import year_split
 from .components import components
 from .spatial import cells
 
 #: Policies: largest gap in days, least overlap over union, largest distance of interior points in km (conservative asks for contact alone).
 POLICIES = (("conservative", 0, 2.0, -1.0), ("balanced", 1, 0.10, 10.0), ("broad", 2, 0.05, 25.0))
 REACH_KM = 25.0
+#: Days of a slot of time in the key of the pair join.
+SLOT_DAYS = 16
+#: Limits beyond which (strictly) an episode is looked at: members, days, km between members, states.
+REVIEW_LIMITS = {"members": 100, "days": 7, "distance_km": 250.0, "states": 5}
+#: Members of a component whose hull one task computes.
+HULL = 4096
 
 
 def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICIES, "policy string, gap int, least_iou double, reach double")
 
 
-def candidate_pairs(events: DataFrame, cell: float = 25_000.0, most_gap: int = 2) -> DataFrame:
-    """Pairs (a < b) of one state whose dates are at most most_gap apart and whose bounds meet or whose points are within reach: (a, b, gap_days).
+def states_of(events: DataFrame) -> Column:
+    """All states of an event, sorted."""
+    return F.array_sort(F.array_distinct(F.col("states"))) if "states" in events.columns else F.array(F.col("state").cast("string"))
+
+
+def last_day(column: str = "end") -> Column:
+    """The end, or where there is none the start."""
+    return F.coalesce(column, column.replace("end", "start"))
 
-    Both sides are dealt to grid cells, one widened by the reach, so that the join is an equi-join on state and cell; date and distance are tested in the join.
+
+def candidate_pairs(events: DataFrame, cell: float = 25_000.0, most_gap: int = 2, slot: int = SLOT_DAYS) -> DataFrame:
+    """Pairs (a < b) that share a state, whose dates are at most most_gap apart and whose bounds meet or whose points are within reach: (a, b, gap_days, distance_km, near,
+    shared_states).
+
+    Both sides are dealt to states, grid cells and slots of time, the left one widened by reach and gap, so that the join is an equi-join on all of these; a pair is kept in the first
+    state, cell and slot that it shares.
     """
-    columns = ["event_id", "state", "start", "end", "minx", "miny", "maxx", "maxy", "point_x", "point_y"]
-    left = cells(events.select(*columns), cell, REACH_KM * 500)
-    right = cells(events.select(*columns), cell, REACH_KM * 500)
-    b = right.select("state", "cell_x", "cell_y", *[F.col(c).alias(f"{c}_b") for c in columns if c != "state"])
+    columns = ["event_id", "start", "end", "minx", "miny", "maxx", "maxy", "point_x", "point_y"]
+    rows = events.select(*columns, states_of(events).alias("states")).withColumn("end", last_day())
+
+    def dealt(around: float, days: int) -> DataFrame:
+        day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+        first = rows.withColumns({
+            "x_lo": F.floor((F.col("minx") - around) / cell), "y_lo": F.floor((F.col("miny") - around) / cell), "slot_lo": F.floor((day("start") - days) / slot), "slot_hi": F.floor((day("end") + days) / slot),
+        })
+        return cells(first, cell, around).withColumn("slot", F.explode(F.sequence("slot_lo", "slot_hi"))).withColumn("state", F.explode("states")).drop("slot_hi")
+
+    left, right = dealt(REACH_KM * 1000, most_gap), dealt(0.0, 0)
+    keys = ["state", "cell_x", "cell_y", "slot"]
+    b = right.select(*keys, *[F.col(c).alias(f"{c}_b") for c in right.columns if c not in keys])
     gap = F.greatest(F.datediff("start_b", "end"), F.datediff("start", "end_b"), F.lit(0))
     near = (F.col("minx") <= F.col("maxx_b")) & (F.col("minx_b") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy_b")) & (F.col("miny_b") <= F.col("maxy"))
     km = F.hypot(F.col("point_x") - F.col("point_x_b"), F.col("point_y") - F.col("point_y_b")) / 1000
-    rows = left.join(b, ["state", "cell_x", "cell_y"]).where("event_id < event_id_b").where((gap <= most_gap) & (near | (km <= REACH_KM)))
-    return rows.select(F.col("event_id").alias("a"), F.col("event_id_b").alias("b"), "state", gap.alias("gap_days"), km.alias("distance_km"), near.alias("near")).distinct()
+    shared = F.array_intersect("states", "states_b")
+    first = (F.col("cell_x") == F.greatest("x_lo", "x_lo_b")) & (F.col("cell_y") == F.greatest("y_lo", "y_lo_b")) & (F.col("slot") == F.greatest("slot_lo", "slot_lo_b"))
+    found = left.join(b, keys).where("event_id < event_id_b").where(first & (gap <= most_gap) & (near | (km <= REACH_KM))).where(F.col("state") == F.array_min(shared))
+    return found.select(F.col("event_id").alias("a"), F.col("event_id_b").alias("b"), gap.alias("gap_days"), km.alias("distance_km"), near.alias("near"), F.array_join(F.array_sort(shared), ";").alias("shared_states"))
 
 
 def scored_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
-    """pairs with contact, overlap_km2, union_km2 and iou; one geometry pass serves all policies."""
-    shape = lambda c: events.select(F.col("event_id").alias(c), F.col("geometry").alias(f"geometry_{c}"), F.col("area_km2_shape").alias(f"area_{c}"))
+    """pairs with contact, overlap_km2, union_km2 and iou; one pass serves all policies. Boxes go by expressions, pairs with another outline through the kernel."""
+    bounds = ["minx", "miny", "maxx", "maxy"]
+    shape = lambda c: events.select(F.col("event_id").alias(c), F.when(~F.col("is_box"), F.col("geometry")).alias(f"odd_{c}"), F.col("geometry").alias(f"geometry_{c}"), F.col("area_km2_shape").alias(f"area_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in bounds])
     rows = pairs.join(shape("a"), "a").join(shape("b"), "b")
+    boxes = F.col("odd_a").isNull() & F.col("odd_b").isNull()
+    keep = ["a", "b", "gap_days", "distance_km", "shared_states"]
+    shared = F.when(F.col("near"), (F.least("maxx_a", "maxx_b") - F.greatest("minx_a", "minx_b")) * (F.least("maxy_a", "maxy_b") - F.greatest("miny_a", "miny_b")) / 1e6).otherwise(0.0)
+    plain = rows.where(boxes).select(*keep, F.col("near").alias("contact"), shared.alias("overlap_km2"), (F.col("area_a") + F.col("area_b") - shared).alias("union_km2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ["a", "b", "state", "gap_days", "distance_km"]
         for batch in batches:
-            touch, shared, union = [], [], []
+            touch, common, union = [], [], []
             for p, q, x, y, near in zip(*[batch.column(c).to_pylist() for c in ("geometry_a", "geometry_b", "area_a", "area_b", "near")]):
                 a, b = g.read(p)[1], g.read(q)[1]
                 s = g.overlap(a, b) / 1e6 if near else 0.0
-                shared.append(s)
+                common.append(s)
                 union.append(x + y - s)
                 touch.append(near and g.contact(a, b, s))
-            more = [pa.array(touch, pa.bool_()), pa.array(shared, pa.float64()), pa.array(union, pa.float64())]
+            more = [pa.array(touch, pa.bool_()), pa.array(common, pa.float64()), pa.array(union, pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *more], [*keep, "contact", "overlap_km2", "union_km2"])
 
-    schema = "a long, b long, state string, gap_days int, distance_km double, contact boolean, overlap_km2 double, union_km2 double"
-    rows = rows.withColumn("state", F.col("state").cast("string"))
-    return rows.mapInArrow(run, schema).withColumn("iou", F.when(F.col("union_km2") > 0, F.col("overlap_km2") / F.col("union_km2")).otherwise(0.0))
+    schema = "a long, b long, gap_days int, distance_km double, shared_states string, contact boolean, overlap_km2 double, union_km2 double"
+    odd = rows.where(~boxes).select(*keep, "geometry_a", "geometry_b", "area_a", "area_b", "near").mapInArrow(run, schema)
+    return plain.unionByName(odd).withColumn("iou", F.when(F.col("union_km2") > 0, F.col("overlap_km2") / F.col("union_km2")).otherwise(0.0))
 
 
 def edges(scored: DataFrame, rules: DataFrame) -> DataFrame:
-    """(policy, a, b, ...): pairs that a policy accepts."""
-    by = (F.col("gap_days") <= F.col("gap")) & (F.col("contact") | (F.col("iou") >= F.col("least_iou")) | (F.col("distance_km") <= F.col("reach")))
-    return scored.crossJoin(F.broadcast(rules)).where(by).drop("gap", "least_iou", "reach")
+    """(policy, a, b, ..., edge_reason): pairs that a policy accepts, with the rules of space that held."""
+    tests = ((F.col("contact"), "intersects"), (F.col("iou") >= F.col("least_iou"), "overlap"), (F.col("distance_km") <= F.col("reach"), "distance"))
+    why = F.array_join(reasons(*tests), ";")
+    # the rules are a handful of rows
+    return scored.crossJoin(F.broadcast(rules)).where(F.col("gap_days") <= F.col("gap")).withColumn("edge_reason", why).where("edge_reason <> ''").drop("gap", "least_iou", "reach")
 
 
 def membership(edges: DataFrame, events: DataFrame, rules: list[str]) -> DataFrame:
-    """(policy, event_id, component, member_rank, is_anchor): components of each policy; an event without edges is its own."""
-    out = None
-    for policy in rules:
-        found = components(edges.where(F.col("policy") == policy).select("a", "b"))
-        rows = events.select("event_id").join(found, F.col("event_id") == F.col("node"), "left").select(F.lit(policy).alias("policy"), "event_id", F.coalesce("component", "event_id").alias("component"))
-        out = rows if out is None else out.unionByName(rows)
+    """(policy, event_id, component, member_rank, is_anchor): components of all policies, found in the same rounds; an event without edges is its own."""
+    found = components(edges.where(F.col("policy").isin(rules)).select("policy", "a", "b"), ("policy",)).withColumnRenamed("node", "event_id")
+    rows = events.select("event_id", F.explode(F.array(*map(F.lit, rules))).alias("policy")).join(found, ["policy", "event_id"], "left")
+    rows = rows.select("policy", "event_id", F.coalesce("component", "event_id").alias("component"))
     order = Window.partitionBy("policy", "component").orderBy("event_id")
-    return out.withColumn("member_rank", F.row_number().over(order)).withColumn("is_anchor", F.col("member_rank") == 1)
+    return rows.withColumn("member_rank", F.row_number().over(order)).withColumn("is_anchor", F.col("member_rank") == 1)
 
 
 def rollup(members: DataFrame, events: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each episode: dates, members, states, the commonest state (first seen on ties), diagonal, largest gap between starts, edges, a stable id."""
+    """One row for each episode: dates, members, states, the commonest primary state (first seen on ties), a point of its first member, diagonal, largest gap between starts, time
+    split and whether members are of several, edges, a stable id. Windows and the aggregate share one dealing by policy and component."""
     keys = ["policy", "component"]
-    rows = members.join(events, "event_id")
-    state = rows.groupBy(*keys, "state").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).groupBy(*keys).agg(F.min_by("state", F.struct(-F.col("n"), "first")).alias("primary_state"))
-    gaps = rows.withColumn("gap", F.datediff("start", F.lag("start").over(Window.partitionBy(*keys).orderBy("start", "event_id"))))
-    out = gaps.groupBy(*keys).agg(
-        F.min("start").alias("episode_start"), F.max("end").alias("episode_end"), F.count("*").alias("member_count"), F.array_join(F.array_sort(F.collect_set(F.col("state").cast("string"))), ";").alias("state_codes"), F.count_distinct("state").alias("state_count"),
+    of_event = edges.groupBy("policy", F.col("a").alias("event_id")).agg(F.count("*").alias("edges"))
+    about = events.select("event_id", "state", states_of(events).alias("states"), "start", last_day().alias("end"), "minx", "miny", "maxx", "maxy", "point_x", "point_y", year_split(F.col("start")).alias("split"))
+    rows = members.select(*keys, "event_id").join(of_event, ["policy", "event_id"], "left").join(about, "event_id")
+    component, same = Window.partitionBy(*keys), Window.partitionBy(*keys, "state")
+    rows = rows.withColumn("gap", F.datediff("start", F.lag("start").over(component.orderBy("start", "event_id"))))
+    rows = rows.withColumn("n", F.count("*").over(same)).withColumn("first", F.min("event_id").over(same))
+    out = rows.groupBy(*keys).agg(
+        F.min("start").alias("episode_start"), F.max("end").alias("episode_end"), F.count("*").alias("member_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("states")))).alias("codes"),
+        F.min_by("state", F.struct(-F.col("n"), "first")).alias("primary_state"), F.min_by("point_x", "event_id").alias("point_x"), F.min_by("point_y", "event_id").alias("point_y"),
         F.coalesce(F.max("gap"), F.lit(0)).alias("largest_start_gap"), (F.hypot(F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny")) / 1000).alias("diagonal_km"),
+        (F.min("split") != F.max("split")).alias("crosses_year_split"), F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("edge_count"),
         F.sha2(F.concat_ws("|", F.first("policy"), F.array_join(F.array_sort(F.collect_list("event_id")), ";")), 256).alias("episode_id"),
     )
-    counted = edges.join(members.select("policy", F.col("event_id").alias("a"), "component"), ["policy", "a"]).groupBy(*keys).agg(F.count("*").alias("edge_count"))
-    out = out.join(state, keys).join(counted, keys, "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0).cast("long")))
-    return out.withColumn("duration_days", F.datediff("episode_end", "episode_start") + 1).withColumn("size_bin", size_bin(F.col("member_count")))
+    out = out.withColumn("state_codes", F.array_join("codes", ";")).withColumn("state_count", F.size("codes").cast("long")).drop("codes")
+    return out.withColumn("duration_days", F.datediff("episode_end", "episode_start")).withColumn("size_bin", size_bin(F.col("member_count"))).withColumn("year_split", year_split(F.col("episode_start")))
 
 
-def union_areas(members: DataFrame, events: DataFrame) -> DataFrame:
-    """(policy, component, union_km2, largest_distance_km): area of the members' union, largest distance of member points. Components are space-time clusters of one region; a member's shape counts once."""
-    rows = members.join(events.select("event_id", "geometry", "point_x", "point_y", "area_km2_shape"), "event_id")
-    alone = Window.partitionBy("policy", "component")
-    rows = rows.withColumn("n", F.count("*").over(alone))
-    single = rows.where("n = 1").select("policy", "component", F.col("area_km2_shape").alias("union_km2"), F.lit(0.0).alias("largest_distance_km"))
+def union_areas(members: DataFrame, events: DataFrame, cell: float = 10_000.0) -> DataFrame:
+    """(policy, component, union_km2): area of the members' union. Shapes are cut at grid cells, so that a large component is many groups, whose unions add up."""
+    rows = members.select("policy", "component", "event_id").join(events.select("event_id", "geometry", "minx", "miny", "maxx", "maxy", "is_box", "area_km2_shape"), "event_id")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("policy", "component")))
+    single = rows.where("n = 1").select("policy", "component", F.col("area_km2_shape").alias("union_km2"))
 
     def run(key, table):
-        shapes = [g.read(w)[1] for w in table["geometry"].to_pylist()]
-        x, y = table["point_x"].to_numpy(), table["point_y"].to_numpy()
-        far = max((((x - a) ** 2 + (y - b) ** 2).max() for a, b in zip(x, y)), default=0.0) ** 0.5 / 1000
-        return pa.table({"policy": [key[0].as_py()], "component": [key[1].as_py()], "union_km2": [g.union_area(shapes) / 1e6], "largest_distance_km": [float(far)]})
+        left, low = key[2].as_py() * cell, key[3].as_py() * cell
+        box = table["is_box"].to_numpy(zero_copy_only=False).astype(bool)
+        if box.all():
+            at = [np.clip(table[c].to_numpy(), lo, lo + cell) for c, lo in (("minx", left), ("miny", low), ("maxx", left), ("maxy", low))]
+            area = g.union_of_boxes(*at)
+        else:
+            shapes = [g.clip(g.read(w)[1], left, low, left + cell, low + cell) for w in table["geometry"].to_pylist()]
+            area = g.union_area([s for s in shapes if s])
+        return pa.table({"policy": [key[0].as_py()], "component": [key[1].as_py()], "m2": [float(area)]})
+
+    parts = cells(rows.where("n > 1"), cell).groupBy("policy", "component", "cell_x", "cell_y").applyInArrow(run, "policy string, component long, m2 double")
+    return single.unionByName(parts.groupBy("policy", "component").agg((F.sum("m2") / 1e6).alias("union_km2")))
+
+
+def spans(members: DataFrame, events: DataFrame) -> DataFrame:
+    """(policy, component, largest_distance_km): largest distance of two members' points. Only corners of the convex hull can be furthest apart; hulls of up to HULL points
+    each are found first, so that of a large component only corners meet."""
+    rows = members.select("policy", "component", "event_id").join(events.select("event_id", "point_x", "point_y"), "event_id")
+    n = F.count("*").over(Window.partitionBy("policy", "component"))
+    rows = rows.withColumn("n", n).withColumn("salt", F.pmod(F.xxhash64("event_id"), F.ceil(F.col("n") / HULL)))
+    single = rows.where("n = 1").select("policy", "component", F.lit(0.0).alias("largest_distance_km"))
+
+    def corners(key, table):
+        at = g.hull(table["point_x"].to_numpy(), table["point_y"].to_numpy())
+        return pa.table({"policy": [key[0].as_py()] * len(at), "component": [key[1].as_py()] * len(at), "x": at[:, 0], "y": at[:, 1]})
+
+    def furthest(key, table):
+        at = g.hull(table["x"].to_numpy(), table["y"].to_numpy())
+        far = max((float(np.hypot(*(at - p).T).max()) for p in at), default=0.0)
+        return pa.table({"policy": [key[0].as_py()], "component": [key[1].as_py()], "largest_distance_km": [far / 1000]})
+
+    hulls = rows.where("n > 1").groupBy("policy", "component", "salt").applyInArrow(corners, "policy string, component long, x double, y double")
+    return single.unionByName(hulls.groupBy("policy", "component").applyInArrow(furthest, "policy string, component long, largest_distance_km double"))
+
 
-    several = rows.where("n > 1").groupBy("policy", "component").applyInArrow(run, "policy string, component long, union_km2 double, largest_distance_km double")
-    return single.unionByName(several)
+def with_review(rolled: DataFrame, spans: DataFrame, limits: dict = REVIEW_LIMITS) -> DataFrame:
+    """Episodes with the largest distance of members, and why they are looked at (review_reasons, empty: not)."""
+    rows = rolled.join(spans, ["policy", "component"])
+    over = [("member_count", "members"), ("duration_days", "days"), ("largest_distance_km", "distance_km"), ("state_count", "states")]
+    return rows.withColumn("review_reasons", F.array_join(reasons(*[(F.col(c) > limits[k], f"over_{k}") for c, k in over]), ";"))
 
 
-def policy_sensitivity(rolled: DataFrame) -> DataFrame:
+def policy_sensitivity(reviewed: DataFrame) -> DataFrame:
     """Statistics of each policy's episodes."""
     q = lambda c, p: F.expr(f"percentile_disc({p}) within group (order by {c})")
-    return rolled.groupBy("policy").agg(
-        F.count("*").alias("episodes"), F.sum("member_count").alias("members"), F.sum((F.col("member_count") == 1).cast("long")).alias("singletons"), F.max("member_count").alias("largest"), q("member_count", 0.5).alias("size_p50"), q("member_count", 0.9).alias("size_p90"), q("member_count", 0.99).alias("size_p99"),
-        F.max("duration_days").alias("longest"), q("duration_days", 0.9).alias("duration_p90"), F.sum("edge_count").alias("edges"), F.sum((F.col("state_count") > 1).cast("long")).alias("multistate"),
+    n = lambda c: F.sum(c.cast("long"))
+    return reviewed.groupBy("policy").agg(
+        F.sum("member_count").alias("members"), F.count("*").alias("episodes"), n(F.col("member_count") == 1).alias("singletons"), n(F.col("member_count") > 1).alias("multi_member"),
+        q("member_count", 0.5).alias("size_p50"), q("member_count", 0.9).alias("size_p90"), q("member_count", 0.95).alias("size_p95"), q("member_count", 0.99).alias("size_p99"), F.max("member_count").alias("largest"),
+        q("duration_days", 0.5).alias("duration_p50"), q("duration_days", 0.95).alias("duration_p95"), F.max("duration_days").alias("longest"),
+        n(F.col("state_count") > 1).alias("multistate"), n(F.col("crosses_year_split")).alias("split_boundary"), n(F.col("review_reasons") != "").alias("review_flagged"), F.sum("edge_count").alias("edges"),
     )
 
 
@@ -129,7 +207,7 @@ def state_years(rolled: DataFrame) -> DataFrame:
 
 
 def agreement(members: DataFrame, left: str, right: str) -> DataFrame:
-    """How two policies' components agree, from the contingency table alone: preserved, merged and split components, share of pairs treated alike."""
+    """How two policies' components agree, from the contingency table alone: preserved, merged and split components, events whose component is the same, share of pairs treated alike."""
     side = lambda p, c: members.where(F.col("policy") == p).select("event_id", F.col("component").alias(c))
     cells_ = side(left, "l").join(side(right, "r"), "event_id").groupBy("l", "r").agg(F.count("*").alias("n"))
     a, b = Window.partitionBy("l"), Window.partitionBy("r")
@@ -137,16 +215,17 @@ def agreement(members: DataFrame, left: str, right: str) -> DataFrame:
     c2 = lambda c: c * (c - 1) / 2
     out = rows.agg(
         F.sum("n").alias("events"), F.sum(((F.col("n") == F.col("in_l")) & (F.col("n") == F.col("in_r"))).cast("long")).alias("preserved"), F.count_distinct(F.when((F.col("parts_r") > 1) & (F.col("n") == F.col("in_l")), F.col("l"))).alias("merged"), F.count_distinct(F.when(F.col("parts_l") > 1, F.col("l"))).alias("split"),
+        F.sum(F.when((F.col("n") == F.col("in_l")) & (F.col("n") == F.col("in_r")), F.col("n")).otherwise(0)).alias("identical"),
         F.sum(c2(F.col("n"))).alias("both"), F.sum(c2(F.col("in_l")) / F.col("parts_l")).alias("pairs_l"), F.sum(c2(F.col("in_r")) / F.col("parts_r")).alias("pairs_r"),
     )
     total = c2(F.col("events"))
-    return out.select(F.lit(left).alias("left_policy"), F.lit(right).alias("right_policy"), "events", "preserved", "merged", "split", F.when(total > 0, (total - F.col("pairs_l") - F.col("pairs_r") + 2 * F.col("both")) / total).alias("agreement"))
+    return out.select(F.lit(left).alias("left_policy"), F.lit(right).alias("right_policy"), "events", "preserved", "merged", "split", "identical", F.when(total > 0, (total - F.col("pairs_l") - F.col("pairs_r") + 2 * F.col("both")) / total).alias("agreement"))
 
 
 def pair_diagnostics(scored: DataFrame, events: DataFrame) -> DataFrame:
-    """Pairs and participants by start year, state, rule of time and rule of space; pairs count only within one start year."""
+    """Pairs and participants by start year, shared state, rule of time and rule of space; pairs count only within one start year."""
     year = lambda c: events.select(F.col("event_id").alias(c), F.year("start").alias(f"year_{c}"))
-    rows = scored.join(year("a"), "a").join(year("b"), "b").where("year_a = year_b")
+    rows = scored.join(year("a"), "a").join(year("b"), "b").where("year_a = year_b").withColumn("state", F.explode(F.split("shared_states", ";")))
     d = lambda n: F.col("distance_km") <= n
     when = F.array_compact(F.array(*[F.when(F.col("gap_days") <= n, F.lit(f"gap_{n}")) for n in (0, 1, 2)]))
     where = F.array_compact(F.array(F.when(F.col("contact"), F.lit("intersects")), *[F.when(d(n), F.lit(f"within_{n}km")) for n in (5, 10, 25)]))

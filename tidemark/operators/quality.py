@@ -17,7 +17,7 @@ def validated(records: DataFrame, allow_invalid_geometry: bool = False) -> DataF
     invalid = ~F.coalesce("is_valid", F.lit(True)) & ~F.coalesce("is_empty", F.lit(False))
     width = F.col("maxx") - F.col("minx")
     out = rows.withColumn("reject_reason", F.array_join(reject, ";")).withColumn("quarantine_reason", F.when(invalid & F.lit(not allow_invalid_geometry) & (F.size(reject) == 0), "invalid_geometry"))
-    return out.withColumn("duration_days", F.datediff("end", "start") + 1).withColumn("antimeridian_review", F.coalesce((F.col("minx") <= -179) | (F.col("maxx") >= 179) | (width > 180), F.lit(False)))
+    return out.withColumn("duration_days", F.datediff("end", "start")).withColumn("antimeridian_review", F.coalesce((F.col("minx") <= -179) | (F.col("maxx") >= 179) | (width > 180), F.lit(False)))
 
 
 def with_duplicates(rows: DataFrame, key: str, signature: list[str], order: str) -> DataFrame:

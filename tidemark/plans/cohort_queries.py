@@ -8,9 +8,9 @@ from ..functions.expr import rounded
 from ..operators import catalog as c
 from ..operators import cohort as h
 from ..operators import quality as q
+from ..operators.episodes import union_areas
 from .base import table
-from .space_queries import MEMBERS, footprints, grouped
-from ..operators.episodes import rollup
+from .space_queries import MEMBERS, footprints, grouped, rolled
 
 SIGN = ["l_suppkey", "l_shipdate", "l_quantity"]
 
@@ -22,7 +22,7 @@ def duplicate_profile(spark, d):
 def duplicate_policy(spark, d):
     """Outcomes under all four policies; some rows count as rejected and as invalid before duplicates are looked at."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").where("l_partkey % 2 = 0").select("l_partkey", *SIGN, k.alias("source_row_index"), F.when(F.col("l_quantity") > 48, "null_start").otherwise("").alias("reject_reason"), F.when(F.col("l_linenumber") == 7, "invalid_geometry").alias("quarantine_reason"))
+    rows = table(spark, d, "lineitem").select("l_partkey", *SIGN, k.alias("source_row_index"), F.when(F.col("l_quantity") > 48, "null_start").otherwise("").alias("reject_reason"), F.when(F.col("l_linenumber") == 7, "invalid_geometry").alias("quarantine_reason"))
     flagged = q.with_duplicates(rows, "l_partkey", SIGN, "source_row_index")
     out = None
     for policy in q.DUPLICATE_POLICIES:
@@ -35,7 +35,7 @@ def record_validation(spark, d):
     """Footprints with ids in several spellings, some broken, through validation; counts of what came of them."""
     e = footprints(spark, d)
     hex_ = F.md5(F.col("event_id").cast("string"))
-    k = F.col("event_id") / 5
+    k = F.col("event_id")
     uuid = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, F.concat(F.lit("{"), hex_, F.lit("}"))).when(k % 7 == 2, F.lit("no-uuid")).otherwise(hex_)
     start = F.when(k % 11 == 0, F.lit("2023")).when(k % 11 == 1, F.lit(None)).otherwise(F.col("start").cast("string"))
     rows = q.validated(e.select(uuid.alias("uuid"), start.alias("start_date"), F.col("end").cast("string").alias("end_date"), F.lit(None).cast("double").alias("area_km2"), "geometry", "geometry_type", "is_empty", "is_valid", "minx", "miny", "maxx", "maxy"))
@@ -88,8 +88,9 @@ def monthly_counts(spark, d):
 
 
 def cataloged(spark, d):
-    e, edges, members = grouped(spark, d)
-    return c.assemble(rollup(members, e, edges), members, c.CatalogRules(), "2024-01-01"), members
+    episodes, members, e = rolled(spark, d)
+    mine = members.where("policy = 'conservative'")
+    return c.assemble(episodes, members, union_areas(mine, e), c.CatalogRules(), "2024-01-01"), members
 
 
 def catalog_rows(spark, d):
@@ -149,19 +150,21 @@ CAT = MEMBERS + """,
 bo AS (SELECT a.event_id, a.component, b.component AS wc FROM me a JOIN me b USING (event_id) WHERE a.policy = 'conservative' AND b.policy = 'balanced'),
 sh AS (SELECT wc, count(DISTINCT component) AS base_episodes FROM bo GROUP BY 1),
 nr AS (SELECT component, max(base_episodes) AS wider_base_episodes, count(DISTINCT wc) AS wider_components FROM bo JOIN sh USING (wc) GROUP BY 1),
-k0 AS (SELECT component AS episode_key, episode_start, episode_end, duration_days, member_count, primary_state, state_count, edge_count, diagonal_km, wider_base_episodes, wider_components, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS crosses_split,
-  concat_ws(';', CASE WHEN edge_count > 0 AND member_count > 2 AND edge_count < member_count THEN 'bridge' END, CASE WHEN duration_days > 3 THEN 'long_duration' END, CASE WHEN member_count > 4 THEN 'many_members' END, CASE WHEN wider_base_episodes > 1 THEN 'merge_candidate' END,
-  CASE WHEN episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' THEN 'split_boundary' END, CASE WHEN diagonal_km > 20 THEN 'wide' END) AS reasons FROM ru JOIN nr USING (component) WHERE policy = 'conservative'),
-ca AS (SELECT *, CASE WHEN contains(reasons, 'merge_candidate') THEN 'merge_candidate' WHEN contains(reasons, 'long_duration') OR contains(reasons, 'many_members') OR contains(reasons, 'bridge') THEN 'split_candidate' WHEN reasons <> '' THEN 'manual_review' ELSE 'retained' END AS status,
+wx AS (SELECT component AS wc, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS x FROM ru WHERE policy = 'balanced'),
+cx AS (SELECT component, bool_or(x) AS wider_crosses_split FROM bo JOIN wx USING (wc) GROUP BY 1),
+k0 AS (SELECT component AS episode_key, episode_start, episode_end, duration_days, member_count, primary_state, state_count, edge_count, diagonal_km, largest_distance_km, union_km2, wider_base_episodes, wider_components, wider_crosses_split, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS crosses_split,
+  concat_ws(';', CASE WHEN edge_count > 0 AND member_count > 2 THEN 'bridge' END, CASE WHEN duration_days > 3 THEN 'long_duration' END, CASE WHEN member_count > 4 THEN 'many_members' END, CASE WHEN state_count > 2 THEN 'many_states' END, CASE WHEN largest_distance_km > 15 THEN 'member_distance' END, CASE WHEN wider_base_episodes > 1 THEN 'merge_candidate' END,
+  CASE WHEN wider_crosses_split OR episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' THEN 'split_boundary' END, CASE WHEN diagonal_km > 20 THEN 'wide' END) AS reasons FROM ru JOIN nr USING (component) JOIN cx USING (component) JOIN ar USING (policy, component) WHERE policy = 'conservative'),
+ca AS (SELECT *, CASE WHEN wider_base_episodes > 1 AND NOT wider_crosses_split THEN 'merge_candidate' WHEN wider_crosses_split THEN 'split_candidate' WHEN reasons <> '' THEN 'manual_review' ELSE 'retained' END AS status,
   CASE WHEN member_count >= 3 THEN 'strong' WHEN member_count = 2 THEN 'moderate' ELSE 'single' END AS strength FROM k0),
-rv AS (SELECT episode_key, r AS reason, coalesce(t.ty, 'other') AS ty, coalesce(t.p, 10) AS p FROM (SELECT episode_key, unnest(string_split(reasons, ';')) AS r FROM ca WHERE reasons <> '') LEFT JOIN (VALUES ('merge_candidate', 'merge', 1), ('long_duration', 'split', 2), ('many_members', 'split', 3), ('wide', 'geometry', 4), ('bridge', 'split', 5), ('split_boundary', 'split_boundary', 6)) t(reason, ty, p) ON t.reason = r)
+rv AS (SELECT episode_key, r AS reason, coalesce(t.ty, 'other') AS ty, coalesce(t.p, 10) AS p FROM (SELECT episode_key, unnest(string_split(reasons, ';')) AS r FROM ca WHERE reasons <> '') LEFT JOIN (VALUES ('merge_candidate', 'merge', 1), ('long_duration', 'split', 2), ('many_members', 'split', 3), ('wide', 'geometry', 4), ('bridge', 'split', 5), ('split_boundary', 'split_boundary', 6), ('member_distance', 'geometry', 7), ('many_states', 'split', 8)) t(reason, ty, p) ON t.reason = r)
 """
 _POL = "SELECT '{p}' AS policy, count(*) AS source, count(*) FILTER (o = 'accepted') AS accepted, count(*) FILTER (o = 'quarantined') AS quarantined, count(*) FILTER (o = 'rejected') AS rejected, TRUE AS balanced FROM (SELECT CASE WHEN l_quantity > 48 THEN 'rejected' WHEN l_linenumber = 7 THEN 'quarantined' WHEN n > 1 AND NOT ({stay}) THEN '{lost}' ELSE 'accepted' END AS o FROM dp)"
 ORACLE = {
     "duplicate_profile": "WITH g AS (SELECT l_partkey, count(*) AS n, count(DISTINCT (l_suppkey, l_shipdate, l_quantity)) AS kinds, count(DISTINCT l_suppkey) AS a, count(DISTINCT l_shipdate) AS b, count(DISTINCT l_quantity) AS c FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_rows, CAST(coalesce(sum(n - kinds), 0) AS BIGINT) AS exact_copies, count(*) FILTER (kinds > 1) AS conflicting_groups, count(*) FILTER (a > 1) AS conflicts_l_suppkey, count(*) FILTER (b > 1) AS conflicts_l_shipdate, count(*) FILTER (c > 1) AS conflicts_l_quantity FROM g",
-    "duplicate_policy": "WITH dp AS (SELECT *, l_orderkey * 10 + l_linenumber AS i, count(*) OVER (PARTITION BY l_partkey) AS n, min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey) AS lo, max(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey) AS hi FROM lineitem WHERE l_partkey % 2 = 0) " + " UNION ALL ".join(_POL.format(p=p, stay=s, lost=l) for p, s, l in (("quarantine", "FALSE", "quarantined"), ("keep-first", "i = lo", "quarantined"), ("keep-last", "i = hi", "quarantined"), ("reject-all", "FALSE", "rejected"))),
-    "record_validation": f"WITH {MEMBERS}, k AS (SELECT *, event_id // 5 AS k FROM fp), v AS (SELECT concat_ws(';', CASE WHEN k % 7 = 0 THEN 'null_uuid' END, CASE WHEN k % 7 = 2 THEN 'malformed_uuid' END, CASE WHEN k % 11 = 1 THEN 'null_start' END, CASE WHEN k % 11 = 0 THEN 'malformed_start' END) AS reject_reason, CASE WHEN k % 11 > 1 THEN datediff('day', s, e) + 1 END AS dd, x, w FROM k) SELECT reject_reason, count(*) AS n, CAST(0 AS BIGINT) AS quarantined, max(dd) AS longest, count(*) FILTER (x <= -179 OR x + w >= 179 OR w > 180) AS reviewed FROM v GROUP BY 1",
-    "table_profile": f"WITH {MEMBERS} SELECT count(*) AS rows, round(min(w * w / 1e6), 6) AS least_area, round(max(w * w / 1e6), 6) AS largest_area, round(avg(w * w / 1e6), 6) AS mean_area, min(s) AS first_start, max(s) AS last_start, count(*) FILTER (e IS NULL) AS null_ends, count(*) FILTER (e < s) AS negative_durations FROM fp",
+    "duplicate_policy": "WITH dp AS (SELECT *, l_orderkey * 10 + l_linenumber AS i, count(*) OVER (PARTITION BY l_partkey) AS n, min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey) AS lo, max(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey) AS hi FROM lineitem) " + " UNION ALL ".join(_POL.format(p=p, stay=s, lost=l) for p, s, l in (("quarantine", "FALSE", "quarantined"), ("keep-first", "i = lo", "quarantined"), ("keep-last", "i = hi", "quarantined"), ("reject-all", "FALSE", "rejected"))),
+    "record_validation": f"WITH {MEMBERS}, k AS (SELECT *, event_id AS k FROM fp), v AS (SELECT concat_ws(';', CASE WHEN k % 7 = 0 THEN 'null_uuid' END, CASE WHEN k % 7 = 2 THEN 'malformed_uuid' END, CASE WHEN k % 11 = 1 THEN 'null_start' END, CASE WHEN k % 11 = 0 THEN 'malformed_start' END) AS reject_reason, CASE WHEN k % 11 > 1 THEN datediff('day', s, raw_e) END AS dd, x, w FROM k) SELECT reject_reason, count(*) AS n, CAST(0 AS BIGINT) AS quarantined, max(dd) AS longest, count(*) FILTER (x <= -179 OR x + w >= 179 OR w > 180) AS reviewed FROM v GROUP BY 1",
+    "table_profile": f"WITH {MEMBERS} SELECT count(*) AS rows, round(min(w * w / 1e6), 6) AS least_area, round(max(w * w / 1e6), 6) AS largest_area, round(avg(w * w / 1e6), 6) AS mean_area, min(s) AS first_start, max(s) AS last_start, count(*) FILTER (raw_e IS NULL) AS null_ends, count(*) FILTER (raw_e < s) AS negative_durations FROM fp",
     "start_histogram": f"WITH {MEMBERS} SELECT strftime(s, '%Y-%m') AS month, count(*) AS n FROM fp GROUP BY 1",
     "field_quality": "SELECT 'l_orderkey' AS field, 0.0 AS null_percent UNION ALL SELECT 'quantity', round((SELECT avg(CAST(l_quantity < 10 AS INT)) * 100 FROM lineitem), 6) UNION ALL SELECT 'flag', round((SELECT avg(CAST(l_returnflag = 'R' AS INT)) * 100 FROM lineitem), 6)",
     "cohort_status": f"WITH {CO} SELECT event_id, primary_state, states, study_domain, primary_reason, other_reasons, cohort_status, split, year_split FROM co",
@@ -171,7 +174,7 @@ ORACLE = {
 SELECT scope, count(*) AS events, count(*) FILTER ("end" IS NULL) AS missing_end, coalesce(count(*) FILTER (days < 0), 0) AS negative, count(*) FILTER (days = 0) AS same_day, count(*) FILTER (days > 1) AS over_1, count(*) FILTER (days > 3) AS over_3, count(*) FILTER (days > 7) AS over_7, count(*) FILTER (days > 30) AS over_30,
 quantile_disc(days, 0.5) FILTER (days >= 0) AS p50, quantile_disc(days, 0.9) FILTER (days >= 0) AS p90, quantile_disc(days, 0.95) FILTER (days >= 0) AS p95, quantile_disc(days, 0.99) FILTER (days >= 0) AS p99 FROM s GROUP BY 1""",
     "monthly_counts": f"WITH {CO} SELECT strftime(start, '%Y-%m') AS month, count(*) AS events, count(*) FILTER (cohort_status = 'eligible') AS eligible FROM co GROUP BY 1",
-    "catalog_rows": f"WITH {CAT} SELECT * REPLACE (round(diagonal_km, 6) AS diagonal_km) FROM ca",
+    "catalog_rows": f"WITH {CAT} SELECT * REPLACE (round(diagonal_km, 6) AS diagonal_km, round(largest_distance_km, 6) AS largest_distance_km, round(union_km2, 6) AS union_km2) FROM ca",
     "catalog_review": f"WITH {CAT} SELECT episode_key, first(ty ORDER BY p) AS review_type, min(p) AS priority, count(*) AS reason_count, CASE first(ty ORDER BY p) WHEN 'merge' THEN 'compare_with_neighbours' WHEN 'split' THEN 'check_members' ELSE 'look_at_map' END AS action FROM rv GROUP BY 1",
     "catalog_decisions": f"WITH {CAT} SELECT episode_key, CASE WHEN status = 'retained' THEN 'retain' ELSE 'review_pending' END AS decision, CASE WHEN status = 'retained' THEN 'rule_based' ELSE 'deferred' END AS basis FROM ca",
     "catalog_summary": f"WITH {CAT} SELECT count(*) AS episodes, CAST(sum(member_count) AS BIGINT) AS members, {', '.join(chr(10) + f'count(*) FILTER (status = {chr(39)}{s}{chr(39)}) AS {s}' for s in ('retained', 'merge_candidate', 'split_candidate', 'manual_review'))}, count(*) FILTER (crosses_split) AS crossing, count(*) FILTER (member_count = 1) AS singletons FROM ca",

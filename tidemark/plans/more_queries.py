@@ -53,6 +53,6 @@ ORACLE = {
     "state_records": f"WITH {CO} SELECT event_id, es.state, start, cohort_status, es.state IS NOT DISTINCT FROM primary_state AS is_primary_state FROM es JOIN co USING (event_id) WHERE cohort_status <> 'excluded'",
     "fold_assignment": "SELECT grp, CAST((row_number() OVER (ORDER BY sha256('0:' || grp), grp) - 1) % 4 AS INT) AS fold FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS grp FROM customer)",
     "episode_slices": f"WITH {CAT} SELECT episode_key, status, 'review_flagged' AS slice FROM ca WHERE reasons <> '' UNION ALL SELECT episode_key, status, 'split_crossing' FROM ca WHERE crosses_split UNION ALL SELECT episode_key, status, 'multistate' FROM ca WHERE state_count > 1",
-    "episode_features": f"WITH {CAT} SELECT episode_key, round(sin(month(episode_start) * 2 * pi() / 12), 6) AS season_sin, round(cos(month(episode_start) * 2 * pi() / 12), 6) AS season_cos, round(ln(1 + member_count), 6) AS log_members, round(ln(1 + diagonal_km), 6) AS log_diagonal, status = 'retained' AND state_count = 1 AS primary_unit FROM ca",
+    "episode_features": f"WITH {CAT} SELECT episode_key, round(sin(month(episode_start) * 2 * pi() / 12), 6) AS season_sin, round(cos(month(episode_start) * 2 * pi() / 12), 6) AS season_cos, round(ln(1 + member_count), 6) AS log_members, round(ln(1 + diagonal_km), 6) AS log_diagonal, round(ln(1 + union_km2), 6) AS log_area, status = 'retained' AND state_count = 1 AS primary_unit FROM ca",
 }
 QUERIES = {f.__name__: f for f in (input_report, boundary_rows, duplicate_keys, state_records, fold_assignment, episode_slices, episode_features)}
