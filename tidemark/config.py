@@ -27,6 +27,13 @@ class Rules:
     phase_coverage: float = 0.8
     most_zero_share: float = 0.5
     signal_lift: float = 1.0
+    signal_robust: float = 1.0
+    least_adjusted: float = 1.0
+    least_controls: int = 2
+    strong_days: int = 2
+    moderate_days: int = 7
+    national_days: int = 2
+    support_share: float = 0.5
 
 
 #: The same rules in short windows, for tables of one month.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,43 +14,54 @@ from ..functions.expr import correlation, median_of, reasons
 CATEGORIES = ("insufficient_evidence", "event_consistent_signal", "likely_national_or_promotional", "nonflood_weather_consistent", "possibly_event_consistent", "unrelated_or_ambiguous")
 
 
-def concurrence(series: DataFrame, phases: DataFrame, families: DataFrame, rules: Rules) -> DataFrame:
-    """For each demand series: the best series of each other family in its request and repeat, how far their peaks are apart, and their correlation.
+def concurrence(series: DataFrame, families: DataFrame, rules: Rules) -> DataFrame:
+    """For each demand series and each other family: the family's best series in the same request and repeat (null: none), how many days their peaks are apart, whether that is strong or
+    moderate concurrence, and their correlation.
 
-    families: concept_id, family, of which demand is one. Best is the largest peak, then more days, then the name first in order.
+    families: concept_id, family, of which demand is one. Best is the largest value, then more days, then the name last in order. A peak is the earliest day of a series' largest value.
     """
     keys = ["request_id", "repeat_id"]
-    known = phases.join(F.broadcast(families), "concept_id")
-    best = known.where("family <> 'demand' and peak_value is not null").groupBy(*keys, "family").agg(F.min_by(F.struct("concept_id", "peak_date", "peak_value"), F.struct(-F.col("peak_value"), -F.col("baseline_days"), "concept_id")).alias("best"))
-    demand = known.where("family = 'demand'").select(*keys, "concept_id", "peak_date", "peak_value")
-    pairs = demand.join(best, keys).select(*keys, "concept_id", "peak_date", "family", F.col("best.concept_id").alias("other_id"), F.col("best.peak_date").alias("other_peak_date"), F.col("best.peak_value").alias("other_peak_value"))
+    peaks = series.groupBy(*keys, "concept_id").agg(F.max("value").alias("peak_value"), F.count("*").alias("days"), F.min_by("date", F.struct(-F.col("value"), "date")).alias("peak_date"))
+    known = peaks.join(families, "concept_id")
+    one = F.struct("concept_id", "peak_date", "peak_value")
+    best = known.where("family <> 'demand'").groupBy(*keys, "family").agg(F.max_by(one, F.struct("peak_value", "days", "concept_id")).alias("best"))
+    others = families.where("family <> 'demand'").select("family").distinct()
+    demand = known.where("family = 'demand'").select(*keys, "concept_id", "peak_date").crossJoin(others)
+    pairs = demand.join(best, [*keys, "family"], "left").select(*keys, "concept_id", "peak_date", "family", F.col("best.concept_id").alias("other_id"), F.col("best.peak_date").alias("other_peak_date"), F.col("best.peak_value").alias("other_peak_value"))
     x = series.select(*keys, "concept_id", "date", F.col("value").alias("x"))
     y = series.select(*keys, F.col("concept_id").alias("other_id"), "date", F.col("value").alias("y"))
     aligned = pairs.join(x, [*keys, "concept_id"]).join(y, [*keys, "other_id", "date"]).groupBy(*keys, "concept_id", "family").agg(correlation("x", "y", rules.least_correlation_days).alias("correlation"), F.count("*").alias("aligned_days"))
-    out = pairs.join(aligned, [*keys, "concept_id", "family"], "left").withColumn("peak_difference", F.datediff("other_peak_date", "peak_date"))
-    return out.withColumn("concurrent", F.coalesce(F.abs("peak_difference") <= 3, F.lit(False)))
+    out = pairs.join(aligned, [*keys, "concept_id", "family"], "left").withColumn("peak_difference", F.abs(F.datediff("other_peak_date", "peak_date")))
+    near = lambda days: F.coalesce(F.col("peak_difference") <= days, F.lit(False))
+    return out.withColumn("strong", near(rules.strong_days)).withColumn("moderate", near(rules.moderate_days))
 
 
-def consensus(rows: DataFrame) -> DataFrame:
-    """Concurrence over a request's repeats: counts, shares, medians and ranges, agreement, and a verdict. Two repeats must be unanimous to support."""
-    yes, n = F.sum(F.col("concurrent").cast("long")), F.count("*")
+def consensus(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Concurrence over a request's repeats: counts and shares of strong and moderate concurrence, medians and ranges, agreement of series and dates, correlations, a verdict, and whether the
+    repeats support it: both of two, else the rules' share of them."""
+    n, yes = F.count("*"), lambda c: F.sum(F.col(c).cast("long"))
+    same = lambda c: (F.count(c) == n) & (F.count_distinct(c) == 1)
     out = rows.groupBy("request_id", "concept_id", "family").agg(
-        n.alias("repeats"), yes.alias("concurrent_repeats"), F.avg(F.col("concurrent").cast("double")).alias("concurrent_share"), F.median("peak_difference").alias("median_difference"), (F.max("peak_difference") - F.min("peak_difference")).alias("difference_range"),
-        F.count_distinct("other_id").alias("others"), F.count_distinct("other_peak_date").alias("other_dates"), F.median("correlation").alias("median_correlation"), F.min("correlation").alias("least_correlation"), F.max("correlation").alias("largest_correlation"), F.count("correlation").alias("correlations"),
+        n.alias("repeats"), yes("strong").alias("strong_repeats"), yes("moderate").alias("moderate_repeats"), (yes("strong") / n).alias("strong_share"), (yes("moderate") / n).alias("moderate_share"), F.bool_or("strong").alias("any_strong"),
+        F.count("peak_difference").alias("valid_differences"), F.median("peak_difference").alias("median_difference"), (F.max("peak_difference") - F.min("peak_difference")).alias("difference_range"),
+        same("other_id").alias("same_other"), same("other_peak_date").alias("same_other_date"), same("peak_date").alias("same_date"), F.array_join(F.array_sort(F.collect_set("other_id")), ";").alias("others"),
+        F.median("correlation").alias("median_correlation"), F.min("correlation").alias("least_correlation"), F.max("correlation").alias("largest_correlation"), F.count("correlation").alias("correlations"),
     )
-    share = F.col("concurrent_share")
-    verdict = F.when(F.col("repeats") < 2, "not_repeated").when(share == 1, "unanimous").when(share > 0.5, "majority").when(share > 0, "minority_only").otherwise("none")
-    supports = F.when(F.col("repeats") <= 2, share == 1).otherwise(share > 0.5)
-    return out.withColumn("verdict", verdict).withColumn("supports", supports).withColumn("same_other", F.col("others") == 1)
-
-
-def national_comparison(phases: DataFrame, roles: DataFrame) -> DataFrame:
-    """Treated and national series of one episode, concept and repeat: how far the peaks are apart and a status."""
-    rows = phases.join(roles, "request_id").select("episode_id", "role", "concept_id", "repeat_id", "peak_date", "peak_value", "peak_standardized", "quality")
-    side = lambda role, p: rows.where(F.col("role") == role).select("episode_id", "concept_id", "repeat_id", *[F.col(c).alias(f"{p}_{c}") for c in ("peak_date", "peak_value", "peak_standardized", "quality")])
-    out = side("treated", "state").join(side("national", "national"), ["episode_id", "concept_id", "repeat_id"], "left")
+    share = F.col("strong_share")
+    verdict = F.when(F.col("valid_differences") == 0, "insufficient").when(F.col("repeats") < 2, "not_repeated").when(share == 1, "unanimous").when(share > 0.5, "majority").when(share > 0, "minority_only").otherwise("none")
+    return out.withColumn("verdict", verdict).withColumn("supports", F.when(F.col("repeats") == 2, share == 1).otherwise(share >= rules.support_share))
+
+
+def national_comparison(phases: DataFrame, roles: DataFrame, rules: Rules) -> DataFrame:
+    """Treated and national series of one episode, panel (if roles have one), concept and repeat: how far the peaks are apart and a status."""
+    keys = ["episode_id", *(["panel"] if "panel" in roles.columns else []), "concept_id", "repeat_id"]
+    values = ("peak_date", "peak_value", "peak_standardized", "quality")
+    rows = phases.join(roles, "request_id").select("role", *keys, *values)
+    side = lambda role, p: rows.where(F.col("role") == role).select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in values])
+    out = side("treated", "state").join(side("national", "national"), keys, "left")
     apart = F.abs(F.datediff("state_peak_date", "national_peak_date"))
-    status = F.when(F.col("national_peak_date").isNull(), "no_national_series").when((F.col("national_quality") != "usable") | (F.col("state_quality") != "usable"), "insufficient").when(apart <= 1, "same_peak").when(apart <= 3, "near_peak").otherwise("different_peak")
+    usable = (F.col("national_quality") == "usable") & (F.col("state_quality") == "usable") & apart.isNotNull()
+    status = F.when(F.col("national_quality").isNull(), "no_national_series").when(~usable, "insufficient").when(apart <= rules.national_days, "concurrent").otherwise("not_concurrent")
     return out.withColumn("peak_difference", apart).withColumn("status", status)
 
 
@@ -67,23 +80,36 @@ def control_adjusted(phases: DataFrame, roles: DataFrame, allowed: DataFrame, ru
     return out.withColumn("controls", F.coalesce("controls", F.lit(0).cast("long"))).withColumn("concordant", F.coalesce(F.col("same_sign") >= 0.75 * F.col("controls"), F.lit(False))).drop("same_sign")
 
 
-def attribution(phases: DataFrame, agreed: DataFrame, control: DataFrame, national: DataFrame, roles: DataFrame, rules: Rules) -> DataFrame:
-    """A category for every treated series and repeat, with the reasons that held. Evidence that is missing counts as not given."""
-    treated = phases.join(roles.where("role = 'treated'"), "request_id")
-    by_family = agreed.groupBy("request_id", "concept_id").agg(F.bool_or(F.when(F.col("family") == "awareness", F.col("supports"))).alias("awareness"), F.bool_or(F.when(F.col("family") == "weather", F.col("supports"))).alias("weather"))
-    best = control.groupBy("episode_id", "concept_id", "repeat_id").agg(F.max("adjusted_lift").alias("adjusted"), F.bool_or("concordant").alias("concordant"))
-    status = national.select("episode_id", "concept_id", "repeat_id", F.col("status").alias("national_status"))
+def attribution(phases: DataFrame, agreed: DataFrame, control: DataFrame, national: DataFrame, stability: DataFrame, roles: DataFrame, rules: Rules) -> DataFrame:
+    """A category for every treated series and repeat, with the evidence that held. Evidence that is missing counts as not given.
+
+    phases: phase metrics; agreed: consensus; control: control-adjusted lifts by phase; national: national comparison; stability: phase stability; roles may have proxy, whether
+    the concept is a retailer's name. The lifts that count are those of the dominant phase.
+    """
     keys = ["episode_id", "concept_id", "repeat_id"]
-    rows = treated.join(by_family, ["request_id", "concept_id"], "left").join(best, keys, "left").join(status, keys, "left")
+    treated = phases.join(roles.where("role = 'treated'"), "request_id")
+    of = lambda what: reduce(lambda a, p: a.when(F.col("dominant_phase") == p, F.col(f"{p}_{what}")), rules.phases, F.when(F.lit(False), F.lit(None)))
+    treated = treated.withColumn("standardized", of("standardized")).withColumn("robust", of("robust"))
+    has = lambda f: F.bool_or(F.when(F.col("family") == f, F.col("supports"))).alias(f)
+    by_family = agreed.groupBy("request_id", "concept_id").agg(has("awareness"), has("weather"), has("nonflood"))
+    lifts = control.select(*keys, F.col("phase").alias("dominant_phase"), "adjusted_lift", "controls")
+    status = national.select(*keys, F.col("status").alias("national_status"))
+    stable = stability.select("request_id", "concept_id", F.col("repeats").alias("repeat_count"), F.col("status").alias("stability"))
+    rows = treated.join(by_family, ["request_id", "concept_id"], "left").join(lifts, [*keys, "dominant_phase"], "left").join(status, keys, "left").join(stable, ["request_id", "concept_id"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    strong = yes(F.col("peak_standardized") >= rules.signal_lift)
-    inside = yes(F.col("dominant_phase").isin("immediate", "early"))
-    local = yes(F.col("adjusted") >= rules.signal_lift)
-    shared = yes(F.col("national_status").isin("same_peak", "near_peak"))
-    aware, weather = yes(F.col("awareness")), yes(F.col("weather"))
-    category = F.when((F.col("quality") != "usable") | F.col("peak_standardized").isNull(), CATEGORIES[0]).when(strong & inside & local & ~shared, CATEGORIES[1]).when(strong & shared & ~local, CATEGORIES[2]).when(strong & weather & ~aware, CATEGORIES[3]).when(strong & (inside | local), CATEGORIES[4]).otherwise(CATEGORIES[5])
-    why = reasons((strong, "strong_peak"), (inside, "peak_phase"), (local, "over_controls"), (shared, "national_peak"), (aware, "awareness"), (weather, "other_weather"), (F.col("quality") != "usable", "quality"))
-    return rows.select("request_id", *keys, "peak_standardized", "adjusted", "national_status", category.alias("category"), F.array_join(why, ";").alias("reasons"))
+    phase = F.col("dominant_phase").isNotNull()
+    effect = yes(F.col("standardized") >= rules.signal_lift) & (F.col("robust").isNull() | (F.col("robust") >= rules.signal_robust))
+    flood, weather, other = yes(F.col("awareness")), yes(F.col("weather")), yes(F.col("nonflood"))
+    local = yes((F.col("adjusted_lift") >= rules.least_adjusted) & (F.col("controls") >= rules.least_controls))
+    steady = ~yes(F.col("repeat_count") > 1) | yes(F.col("stability") == "stable")
+    spike, calm = yes(F.col("national_status") == "concurrent"), yes(F.col("national_status") == "not_concurrent")
+    proxy = yes(F.col("proxy")) if "proxy" in roles.columns else F.lit(False)
+    category = (
+        F.when(F.col("quality") != "usable", CATEGORIES[0]).when(phase & effect & flood & local & steady & calm, CATEGORIES[1]).when(proxy & spike & ~flood & ~local, CATEGORIES[2])
+        .when((weather | other) & ~flood, CATEGORIES[3]).when(phase & effect & (flood | weather), CATEGORIES[4]).otherwise(CATEGORIES[5])
+    )
+    why = reasons((phase & effect, "phase_effect"), (flood, "awareness"), (weather, "weather"), (other, "other_weather"), (local, "over_controls"), (steady, "stable_repeats"), (spike, "national_peak"), (calm, "no_national_peak"), (F.col("quality") != "usable", "quality"))
+    return rows.select("request_id", *keys, "dominant_phase", "standardized", "adjusted_lift", "national_status", category.alias("category"), F.array_join(why, ";").alias("reasons"))
 
 
 def select_controls(episodes: DataFrame, states: DataFrame, occupied: DataFrame, buffer_days: int = 7, most: int = 3) -> DataFrame:
@@ -101,7 +127,9 @@ def select_controls(episodes: DataFrame, states: DataFrame, occupied: DataFrame,
     busy = occupied.select("state", "first", "last", months("first", "last").alias("month"))
     taken = near.join(busy, "month").where("first <= to and from <= last").select("episode_id", "state").distinct()
     pairs = e.join(F.broadcast(states), F.col("state") != F.col("own")).join(taken, ["episode_id", "state"], "left_anti")
-    same = lambda c, points: F.when(F.col(c) == F.col(f"own_{c}"), points).otherwise(0)
+    # a tier or climate that is not known is like no other
+    told = lambda c: F.lit(True) if c == "region" else F.col(c).cast("string") != "unknown"
+    same = lambda c, points: F.when((F.col(c) == F.col(f"own_{c}")) & told(c), points).otherwise(0)
     score = same("region", 4) + same("tier", 2) + same("climate", 1) + F.when(F.col("available"), 1).otherwise(0)
     ranked = pairs.withColumn("score", score).withColumn("control_rank", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("score"), "state")))
     return ranked.where(F.col("control_rank") <= most).select("episode_id", F.col("state").alias("control_state"), "score", "control_rank")

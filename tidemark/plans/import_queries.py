@@ -89,7 +89,7 @@ def export_status(spark, d):
     e = table(spark, d, "events")
     keys = ["request_id", "repeat_id"]
     status = F.when(F.col("event_id") % 3 == 0, "failed").when(F.col("event_id") % 3 == 1, "exported").otherwise("imported")
-    a = e.where("event_id % 50 < 5").select(F.concat(F.lit("r"), F.col("user_id")).alias("request_id"), F.concat(F.lit("repeat_"), F.col("event_id") % 2 + 1).alias("repeat_id"), F.col("ts").alias("attempted_at"), F.col("event_id").alias("attempt_id"), status.alias("status"))
+    a = e.select(F.concat(F.lit("r"), F.col("user_id")).alias("request_id"), F.concat(F.lit("repeat_"), F.col("event_id") % 2 + 1).alias("repeat_id"), F.col("ts").alias("attempted_at"), F.col("event_id").alias("attempt_id"), status.alias("status"))
     wanted = e.select(F.concat(F.lit("r"), F.col("user_id")).alias("request_id"), F.explode(F.array(F.lit("repeat_1"), F.lit("repeat_2"))).alias("repeat_id"))
     return m.export_status(a, wanted, keys)
 
@@ -147,13 +147,13 @@ ORACLE = {
     "import_checks": f"WITH {SP} SELECT count(*) AS rows, count(*) FILTER (is_partial) AS partial, count(*) FILTER (interest IS NULL) AS missing, count(*) FILTER (NOT interest BETWEEN 0 AND 100) AS outside, (SELECT count(*) FROM (SELECT 1 FROM obs GROUP BY request_id, repeat_id, concept_id, date HAVING count(*) > 1)) AS repeated_identities, (SELECT count(DISTINCT request_id) FROM obs WHERE request_id = 'r3') AS unplanned_requests FROM obs",
     "export_profile": f"WITH {SP}, b AS (SELECT request_id || '_' || repeat_id AS source_file, concept_id, date, count(*) AS k, count(interest) AS v, count(*) FILTER (interest = 0) AS z, count(*) FILTER (is_partial) AS p FROM obs GROUP BY 1, 2, 3) SELECT source_file, CAST(sum(k) AS BIGINT) AS rows, CAST(sum(v) AS BIGINT) AS \"values\", CAST(sum(z) AS BIGINT) AS zeros, CAST(sum(p) AS BIGINT) AS partial, min(date) AS first, max(date) AS last, count(*) FILTER (k > 1) AS repeated_dates FROM b GROUP BY 1",
     "parsed_values": f"WITH {SP} SELECT event_id % 8 AS form, count(*) AS n, CAST(CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN NULL WHEN event_id % 8 = 0 THEN 0 ELSE sum(floor(interest)) END AS BIGINT) AS total, CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN 0 ELSE count(*) END AS present, CASE WHEN event_id % 8 = 4 THEN count(*) ELSE 0 END AS partial, CASE WHEN event_id % 8 = 0 THEN count(*) ELSE 0 END AS low, CASE WHEN event_id % 8 IN (2, 3) THEN count(*) ELSE 0 END AS problems, max(date) AS last FROM obs GROUP BY event_id % 8",
-    "export_status": """WITH a AS (SELECT 'r' || user_id AS request_id, 'repeat_' || (event_id % 2 + 1) AS repeat_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'exported' ELSE 'imported' END, (ts, event_id)) AS status FROM events WHERE event_id % 50 < 5 GROUP BY 1, 2),
+    "export_status": """WITH a AS (SELECT 'r' || user_id AS request_id, 'repeat_' || (event_id % 2 + 1) AS repeat_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'exported' ELSE 'imported' END, (ts, event_id)) AS status FROM events GROUP BY 1, 2),
 p AS (SELECT DISTINCT 'r' || user_id AS request_id, unnest(['repeat_1', 'repeat_2']) AS repeat_id FROM events) SELECT coalesce(status, 'not_started') AS status, count(*) AS keys, coalesce(status, 'not_started') IN ('failed', 'not_started') AS retry FROM p LEFT JOIN a USING (request_id, repeat_id) GROUP BY coalesce(status, 'not_started')""",
     "source_differences": f"WITH {SP} SELECT request_id, repeat_id, concept_id, date, CASE WHEN concept_id = 'error' THEN 'not_in_source' ELSE 'value' END AS difference FROM od WHERE (concept_id = 'error' AND request_id = 'r1') OR (request_id = 'r2' AND concept_id = 'click' AND interest IS NOT NULL)",
     "term_feasibility": f"""WITH {RESPONSE_SQL}, x AS (SELECT *, CASE WHEN request_id IN ('r0', 'r1') THEN 'a' ELSE 'b' END AS season FROM rm), s AS (SELECT concept_id, stddev_pop(m) AS seasonal_sd, count(*) AS seasons FROM (SELECT concept_id, season, avg(baseline_mean) AS m FROM x GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT concept_id, count(*) AS series, avg(CAST(quality = 'usable' AS INT)) AS usable_share, median(lift_robust) AS median_lift, avg(baseline_days) AS coverage, avg(zero_share) AS zero_share FROM x GROUP BY 1)
 SELECT concept_id, series, round(usable_share, 6) AS usable_share, round(median_lift, 6) AS median_lift, round(coverage, 6) AS coverage, round(zero_share, 6) AS zero_share, round(seasonal_sd, 6) AS seasonal_sd, seasons, CASE WHEN series = 0 THEN 'no_data' WHEN zero_share >= 0.9 THEN 'suppressed' WHEN usable_share = 0 THEN 'unusable' WHEN usable_share < 0.5 THEN 'sparse' WHEN median_lift IS NULL THEN 'flat' WHEN median_lift > 1 THEN 'responsive' ELSE 'stable' END AS feasibility FROM b JOIN s USING (concept_id)""",
-    "episode_feasibility": f"""WITH {RESPONSE_SQL}, f AS (SELECT rm.*, CASE WHEN concept_id IN ('purchase', 'click') THEN 'demand' WHEN concept_id = 'view' THEN 'awareness' ELSE 'weather' END AS family, role FROM rm JOIN plan USING (request_id))
+    "episode_feasibility": f"""WITH {RESPONSE_SQL}, f AS (SELECT rm.*, CASE WHEN concept_id IN ('purchase', 'click') THEN 'demand' WHEN concept_id = 'view' THEN 'awareness' WHEN concept_id = 'error' THEN 'nonflood' ELSE 'weather' END AS family, role FROM rm JOIN plan USING (request_id))
 SELECT request_id, role, count(*) AS series, count(*) FILTER (quality = 'usable') AS usable, {', '.join(f"first(concept_id ORDER BY lift_robust DESC, concept_id) FILTER (family = '{f}' AND lift_robust IS NOT NULL) AS best_{f}" for f in ('demand', 'awareness', 'weather'))},
 CASE WHEN count(*) FILTER (quality = 'usable') = 0 THEN 'not_feasible' WHEN count(*) FILTER (quality = 'usable') < count(*) THEN 'partly_feasible' ELSE 'feasible' END AS status FROM f GROUP BY 1, 2""",
     "broad_specific": f"""WITH {RESPONSE_SQL} SELECT 'view' AS broad_id, s.concept_id AS specific_id, count(*) AS shared, round(avg(b.lift_absolute - s.lift_absolute), 6) AS mean_difference, CASE WHEN count(b.lift_absolute + s.lift_absolute) > 0 THEN count(*) FILTER (b.lift_absolute > s.lift_absolute) END AS broad_larger, count(*) FILTER (b.quality = 'usable' AND s.quality <> 'usable') AS only_broad_usable
