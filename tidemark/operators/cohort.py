@@ -18,6 +18,14 @@ def states_of(events: DataFrame, bridge: DataFrame) -> DataFrame:
     return events.join(by, "event_id", "left").withColumn("state_set", F.coalesce("found", alone)).drop("found")
 
 
+def intersecting(events: DataFrame, columns: tuple[str, ...] = ("intersects_us_state_union", "intersects_united_states")) -> DataFrame:
+    """Events that intersect the country, by the first of these flags that the table has. A null flag is no."""
+    have = next((c for c in columns if c in events.columns), None)
+    if have is None:
+        raise ValueError(f"none of {columns} in the table")
+    return events.where(F.coalesce(F.col(have), F.lit(False)))
+
+
 def with_domain(events: DataFrame, domains: DataFrame) -> DataFrame:
     """events with study_domain: the one domain of their states, multi_domain, or unclassified. domains: state, domain, a small dimension."""
     each = events.select("event_id", F.explode("state_set").alias("state")).join(F.broadcast(domains), "state")

@@ -11,15 +11,18 @@ IDENTITY = ["request_id", "repeat_id", "concept_id", "date"]
 
 
 def parsed_interest(text: Column) -> dict[str, Column]:
-    """interest, is_partial, low_volume and problem of an exported value: blank is null, <n is 0 of low volume, a trailing mark of partial data is read as such, and only 0 to 100 is fine."""
-    bare = F.lower(F.trim(text))
-    partial = bare.rlike(r"\(partial\)$|\*$")
-    bare = F.trim(F.regexp_replace(bare, r"\s*(\(partial\)|\*)$", ""))
-    blank = bare.isNull() | bare.isin("", "na", "nan", "null", "-")
+    """interest, is_partial, low_volume, value_class and problem of an exported value: blank is null, <n is 0 of low volume, a mark of partial data at the end is read as such, and
+    anything else must be a number from 0 to 100."""
+    bare = F.trim(text)
+    partial = bare.rlike(r"(isPartial|\(partial\))$")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"isPartial$", ""), r"\(partial\)$", ""))
+    blank = bare.isNull() | bare.isin("", "N/A", "NA", "null")
     low = bare.startswith("<")
     value = F.when(blank, None).when(low, 0.0).otherwise(bare.try_cast("double"))
     bad = ~blank & (value.isNull() | ~value.between(0, 100) | F.isnan(value))
-    return {"interest": F.when(~F.coalesce(bad, F.lit(False)), value), "is_partial": F.coalesce(partial, F.lit(False)), "low_volume": F.coalesce(low, F.lit(False)), "problem": F.when(bad, "bad_value")}
+    partial = F.coalesce(partial, F.lit(False))
+    kind = F.when(bad, None).when(blank, F.when(partial, "partial").otherwise("missing")).when(low, "reported_zero_low_volume").when(value == 0, "reported_zero_relative_scale").otherwise("true_zero_unknown")
+    return {"interest": F.when(~F.coalesce(bad, F.lit(False)), value), "is_partial": partial, "low_volume": F.coalesce(low, F.lit(False)), "value_class": kind, "problem": F.when(bad, "bad_value")}
 
 
 def export_date(text: Column) -> Column:
@@ -27,13 +30,15 @@ def export_date(text: Column) -> Column:
 
 
 def long_observations(cells: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Observations from cells of exports (source_file, date_text, position, label, value_text) and their sidecars, matched by file stem and position; label_matches tells whether the header has the label asked for."""
+    """Observations from cells of exports (source_file, date_text, position, label, value_text) and their sidecars, matched by file stem and position; label_matches tells whether
+    the header has the label asked for. A sidecar without a repeat takes one from the file's hash."""
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     asked = sidecars.where("problem is null").select(stem(F.col("sidecar_file")).alias("stem"), "request_id", "repeat_id", "requested_concepts", "requested_labels")
     rows = cells.withColumn("stem", stem(F.col("source_file"))).join(asked, "stem")
     fields = parsed_interest(F.col("value_text"))
     label = F.get("requested_labels", F.col("position"))
-    return rows.select("source_file", "request_id", "repeat_id", F.get("requested_concepts", F.col("position")).alias("concept_id"), export_date(F.col("date_text")).alias("date"), *[c.alias(n) for n, c in fields.items()], F.lower("label").contains(F.lower(label)).alias("label_matches"))
+    repeat = F.coalesce("repeat_id", F.substring("file_sha256", 1, 16))
+    return rows.select("source_file", "request_id", repeat.alias("repeat_id"), F.get("requested_concepts", F.col("position")).alias("concept_id"), export_date(F.col("date_text")).alias("date"), *[c.alias(n) for n, c in fields.items()], F.lower("label").contains(F.lower(label)).alias("label_matches"))
 
 
 def conflicts(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,6 +67,19 @@ def import_checks(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return one.crossJoin(repeated).crossJoin(unplanned)
 
 
+def admission_violations(rows: DataFrame, plan: DataFrame, synthetic_allowed: bool = False) -> DataFrame:
+    """(request_id, repeat_id, concept_id, date, problem) of observations that may not enter the final analysis: outside the plan (request_id, planned_repeat_id, concept_ids by semicolons),
+    of a repeated identity, without a partial flag, out of range, or made up where only observed ones may be."""
+    asked = plan.select("request_id", F.col("planned_repeat_id").alias("repeat_id"), F.explode(F.split("concept_ids", ";")).alias("concept_id")).distinct()
+    row = lambda df, name: df.select(*IDENTITY, F.lit(name).alias("problem"))
+    out = row(rows.join(asked, ["request_id", "repeat_id", "concept_id"], "left_anti"), "outside_plan")
+    out = out.unionByName(row(rows.groupBy(*IDENTITY).count().where("count > 1"), "repeated_identity")).unionByName(row(rows.where("is_partial is null"), "no_partial_flag"))
+    out = out.unionByName(row(rows.where(F.isnan("interest") | ~F.col("interest").between(0, 100)), "out_of_range"))
+    if not synthetic_allowed and "data_origin" in rows.columns:
+        out = out.unionByName(row(rows.where("data_origin = 'synthetic_fixture'"), "synthetic"))
+    return out
+
+
 def export_profile(rows: DataFrame, file: str = "source_file") -> DataFrame:
     """For each file: rows, values, zeros, partial ones, first and last date, dates that repeat."""
     n = lambda c: F.sum(c.cast("long"))

@@ -79,7 +79,7 @@ def export_profile(spark, d):
 def parsed_values(spark, d):
     """Values written the ways that exports write them, read back; what came of them, by form."""
     k = F.col("event_id") % 8
-    text = F.when(k == 0, "<1").when(k == 1, "").when(k == 2, "250").when(k == 3, "x").when(k == 4, F.concat(F.floor("interest").cast("string"), F.lit(" (partial)"))).when(k == 5, "NA").otherwise(F.floor("interest").cast("string"))
+    text = F.when(k == 0, "<1").when(k == 1, "").when(k == 2, "250").when(k == 3, "x").when(k == 4, F.concat(F.floor("interest").cast("string"), F.lit(" (partial)"))).when(k == 5, "N/A").when(k == 6, F.concat(F.floor("interest").cast("string"), F.lit("isPartial"))).otherwise(F.floor("interest").cast("string"))
     o = observations(spark, d).select(k.alias("form"), text.alias("t"), F.concat(F.col("date").cast("string"), F.lit(" - x")).alias("dt"))
     rows = o.select("form", *[c.alias(n) for n, c in m.parsed_interest(F.col("t")).items()], m.export_date(F.col("dt")).alias("date"))
     return rows.groupBy("form").agg(F.count("*").alias("n"), F.sum("interest").cast("long").alias("total"), F.count("interest").alias("present"), F.sum(F.col("is_partial").cast("long")).alias("partial"), F.sum(F.col("low_volume").cast("long")).alias("low"), F.count("problem").alias("problems"), F.max("date").alias("last"))
@@ -146,7 +146,7 @@ ORACLE = {
     "import_conflicts": f"WITH {SP} SELECT request_id, repeat_id, concept_id, date, round(nw.interest, 6) AS interest, round(od.interest, 6) AS old_interest FROM nw JOIN od USING (request_id, repeat_id, concept_id, date) WHERE nw.interest IS DISTINCT FROM od.interest OR nw.is_partial IS DISTINCT FROM od.is_partial",
     "import_checks": f"WITH {SP} SELECT count(*) AS rows, count(*) FILTER (is_partial) AS partial, count(*) FILTER (interest IS NULL) AS missing, count(*) FILTER (NOT interest BETWEEN 0 AND 100) AS outside, (SELECT count(*) FROM (SELECT 1 FROM obs GROUP BY request_id, repeat_id, concept_id, date HAVING count(*) > 1)) AS repeated_identities, (SELECT count(DISTINCT request_id) FROM obs WHERE request_id = 'r3') AS unplanned_requests FROM obs",
     "export_profile": f"WITH {SP}, b AS (SELECT request_id || '_' || repeat_id AS source_file, concept_id, date, count(*) AS k, count(interest) AS v, count(*) FILTER (interest = 0) AS z, count(*) FILTER (is_partial) AS p FROM obs GROUP BY 1, 2, 3) SELECT source_file, CAST(sum(k) AS BIGINT) AS rows, CAST(sum(v) AS BIGINT) AS \"values\", CAST(sum(z) AS BIGINT) AS zeros, CAST(sum(p) AS BIGINT) AS partial, min(date) AS first, max(date) AS last, count(*) FILTER (k > 1) AS repeated_dates FROM b GROUP BY 1",
-    "parsed_values": f"WITH {SP} SELECT event_id % 8 AS form, count(*) AS n, CAST(CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN NULL WHEN event_id % 8 = 0 THEN 0 ELSE sum(floor(interest)) END AS BIGINT) AS total, CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN 0 ELSE count(*) END AS present, CASE WHEN event_id % 8 = 4 THEN count(*) ELSE 0 END AS partial, CASE WHEN event_id % 8 = 0 THEN count(*) ELSE 0 END AS low, CASE WHEN event_id % 8 IN (2, 3) THEN count(*) ELSE 0 END AS problems, max(date) AS last FROM obs GROUP BY event_id % 8",
+    "parsed_values": f"WITH {SP} SELECT event_id % 8 AS form, count(*) AS n, CAST(CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN NULL WHEN event_id % 8 = 0 THEN 0 ELSE sum(floor(interest)) END AS BIGINT) AS total, CASE WHEN event_id % 8 IN (1, 2, 3, 5) THEN 0 ELSE count(*) END AS present, CASE WHEN event_id % 8 IN (4, 6) THEN count(*) ELSE 0 END AS partial, CASE WHEN event_id % 8 = 0 THEN count(*) ELSE 0 END AS low, CASE WHEN event_id % 8 IN (2, 3) THEN count(*) ELSE 0 END AS problems, max(date) AS last FROM obs GROUP BY event_id % 8",
     "export_status": """WITH a AS (SELECT 'r' || user_id AS request_id, 'repeat_' || (event_id % 2 + 1) AS repeat_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'exported' ELSE 'imported' END, (ts, event_id)) AS status FROM events GROUP BY 1, 2),
 p AS (SELECT DISTINCT 'r' || user_id AS request_id, unnest(['repeat_1', 'repeat_2']) AS repeat_id FROM events) SELECT coalesce(status, 'not_started') AS status, count(*) AS keys, coalesce(status, 'not_started') IN ('failed', 'not_started') AS retry FROM p LEFT JOIN a USING (request_id, repeat_id) GROUP BY coalesce(status, 'not_started')""",
     "source_differences": f"WITH {SP} SELECT request_id, repeat_id, concept_id, date, CASE WHEN concept_id = 'error' THEN 'not_in_source' ELSE 'value' END AS difference FROM od WHERE (concept_id = 'error' AND request_id = 'r1') OR (request_id = 'r2' AND concept_id = 'click' AND interest IS NOT NULL)",

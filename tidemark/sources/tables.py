@@ -5,37 +5,60 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the session's shared checkpoint folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without that setting."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df into the session's shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def footprint_scan(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Parquet rows with source_row_index: the pandas index column if there is one, else the row's place in its file. The bound holds before anything is counted."""
+    """Parquet rows with source_row_index: the pandas index column if there is one, else the row's place in all files, in the order of their names. The bound holds before
+    anything is counted."""
     df = spark.read.parquet(path)
-    place = F.col("_metadata.row_index")
-    index = F.coalesce(F.col("__index_level_0__").cast("long"), place) if "__index_level_0__" in df.columns else place
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    # one row for each file
+    sizes = df.select(file.alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_file", file).withColumn("_place", place).join(F.broadcast(sizes.select(F.col("file").alias("_file"), before.alias("_before"))), "_file")
+    index = F.col("_before") + F.col("_place")
+    index = F.coalesce(F.col("__index_level_0__").cast("long"), index) if "__index_level_0__" in df.columns else index
     df = df.withColumn("source_row_index", index)
-    return df if max_rows is None else df.orderBy("source_row_index").limit(max_rows)
+    if max_rows is not None:
+        df = df.where(F.col("_before") + F.col("_place") < max_rows)
+    return df.drop("_file", "_place", "_before")
 
 
-def inspect_schema(df: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
-    """A row for each field: type, nullability, whether it is required, optional or unknown; required fields that are absent are listed as missing."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable, "required" if f.name in required else "optional" if f.name in optional else "unknown") for f in df.schema]
-    rows += [(name, None, None, "missing") for name in required if name not in df.columns]
-    return df.sparkSession.createDataFrame(rows, "field string, type string, nullable boolean, role string")
+def inspect_schema(df: DataFrame, required: list[str], optional: list[str], samples: int = 3, width: int = 120) -> DataFrame:
+    """A row for each field: type, nullability, whether it is required, optional, ignored or unknown, and the values of some rows (bytes as their number, text cut). Required fields that
+    are absent are listed as missing. warning says what is wrong with a field."""
+    ignored = {"__index_level_0__"}
+    shown = [F.when(F.col(f.name).isNotNull(), F.concat(F.length(f.name).cast("string"), F.lit(" bytes"))) if f.dataType == T.BinaryType() else F.substring(F.col(f.name).cast("string"), 1, width) for f in df.schema]
+    seen = df.select(*[c.alias(f.name) for c, f in zip(shown, df.schema)]).limit(samples).collect()
+    role = lambda n: "required" if n in required else "optional" if n in optional else "ignored" if n in ignored else "unknown"
+    rows = [(f.name, f.dataType.simpleString(), f.nullable, role(f.name), [r[f.name] for r in seen], "unknown field" if role(f.name) == "unknown" else None) for f in df.schema]
+    rows += [(name, None, None, "missing", [], "required field is missing") for name in required if name not in df.columns]
+    return df.sparkSession.createDataFrame(rows, "field string, type string, nullable boolean, role string, samples array<string>, warning string")
 
 
 def input_report(inputs: dict[str, DataFrame]) -> DataFrame:
@@ -84,7 +107,8 @@ def read_plan(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     if not path.rstrip("/").endswith(".csv"):
         df = spark.read.parquet(path)
     else:
-        header = [h.strip() for h in spark.read.text(path).first()[0].lstrip("\ufeff").split(",")]
+        first = spark.read.text(path).limit(1).select(csv_cells(F.regexp_replace("value", "^\ufeff", "")).alias("c")).first()
+        header = [h.strip() for h in first["c"]] if first else []
         if len(set(header)) < len(header) or "" in header:
             raise ValueError(f"blank or repeated header: {header}")
         schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField("_extra", T.StringType())])
@@ -108,25 +132,64 @@ def canonical_boundaries(rows: DataFrame, fields: dict[str, list[str]], code: st
     return out.join(counts, out[code].eqNullSafe(counts[code])).drop(counts[code])
 
 
+def csv_cells(line: Column) -> Column:
+    """Cells of a line of CSV, trimmed; quoted ones may hold commas and doubled quotes."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+    bare = lambda c: F.when(F.trim(c).startswith('"'), F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(found, lambda c: F.trim(bare(c)))
+
+
+def export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, file_sha256, line, cells, labels of the rows of exports. The header is the first line whose first cell is a unit of time; lines without any value are left out."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.sha2("value", 256).alias("file_sha256"), F.regexp_replace("value", "\ufeff|\r", "").alias("text"))
+    lines = texts.select("source_file", "file_sha256", F.posexplode(F.split("text", "\n")).alias("line", "content")).withColumn("cells", csv_cells(F.col("content")))
+    lines = lines.where(F.exists("cells", lambda c: c != ""))
+    unit = F.lower(F.get("cells", F.lit(0))).isin("date", "day", "week", "month")
+    head = lines.where(unit).groupBy("source_file").agg(F.min("line").alias("head_line"), F.min_by("cells", "line").alias("labels"))
+    return lines.join(head, "source_file").where("line > head_line").select("source_file", "file_sha256", "line", "cells", "labels")
+
+
+def export_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line, problem): rows that have another number of cells than the header (width), and dates that a file has twice (date)."""
+    rows = export_lines(spark, path)
+    width = rows.where(F.size("cells") != F.size("labels")).select("source_file", "line", F.lit("width").alias("problem"))
+    twice = rows.groupBy("source_file", F.get("cells", F.lit(0)).alias("date")).agg(F.max("line").alias("line"), F.count("*").alias("n")).where("n > 1")
+    return width.unionByName(twice.select("source_file", "line", F.lit("date").alias("problem")))
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Wide exports in long form: source_file, date_text, position, label, value_text. The header is the first line whose first cell is a unit of time."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "\ufeff|\r", "").alias("text"))
-    lines = texts.select("source_file", F.posexplode(F.split("text", "\n")).alias("line", "content")).where("trim(content) <> ''")
-    cells = lines.withColumn("cells", F.transform(F.split("content", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))))
-    head = cells.where(F.lower(F.get("cells", F.lit(0))).isin("date", "day", "week", "month")).groupBy("source_file").agg(F.min("line").alias("head_line"), F.min_by("cells", "line").alias("labels"))
-    rows = cells.join(head, "source_file").where("line > head_line")
-    wide = rows.select("source_file", F.get("cells", F.lit(0)).alias("date_text"), F.posexplode(F.arrays_zip(F.slice("labels", 2, F.greatest(F.size("labels") - 1, F.lit(0))).alias("label"), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("value"))).alias("position", "c"))
-    return wide.select("source_file", "date_text", "position", F.col("c.label").alias("label"), F.col("c.value").alias("value_text"))
+    """Wide exports in long form: source_file, file_sha256, date_text, position, label, value_text. Rows that are wider or narrower than their header, or repeat a date, are an error."""
+    if bad := export_problems(spark, path).limit(20).collect():
+        raise ValueError(f"exports with rows that do not fit: {[tuple(r) for r in bad]}")
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    pairs = F.arrays_zip(rest("labels").alias("label"), rest("cells").alias("value"))
+    wide = export_lines(spark, path).select("source_file", "file_sha256", F.get("cells", F.lit(0)).alias("date_text"), F.posexplode(pairs).alias("position", "c"))
+    return wide.select("source_file", "file_sha256", "date_text", "position", F.col("c.label").alias("label"), F.col("c.value").alias("value_text"))
+
+
+def read_wide_store(spark: SparkSession, path: str, needs_partial: bool = False) -> DataFrame:
+    """The other store's CSV files in long form: date, concept_id, value, is_partial. Columns are date or Day, isPartial and concepts; blank values are left out. needs_partial: a
+    table without isPartial is an error."""
+    df = spark.read.option("header", True).csv(path)
+    if needs_partial and "isPartial" not in df.columns:
+        raise ValueError(f"no isPartial column in {path}")
+    day = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("date", "Day") if c in df.columns])
+    partial = F.lower(F.coalesce(F.col("isPartial"), F.lit(""))) == "true" if "isPartial" in df.columns else F.lit(False)
+    concepts = [c for c in df.columns if c not in ("date", "Day", "isPartial")]
+    long = df.select(day.alias("date"), partial.alias("is_partial"), *[F.col(f"`{c}`") for c in concepts]).unpivot(["date", "is_partial"], concepts, "concept_id", "text")
+    return long.where(F.trim("text") != "").select("date", "concept_id", F.col("text").cast("double").alias("value"), "is_partial")
 
 
 SIDECAR = "request_id string, backend string, requested_concepts array<string>, requested_labels array<string>, geography string, start_date date, end_date date, episode_id string, anchor_concept_id string, repeat_id string, csv_sha256 string"
 
 
 def read_sidecars(spark: SparkSession, path: str, backends: list[str]) -> DataFrame:
-    """Sidecar metadata with problem, null where it is sound: lists of equal length from 1 to 5, an allowed backend, an end not before the start."""
+    """Sidecar metadata with problem, null where it is sound: lists of equal length from 1 to 5, an allowed backend, an end not before the start, a request. What is missing is not sound."""
     df = spark.read.schema(SIDECAR).option("multiLine", True).json(path).withColumn("sidecar_file", F.col("_metadata.file_name"))
     n = F.size("requested_concepts")
-    problem = F.when((n != F.size("requested_labels")) | ~n.between(1, 5), "lists").when(~F.col("backend").isin(backends), "backend").when(F.col("end_date") < F.col("start_date"), "dates")
+    fine = lambda c: F.coalesce(c, F.lit(False))
+    lists = fine((n == F.size("requested_labels")) & n.between(1, 5))
+    problem = F.when(~lists, "lists").when(~fine(F.col("backend").isin(backends)), "backend").when(~fine(F.col("end_date") >= F.col("start_date")), "dates").when(F.col("request_id").isNull(), "request")
     return df.withColumn("problem", problem)
 
 
@@ -136,3 +199,8 @@ def inventory(spark: SparkSession, path: str, sidecars: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     side = sidecars.select(stem(F.col("sidecar_file")).alias("stem"), "request_id", "backend")
     return files.withColumn("stem", stem(F.col("source_file"))).join(side, "stem", "left").withColumn("has_sidecar", F.col("request_id").isNotNull())
+
+
+def store_counts(inventory: DataFrame) -> DataFrame:
+    """Files, bytes, different contents and files with a sidecar of each store."""
+    return inventory.groupBy(F.coalesce("backend", F.lit("unknown")).alias("store")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("sha256").alias("contents"), F.sum(F.col("has_sidecar").cast("long")).alias("with_sidecar"))
