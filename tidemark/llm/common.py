@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
+__all__ = ["carried", "documents_of", "partitions", "read_table", "text_or_empty", "written"]
+
+#: Bytes of one batch of texts that goes to Python; sessions that allow more are held to this, so that a batch of long texts does not fill a worker.
+BATCH_BYTES = 8 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, opened by Spark only (the folder may be in a store that nothing else can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, a local one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back, which cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hold_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    allowed = spark.conf.get(key).rstrip("b")
+    if not allowed.isdigit() or not 0 < int(allowed) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -40,7 +34,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The two columns that every text operator reads, and those to carry along; all others, also ones named like an operator's own, are left behind."""
+    """The two columns that every text operator reads, and those to carry along; all others, also ones named like an operator's own, are left behind. Batches of texts
+    that go to Python are held to BATCH_BYTES from here on."""
+    hold_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *carry)
 
 

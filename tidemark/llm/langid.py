@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, documents_of, written
+from .common import documents_of, written
 
 #: Longest context in bytes, and the largest number of labelled documents of each language that training reads.
 ORDER, SAMPLE = 4, 600
@@ -228,18 +228,16 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
     texts are scored. Ties go to the language first in order. Repeated rows give repeated results; a null doc_id stays null.
     """
     frozen = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "lang_pred", "score", "bits_per_byte", *carry]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(text: pa.Array, lettered: pa.Array) -> pa.Array:
         scorer = _scorer(frozen)
-        for batch in batches:
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
-            lang = np.full(batch.num_rows, UNKNOWN, object)
-            share, bits = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            some = np.flatnonzero(lettered)
-            text = batch.column("text")
-            lang[some], share[some], bits[some] = scorer.score([text[k].as_py() for k in some.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(share), pa.array(bits), *[batch.column(c) for c in carry]], names)
-
-    docs = documents_of(docs, tuple(c for c in carry if c not in ("doc_id", "text"))).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double" + carried(docs, carry))
+        lang = np.full(len(text), UNKNOWN, object)
+        share, bits = np.zeros(len(text)), np.zeros(len(text))
+        some = np.flatnonzero(lettered.to_numpy(zero_copy_only=False).astype(bool))
+        lang[some], share[some], bits[some] = scorer.score([text[k].as_py() for k in some.tolist()])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share), pa.array(bits)], ["lang_pred", "score", "bits_per_byte"])
+
+    # texts go to Python, and only what was found comes back; not deterministic, so that a filter on it does not run it once more
+    score = F.arrow_udf(found, "struct<lang_pred:string,score:double,bits_per_byte:double>").asNondeterministic()
+    docs = documents_of(docs, tuple(c for c in carry if c not in ("doc_id", "text"))).withColumn("found", score("text", F.col("text").rlike(r"\p{L}")))
+    return docs.select("doc_id", "found.lang_pred", "found.score", "found.bits_per_byte", *carry)

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .anchored import CHUNK, SMALLEST, compressed, keyed, mixed, opened, word_hashes
 from .common import written
-from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 3
