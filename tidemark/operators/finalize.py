@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from ..functions.expr import mad_of, median_of, population_sd, reasons
 from .describe import average_ranks
 from .series import KEYS, window_columns
 
-FIELDS = ("baseline_mean", "peak_value", "lift", "standardized", "robust")
+#: Numbers that are averaged over repeats.
+FIELDS = ("baseline_days", "baseline_mean", "baseline_sd", "response_days", "peak_value", "zero_share", "lift", "standardized", "robust")
 
 
 def final_metrics(series: DataFrame, plan: DataFrame, rules: Rules, gap_days: int = 1) -> DataFrame:
@@ -105,49 +108,101 @@ def store_agreement(first: DataFrame, second: DataFrame, keys: list[str]) -> Dat
 
 
 def content_hash(rows: DataFrame) -> DataFrame:
-    """One row that depends on a table's rows and columns, not on their order or partitions."""
+    """One row that depends on a table's rows, how often each occurs, and its columns, not on their order or partitions: the number of rows, and the sum and exclusive or of 60 bits of each row's hash."""
     line = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
-    h = F.sha2(line, 256)
-    part = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
-    return rows.select(h.alias("h"), part.alias("p")).agg(F.count("*").alias("rows"), F.sum("p").alias("sum"), F.min("h").alias("least"), F.max("h").alias("most"))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
+    return rows.select(part.alias("p")).agg(F.count("*").alias("rows"), F.sum(F.col("p").cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor("p").cast("string").alias("xor"))
 
 
 def folds(rows: DataFrame, group: str, k: int, seed: str) -> DataFrame:
-    """rows with fold: groups in the order of a seeded hash, dealt in turn."""
-    ids = rows.select(group).distinct()
-    order = Window.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256), F.col(group))
-    return rows.join(ids.withColumn("fold", (F.row_number().over(order) - 1) % k), group)
+    """rows with fold: groups in the order of a seeded hash, dealt in turn. Groups are numbered within 256 ranges of the hash, and the ranges' sizes say where each begins."""
+    ids = rows.select(group).distinct().withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256)).withColumn("range", F.substring("h", 1, 2))
+    # at most 256 rows
+    sizes = ids.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("h", group)) - 1
+    numbered = ids.withColumn("place", place).join(F.broadcast(sizes.select("range", before.alias("before"))), "range")
+    return rows.join(numbered.select(group, ((F.col("before") + F.col("place")) % k).cast("int").alias("fold")), group)
 
 
-def ridge(rows: DataFrame, target: str, features: list[str], group: str, k: int = 4, alpha: float = 1.0, least_groups: int = 20, seed: str = "0") -> DataFrame:
-    """Grouped cross-validated ridge predictions against the weighted mean: one row for each row of the input, or none if there are too few groups.
+@dataclass
+class Fitted:
+    """A model of one fold: for each feature its training median, mean and deviation, and the coefficients (intercept, features, categories but the first)."""
 
-    Every group has weight 1 in total. Missing features take the training folds' mean, and all are standardised by the training folds alone. Sums for the
-    normal equations are distributed aggregates; only the square system of the features is solved on the driver.
-    """
-    rows = rows.where(F.col(target).isNotNull())
-    if rows.select(group).distinct().count() < least_groups:
-        return rows.select(group, F.lit(0).alias("fold"), F.col(target).alias("actual"), F.lit(0.0).alias("predicted"), F.lit(0.0).alias("mean_predicted"), F.lit(0.0).alias("weight")).limit(0)
-    dealt = folds(rows, group, k, seed).withColumn("weight", 1 / F.count("*").over(Window.partitionBy(group)))
-    copies = dealt.withColumn("out", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("fold <> out")
-    w = F.col("weight")
-    stats = copies.groupBy("out").agg(*[F.coalesce(F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0.0)).alias(f"m_{c}") for c in features], *[F.sqrt(F.coalesce(F.sum(w * F.col(c) * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0.0))).alias(f"q_{c}") for c in features])
+    fold: int
+    scales: list[tuple[float, float, float]]
+    beta: list[float]
+    mean: float
 
-    def design(df):
-        out = df.join(F.broadcast(stats), df["out"] == stats["out"]).drop(stats["out"])
-        scale = lambda c: F.sqrt(F.greatest(F.col(f"q_{c}") ** 2 - F.col(f"m_{c}") ** 2, F.lit(0.0)))
-        return out.withColumns({f"x{n}": F.when(scale(c) > 1e-9, (F.coalesce(F.col(c), F.col(f"m_{c}")) - F.col(f"m_{c}")) / scale(c)).otherwise(0.0) for n, c in enumerate(features, 1)} | {"x0": F.lit(1.0)})
 
-    p = len(features) + 1
-    sums = design(copies).groupBy("out").agg(*[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(w * F.col(f"x{i}") * F.col(target)).alias(f"b{i}") for i in range(p)])
-    solved = []
+def model_gates(rows: DataFrame, target: str, group: str, category: str | None = None, k: int = 4, least_groups: int = 20, least_training: int = 12, seed: str = "0") -> DataFrame:
+    """(reason) for each rule that keeps the model from being fitted: too few groups in all, in a category, or to train a fold on."""
+    rows = rows.where(F.col(target).isNotNull())
+    n = rows.agg(F.count_distinct(group).alias("n"))
+    out = n.where(F.col("n") < least_groups).select(F.lit(f"fewer_than_{least_groups}_groups").alias("reason"))
+    if category:
+        few = rows.groupBy(category).agg(F.count_distinct(group).alias("n")).where(F.col("n") < least_groups)
+        out = out.unionByName(few.select(F.concat(F.lit("few_groups:"), F.col(category).cast("string")).alias("reason")))
+    of_fold = folds(rows, group, k, seed).groupBy("fold").agg(F.count_distinct(group).alias("held"))
+    return out.unionByName(of_fold.crossJoin(n).where(F.col("n") - F.col("held") < least_training).select(F.concat(F.lit("few_training_groups:"), F.col("fold")).alias("reason")))
+
+
+def fit_ridge(dealt: DataFrame, target: str, features: list[str], categories: list[str], category: str | None, k: int, alpha: float) -> list[Fitted]:
+    """One model for each fold from all other folds. Medians, means and deviations come from the training rows alone; sums for the normal equations are distributed aggregates, and only the
+    square system of the columns is solved on the driver. A feature that does not vary in training has coefficient 0."""
+    w = F.col("weight")
+    copies = dealt.withColumn("out", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("fold <> out")
+    medians = copies.groupBy("out").agg(*[F.coalesce(F.median(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(f"d_{c}") for c in features])
+    # one row for each fold
+    filled = copies.join(F.broadcast(medians), "out").withColumns({f"f_{c}": F.when(F.col(c).isNull() | F.isnan(c), F.col(f"d_{c}")).otherwise(F.col(c)) for c in features})
+    mean = lambda c: F.sum(w * F.col(f"f_{c}")) / F.sum(w)
+    means = filled.groupBy("out").agg(*[mean(c).alias(f"m_{c}") for c in features])
+    filled = filled.join(F.broadcast(means), "out")
+    columns = [F.lit(1.0), *[F.col(f"f_{c}") - F.col(f"m_{c}") for c in features], *[(F.col(category) == v).cast("double") for v in categories]]
+    p = len(columns)
+    named = filled.select("out", w.alias("weight"), F.col(target).alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = named.groupBy("out").agg(*[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(w * F.col(f"x{i}") * F.col("y")).alias(f"b{i}") for i in range(p)])
+    scales = {r["out"]: [(r[f"d_{c}"], r[f"m_{c}"]) for c in features] for r in medians.join(means, "out").collect()}
+    models = []
     for r in sums.collect():
-        gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) + alpha * np.diag([0.0] + [1.0] * (p - 1))
-        solved.append((r["out"], [float(x) for x in np.linalg.solve(gram, [r[f"b{i}"] for i in range(p)])], float(r["b0"] / r["g0_0"])))
-    weights = rows.sparkSession.createDataFrame(solved, "out int, beta array<double>, mean_predicted double")
-    held = design(dealt.withColumn("out", F.col("fold")))
-    dot = sum((F.get("beta", F.lit(i)) * F.col(f"x{i}") for i in range(1, p)), F.get("beta", F.lit(0)))
-    return held.join(F.broadcast(weights), "out").select(group, "fold", F.col(target).alias("actual"), dot.alias("predicted"), "mean_predicted", "weight")
+        gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        right = np.array([r[f"b{i}"] for i in range(p)])
+        sd = np.ones(p)
+        n = len(features)
+        sd[1 : n + 1] = np.sqrt(np.maximum(np.diag(gram)[1 : n + 1] / gram[0, 0], 0.0))
+        use = np.array([i == 0 or i > n or sd[i] > 1e-12 for i in range(p)])
+        sd[~use] = 1.0
+        gram, right = gram / np.outer(sd, sd), right / sd
+        beta = np.zeros(p)
+        beta[use] = np.linalg.solve((gram + alpha * np.diag([0.0] + [1.0] * (p - 1)))[np.ix_(use, use)], right[use])
+        models.append(Fitted(r["out"], [(d, m, float(s)) for (d, m), s in zip(scales[r["out"]], sd[1 : n + 1])], beta.tolist(), float(r["b0"] / r["g0_0"])))
+    return sorted(models, key=lambda m: m.fold)
+
+
+def ridge(rows: DataFrame, target: str, features: list[str], group: str, category: str | None = None, k: int = 4, alpha: float = 1.0, least_groups: int = 20, least_training: int = 12, seed: str = "0") -> DataFrame:
+    """Grouped cross-validated ridge predictions against the weighted mean: one row for each row of the input, or none if a gate is shut or nothing varies.
+
+    Every group has weight 1 in total. Missing features take the training rows' median; features are standardised by the training rows; category is one-hot without its first value. The
+    intercept is not penalised.
+    """
+    rows = rows.where(F.col(target).isNotNull())
+    schema = [F.col(group), F.lit(0).alias("fold"), F.col(target).alias("actual"), F.lit(0.0).alias("predicted"), F.lit(0.0).alias("mean_predicted"), F.lit(0.0).alias("weight")]
+    if not model_gates(rows, target, group, category, k, least_groups, least_training, seed).isEmpty():
+        return rows.select(*schema).limit(0)
+    # a concept dictionary's values
+    categories = sorted(str(r[0]) for r in rows.select(category).distinct().collect())[1:] if category else []
+    dealt = folds(rows, group, k, seed).withColumn("weight", 1 / F.count("*").over(Window.partitionBy(group)))
+    models = fit_ridge(dealt, target, features, categories, category, k, alpha)
+    if any(all(b == 0 for b in m.beta[1:]) for m in models):
+        return rows.select(*schema).limit(0)
+    weights = rows.sparkSession.createDataFrame([(m.fold, m.beta, [list(s) for s in m.scales], m.mean) for m in models], "fold int, beta array<double>, scales array<array<double>>, mean_predicted double")
+    # one row for each fold
+    held = dealt.join(F.broadcast(weights), "fold")
+    scale = lambda i, j: F.get(F.get("scales", F.lit(i)), F.lit(j))
+    value = lambda c, i: (F.when(F.col(c).isNull() | F.isnan(c), scale(i, 0)).otherwise(F.col(c)) - scale(i, 1)) / scale(i, 2)
+    terms = [value(c, i) for i, c in enumerate(features)] + [(F.col(category) == v).cast("double") for v in categories]
+    dot = sum((F.get("beta", F.lit(i)) * x for i, x in enumerate(terms, 1)), F.get("beta", F.lit(0)))
+    return held.select(group, "fold", F.col(target).alias("actual"), dot.alias("predicted"), "mean_predicted", "weight")
 
 
 def model_errors(predictions: DataFrame) -> DataFrame:

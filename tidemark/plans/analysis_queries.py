@@ -107,7 +107,7 @@ def final_metrics(spark, d):
 
 
 def event_units(spark, d):
-    return rounded(f_.event_units(finals(spark, d)).drop("source_lineage"))
+    return rounded(f_.event_units(finals(spark, d)))
 
 
 def complete_pairs(spark, d):
@@ -141,13 +141,14 @@ def store_agreement(spark, d):
 
 
 def content_hash(spark, d):
-    return f_.content_hash(table(spark, d, "nation"))
+    return f_.content_hash(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 def ridge_model(spark, d):
-    o = observations(spark, d).withColumn("grp", (F.col("user_id") % 25).cast("string"))
+    o = observations(spark, d).withColumn("grp", F.col("user_id").cast("string"))
     rows = o.groupBy("grp", "concept_id").agg(F.avg("interest").alias("target"), F.count("*").cast("double").alias("n"), F.max("interest").alias("top"), F.sin(F.avg(F.dayofmonth("date"))).alias("phase"))
-    return rounded(f_.model_errors(f_.ridge(rows, "target", ["n", "top", "phase"], "grp")), 4)
+    rows = rows.withColumn("top", F.when(F.hash("grp", "concept_id") % 7 != 0, F.col("top")))
+    return rounded(f_.model_errors(f_.ridge(rows, "target", ["n", "top", "phase"], "grp", "concept_id", least_groups=15, least_training=10)), 4)
 
 
 _K = "request_id, repeat_id, concept_id"
@@ -179,8 +180,8 @@ f0 AS (SELECT request_id, repeat_id, concept_id, variant, role, episode_id, geog
 fin AS (SELECT *, peak_value - baseline_mean AS lift, CASE WHEN baseline_sd > 0.001 THEN (peak_value - baseline_mean) / baseline_sd END AS standardized, CASE WHEN madv > 0.001 THEN (peak_value - middle) / (1.4826 * madv) END AS robust,
   concat_ws(';', CASE WHEN baseline_days < 5 THEN 'baseline' END, CASE WHEN response_days < ceil(0.8 * wd) THEN 'coverage' END, CASE WHEN zero_share >= 0.5 THEN 'zeros' END, CASE WHEN top = 0 THEN 'all_zero' END, CASE WHEN coalesce(baseline_sd, 0) <= 0.001 THEN 'flat' END) AS reasons FROM f0),
 fe AS (SELECT *, reasons = '' AS eligible FROM fin),
-un AS (SELECT episode_id, geography, concept_id, role, request_id, variant, count(*) AS repeats, count(*) FILTER (eligible) AS eligible_repeats, avg(baseline_mean) FILTER (eligible) AS baseline_mean, avg(peak_value) FILTER (eligible) AS peak_value, avg(lift) FILTER (eligible) AS lift, avg(standardized) FILTER (eligible) AS standardized, avg(robust) FILTER (eligible) AS robust,
-  CASE WHEN count(lift) FILTER (eligible) >= 2 THEN stddev_pop(lift) FILTER (eligible) END AS lift_sd FROM fe GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) FILTER (eligible) > 0),
+un AS (SELECT episode_id, geography, concept_id, role, request_id, variant, count(*) AS repeats, count(*) FILTER (eligible) AS eligible_repeats, avg(baseline_days) FILTER (eligible) AS baseline_days, avg(baseline_mean) FILTER (eligible) AS baseline_mean, avg(baseline_sd) FILTER (eligible) AS baseline_sd, avg(response_days) FILTER (eligible) AS response_days, avg(zero_share) FILTER (eligible) AS zero_share, avg(peak_value) FILTER (eligible) AS peak_value, avg(lift) FILTER (eligible) AS lift, avg(standardized) FILTER (eligible) AS standardized, avg(robust) FILTER (eligible) AS robust,
+  CASE WHEN count(lift) FILTER (eligible) >= 2 THEN stddev_pop(lift) FILTER (eligible) END AS lift_sd, CAST(to_json(list(struct_pack(repeat_id := repeat_id, peak_date := CAST(peak_date AS VARCHAR)) ORDER BY repeat_id) FILTER (eligible)) AS VARCHAR) AS source_lineage FROM fe GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) FILTER (eligible) > 0),
 ct AS (SELECT t.episode_id, t.concept_id, t.variant, t.request_id AS treated_request_id, t.geography AS treated_geography, t.lift AS treated_lift, t.standardized AS treated_standardized, c.request_id AS control_request_id, c.geography AS control_geography, c.lift AS control_lift, c.standardized AS control_standardized, t.lift - c.lift AS lift_contrast, t.standardized - c.standardized AS standardized_contrast
   FROM un t JOIN un c USING (episode_id, concept_id, variant) WHERE t.role = 'treated' AND c.role = 'control' AND t.request_id <> c.request_id AND t.geography <> c.geography)
 """
@@ -210,7 +211,7 @@ x AS (SELECT (SELECT count(*) FROM v WHERE usable) AS usable_metrics, (SELECT co
   (SELECT count(*) FROM (SELECT 1 FROM rm JOIN plan USING (request_id) GROUP BY episode_id, concept_id HAVING bool_or(role = 'treated') AND bool_or(role = 'control'))) AS matched_concepts)
 SELECT *, CASE WHEN usable_metrics = 0 THEN 'collect_more' WHEN matched_concepts = 0 THEN 'add_controls' WHEN paired_units = 0 THEN 'repeat_requests' ELSE 'ready' END AS recommendation FROM x""",
     "final_metrics": f"WITH {FINAL} SELECT {_K}, variant, role, episode_id, geography, baseline_days, {_r('baseline_mean', 'baseline_sd', 'peak_value', 'zero_share', 'lift', 'standardized', 'robust')}, response_days, peak_date, reasons, eligible FROM fe",
-    "event_units": f"WITH {FINAL} SELECT episode_id, geography, concept_id, role, request_id, variant, repeats, eligible_repeats, {_r('baseline_mean', 'peak_value', 'lift', 'standardized', 'robust', 'lift_sd')} FROM un",
+    "event_units": f"WITH {FINAL} SELECT episode_id, geography, concept_id, role, request_id, variant, repeats, eligible_repeats, {_r('baseline_days', 'baseline_mean', 'baseline_sd', 'response_days', 'zero_share', 'peak_value', 'lift', 'standardized', 'robust', 'lift_sd')}, source_lineage FROM un",
     "complete_pairs": f"""WITH {FINAL} SELECT {_K}, variant, eligible, coalesce(bool_or(role = 'treated' AND eligible) OVER w AND bool_or(role = 'control' AND eligible) OVER w, FALSE) AS complete_pair FROM fe WHERE role IN ('treated', 'control') WINDOW w AS (PARTITION BY episode_id, concept_id, repeat_id, variant)""",
     "contrasts": f"WITH {FINAL} SELECT * REPLACE ({_r('treated_lift', 'treated_standardized', 'control_lift', 'control_standardized', 'lift_contrast', 'standardized_contrast')}) FROM ct",
     "final_sensitivity": f"""WITH {FINAL}, b AS (SELECT variant, role, avg(m) AS mean_lift, count(*) AS episodes FROM (SELECT variant, role, episode_id, avg(lift) AS m FROM un GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -226,6 +227,6 @@ SELECT role, concept_id, lag, round(avg(z), 6) AS mean_z, count(*) AS units FROM
 k AS (SELECT *, rank() OVER (PARTITION BY request_id, concept_id ORDER BY x) + (count(*) OVER (PARTITION BY request_id, concept_id, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY request_id, concept_id ORDER BY y) + (count(*) OVER (PARTITION BY request_id, concept_id, y) - 1) / 2.0 AS ry FROM j),
 g AS (SELECT request_id, concept_id, count(*) AS days, corr(x, y) AS pearson, corr(rx, ry) AS spearman, avg(abs(x - y)) AS mean_error, sqrt(avg((x - y) * (x - y))) AS root_error, avg(CAST((x = 0) = (y = 0) AS INT)) AS zero_agreement, max(x) AS first_peak, max(y) AS second_peak, first(date ORDER BY x DESC, date) AS first_peak_date, first(date ORDER BY y DESC, date) AS second_peak_date, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM k GROUP BY 1, 2)
 SELECT request_id, concept_id, days, CASE WHEN sx > 1e-12 AND sy > 1e-12 THEN round(pearson, 6) END AS pearson, CASE WHEN sx > 1e-12 AND sy > 1e-12 THEN round(spearman, 6) END AS spearman, {_r('mean_error', 'root_error', 'zero_agreement', 'first_peak', 'second_peak')}, first_peak_date, second_peak_date, datediff('day', first_peak_date, second_peak_date) AS peak_displacement, first_peak_date = second_peak_date AS same_peak_date FROM g""",
-    "content_hash": """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS sum, min(h) AS least, max(h) AS most FROM (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation)""",
+    "content_hash": """SELECT count(*) AS rows, CAST(sum(p) AS VARCHAR) AS sum, CAST(bit_xor(p) AS VARCHAR) AS xor FROM (SELECT CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 15) AS BIGINT) AS p FROM orders)""",
 }
 QUERIES = {f.__name__: f for f in (integrated, join_summary, orphan_rows, unmatched_counts, lineage_conflicts, request_summaries, group_summaries, paired_diagnostics, rank_agreement, exclusion_ledger, column_audit, metric_viability, group_coverage, repeat_coverage, readiness, final_metrics, event_units, complete_pairs, contrasts, final_sensitivity, sample_flow, response_summary, event_curve, store_agreement, content_hash, ridge_model)}

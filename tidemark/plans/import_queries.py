@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..operators import imports as m
 from ..operators import sampling as p
+from ..sources.tables import written
 from .analysis_queries import responses
 from .base import observations, plan, table
 from .cohort_queries import CAT, cataloged
@@ -20,17 +22,39 @@ def strata(spark, d):
 
 
 def sample_strata(spark, d):
-    return strata(spark, d).select("episode_key", "season", "member_class", "compact", "stratum", p.seeded("7", "episode_key").alias("h"))
+    return strata(spark, d).select("episode_key", "season", "member_class", "footprint", "compact", "stratum", p.seeded("7", "episode_key").alias("h"))
 
 
 def diverse_sample(spark, d):
     return p.diverse_sample(strata(spark, d), "episode_key", F.year("episode_start"), 10, "7")
 
 
+def _sampled(spark, d):
+    """Episodes with what samples are drawn by, and the sample of ten a year."""
+    rows = strata(spark, d).withColumn("id", F.col("episode_key").cast("string")).withColumn("year", F.year("episode_start")).withColumn("state", F.col("primary_state").cast("string")).withColumn("h", p.seeded("7", "episode_key"))
+    rows = written(rows, "strata")
+    return rows, p.diverse_sample(rows, "episode_key", F.col("year"), 10, "7").select("id", "selection_rank").join(rows, "id")
+
+
 def required_swaps(spark, d):
-    rows = strata(spark, d).select(F.col("episode_key").cast("string").alias("id"), F.year("episode_start").alias("year"), F.col("primary_state").cast("string").alias("state"), "stratum", p.seeded("7", "episode_key").alias("h"))
-    sample = rows.where("year = 2023 and cast(state as int) < 8")
-    return p.with_required_states(sample, rows, ["9", "11"])
+    rows, sample = _sampled(spark, d)
+    return p.with_required_states(sample, rows, ["9", "11"], 2, ("3", "4"))
+
+
+def nested_subsets(spark, d):
+    _, sample = _sampled(spark, d)
+    return p.nested_subsets(sample.withColumn("selection_rank", F.row_number().over(Window.orderBy("selection_rank", "id"))), [20, 10])
+
+
+def mini_set(spark, d):
+    """The home state is that of the sample's first row by id."""
+    _, sample = _sampled(spark, d)
+    return p.mini_set(sample, sample.agg(F.min_by("state", "id")).first()[0])
+
+
+def subset_check(spark, d):
+    s = nested_subsets(spark, d)
+    return p.subset_check(s.where("in_10"), s.where("in_20"))
 
 
 def request_plan(spark, d):
@@ -127,8 +151,8 @@ def concept_violations(spark, d):
 
 EL = CAT + """,
 el AS (SELECT * FROM ca WHERE status IN ('retained', 'merge_candidate') AND duration_days <= 4 AND member_count <= 25 AND NOT crosses_split AND primary_state IS NOT NULL),
-sx AS (SELECT episode_key, CASE WHEN month(episode_start) IN (12, 1, 2) THEN 'winter' WHEN month(episode_start) IN (3, 4, 5) THEN 'spring' WHEN month(episode_start) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season, CASE WHEN member_count = 1 THEN 'single' WHEN member_count <= 5 THEN 'small' ELSE 'large' END AS member_class,
-  CASE WHEN diagonal_km <= 10 THEN 'compact' ELSE 'spread' END AS compact, n_regionkey AS region, n_nationkey % 2 = 0 AS coastal FROM el LEFT JOIN nation ON n_nationkey = primary_state),
+sx AS (SELECT episode_key, CASE WHEN month(episode_start) IN (12, 1, 2) THEN 'winter' WHEN month(episode_start) IN (3, 4, 5) THEN 'spring' WHEN month(episode_start) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season, CASE WHEN member_count = 1 THEN 'singleton' ELSE 'multi_member' END AS member_class,
+  CASE WHEN union_km2 <= 25 THEN 'small' ELSE 'moderate' END AS footprint, CASE WHEN union_km2 <= 10 THEN 'compact' ELSE 'spread' END AS compact, n_regionkey AS region, n_nationkey % 2 = 0 AS coastal, primary_state FROM el LEFT JOIN nation ON n_nationkey = primary_state),
 pl AS (SELECT episode_key, role, geography, panel, panel || ';view' AS concept_ids, 'repeat_' || r AS planned_repeat_id, episode_start - 28 AS window_start, greatest(episode_end + 28, episode_start - 28 + 59) AS window_end
   FROM (SELECT *, 'treated' AS role, 'US-' || primary_state AS geography FROM el UNION ALL SELECT *, 'control', 'US-' || (primary_state + 1) % 25 FROM el WHERE episode_key % 2 = 0), (SELECT DISTINCT event_type AS panel FROM events WHERE event_type < 'e'), (VALUES (1), (2)) v(r))
 """
@@ -138,7 +162,7 @@ od AS (SELECT * EXCLUDE (k) FROM so WHERE k < 6), nw AS (SELECT * EXCLUDE (k) RE
 """
 _top = lambda n, s: f"(SELECT '{n}' AS selector, request_id, repeat_id, concept_id, round({s}, 6) AS score FROM rm WHERE {s} IS NOT NULL ORDER BY {s} DESC, request_id DESC, repeat_id DESC, concept_id DESC LIMIT 1)"
 ORACLE = {
-    "sample_strata": f"WITH {EL} SELECT episode_key, season, member_class, compact, concat_ws('|', season, coalesce(CAST(region AS VARCHAR), '?'), coalesce(CAST(coastal AS VARCHAR), '?'), member_class, compact) AS stratum, sha256('7:' || episode_key) AS h FROM sx",
+    "sample_strata": f"WITH {EL} SELECT episode_key, season, member_class, footprint, compact, concat_ws('|', season, coalesce(CAST(region AS VARCHAR), '?'), coalesce(CAST(primary_state AS VARCHAR), '?'), coalesce(CAST(coastal AS VARCHAR), '?'), member_class, footprint, compact) AS stratum, sha256('7:' || episode_key) AS h FROM sx",
     "plan_rows": f"WITH {EL} SELECT * FROM pl",
     "plan_summary": f"WITH {EL} SELECT role, count(*) AS rows, count(DISTINCT (episode_key, panel)) AS requests, count(DISTINCT episode_key) AS pairs, count(DISTINCT planned_repeat_id) AS repeats, count(DISTINCT panel) AS panels FROM pl GROUP BY 1",
     "plan_violations": f"WITH {EL} SELECT DISTINCT episode_key, 'incomplete_design' AS problem FROM pl WHERE episode_key % 10 = 0",
@@ -161,4 +185,4 @@ FROM rm b JOIN rm s USING (request_id, repeat_id) WHERE b.concept_id = 'view' AN
     "top_rows": f"WITH {RESPONSE_SQL} {_top('lift', 'lift_absolute')} UNION ALL {_top('z', 'lift_z')} UNION ALL {_top('area', 'excess_area')} UNION ALL {_top('flat', '-baseline_sd')}",
     "concept_violations": "SELECT * FROM (VALUES ('missing_field', 'error'), ('unknown_tier', 'click'), ('anchor_and_context', 'view'), ('unknown_concept', 'refund'), ('panel_size', 'extra'), ('core_panels', 'core')) v(kind, id)",
 }
-QUERIES = {f.__name__: f for f in (sample_strata, diverse_sample, required_swaps, plan_rows, plan_summary, plan_violations, import_merged, import_conflicts, import_checks, export_profile, parsed_values, export_status, source_differences, term_feasibility, episode_feasibility, broad_specific, top_rows, concept_violations)}
+QUERIES = {f.__name__: f for f in (sample_strata, diverse_sample, required_swaps, nested_subsets, mini_set, subset_check, plan_rows, plan_summary, plan_violations, import_merged, import_conflicts, import_checks, export_profile, parsed_values, export_status, source_differences, term_feasibility, episode_feasibility, broad_specific, top_rows, concept_violations)}
