@@ -424,6 +424,30 @@ def test_top_k_equals_brute_force(spark):
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     same([tuple(r) for r in got.collect()], want)
     assert mtree.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    # rows that repeat, large components, and vectors of another length beside them
+    big = [(k, (rng.normal(size=8) * 1e4).tolist()) for k in range(300)]
+    big += [big[7], big[7], *[(1000 + k, rng.normal(size=3).tolist()) for k in range(0, 200, 4)]]
+    fine = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in big]
+    want = []
+    for i, q in {i: q for i, q in fine if i % 100 == 0}.items():
+        best = sorted((-int(q @ v), j) for j, v in fine if j != i and len(v) == len(q))[:10]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = mtree.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, shard=40, block=2, pivots=5)
+    same([tuple(r) for r in got.collect()], want)
+
+
+def test_bounds_avoid_computations_where_vectors_stand_in_clusters(spark):
+    """Distances computed against those of a scan, for one tree and for all searches; where vectors have no structure, bounds save little."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 2
+    vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.05
+    tree = mtree.Tree(np.arange(4000), np.floor(vectors * 1024).astype(np.int64))
+    for k in range(0, 4000, 400):
+        tree.search(tree.vectors[k], 10, k)
+    assert tree.computed < 0.25 * 10 * 4000
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = mtree.search_all(df, F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding", 1024, 200, 16, 64)
+    assert found.agg(F.sum("computed")).first()[0] < 0.25 * 40 * 4000
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site</p></header><nav><ul><li><a href="/x">Menu</a></ul></nav><div class="cookie-notice">We use</div>
