@@ -10,7 +10,7 @@ from ..sources.tables import written
 __all__ = ["carried", "documents_of", "partitions", "read_table", "text_or_empty", "written"]
 
 #: Bytes of one batch of texts that goes to Python; sessions that allow more are held to this, so that a batch of long texts does not fill a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

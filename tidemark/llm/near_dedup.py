@@ -60,7 +60,7 @@ def document_frequencies(docs: DataFrame, least: float = FREQUENT) -> tuple[np.n
             for text in texts_of(batch, "text"):
                 held.append(np.unique(word_hashes(text, [len(text)])[0]))
                 size += len(held[-1])
-                if size > 4 * CHUNK:
+                if size > CHUNK:
                     yield flush()
                     held, size = [], 0
         if held:
