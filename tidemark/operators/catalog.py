@@ -48,7 +48,7 @@ def assemble(rolled: DataFrame, members: DataFrame, areas: DataFrame, rules: Cat
     status = F.when(merge & ~F.col("wider_crosses_split"), "merge_candidate").when(F.col("wider_crosses_split"), "split_candidate").when(F.col("reasons") != "", "manual_review").otherwise("retained")
     strength = F.when(F.col("member_count") >= 3, "strong").when(F.col("member_count") == 2, "moderate").otherwise("single")
     out = out.withColumn("status", status).withColumn("strength", strength)
-    return out.select(F.col("component").alias("episode_key"), "episode_start", "episode_end", "duration_days", "member_count", "primary_state", "state_count", "edge_count", "diagonal_km", "largest_distance_km", "union_km2", "wider_base_episodes", "wider_components", "wider_crosses_split", "crosses_split", "reasons", "status", "strength")
+    return out.select(F.col("component").alias("episode_key"), "episode_id", "episode_start", "episode_end", "duration_days", "member_count", "primary_state", "state_count", "edge_count", "diagonal_km", "largest_distance_km", "union_km2", "wider_base_episodes", "wider_components", "wider_crosses_split", "crosses_split", "reasons", "status", "strength")
 
 
 def review_rows(catalog: DataFrame) -> DataFrame:
@@ -84,11 +84,11 @@ def counters(catalog: DataFrame) -> DataFrame:
 def validation(catalog: DataFrame, members: DataFrame, base: str = "conservative") -> DataFrame:
     """Violations of each rule of a sound catalog: (check, violations)."""
     mine = members.where(F.col("policy") == base)
-    counted = mine.groupBy("component").agg(F.count("*").alias("n"))
+    counted = mine.groupBy("component").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.lit(base), F.array_join(F.array_sort(F.collect_list("event_id")), ";")), 256).alias("own_id"))
     one = lambda name, df: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
     checks = [
         one("event_in_one_episode", mine.groupBy("event_id").count().where("count > 1")), one("episode_once", catalog.groupBy("episode_key").count().where("count > 1")),
-        one("members_match", catalog.join(counted, catalog["episode_key"] == counted["component"], "left").where("n is null or n <> member_count")), one("no_lost_episode", counted.join(catalog, counted["component"] == catalog["episode_key"], "left_anti")),
+        one("members_match", catalog.join(counted, catalog["episode_key"] == counted["component"], "left").where("n is null or n <> member_count")), one("ids_recomputed", catalog.join(counted, catalog["episode_key"] == counted["component"], "left").where("not (own_id <=> episode_id)")), one("no_lost_episode", counted.join(catalog, counted["component"] == catalog["episode_key"], "left_anti")),
         one("dates_in_order", catalog.where("episode_end < episode_start")), one("status_known", catalog.where("status is null")), one("reasons_fit_status", catalog.where("(status = 'retained') <> (reasons = '')")),
     ]
     out = checks[0]

@@ -49,6 +49,14 @@ def split_of(start: Column, windows: list[tuple[str, str, str]]) -> Column:
     return F.coalesce(*[F.when(start.between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in windows])
 
 
+def require_split(rows: DataFrame, start: str, windows: list[tuple[str, str, str]]) -> DataFrame:
+    """rows with split; a start outside all windows, or none, is an error that names some of them."""
+    out = rows.withColumn("split", split_of(F.col(start), windows))
+    if lost := out.where("split is null").select(start).limit(20).collect():
+        raise ValueError(f"dates outside all splits: {[str(r[0]) for r in lost]}")
+    return out
+
+
 def year_split(start: Column) -> Column:
     return F.when(F.year(start) <= 2023, "development").when(F.year(start) == 2024, "validation").otherwise("test")
 

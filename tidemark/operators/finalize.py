@@ -70,6 +70,14 @@ def sensitivity(units: DataFrame) -> DataFrame:
     return balanced.join(change, ["variant", "role"], "left")
 
 
+def readiness_counters(metrics: DataFrame) -> DataFrame:
+    """One row: rows, requests, episodes and concepts of the main variant, and how many of each are eligible."""
+    main = metrics.where("variant = 'main'")
+    fine = lambda c: F.count_distinct(F.when(F.col("eligible"), F.col(c)))
+    names = {"request_id": "requests", "episode_id": "episodes", "concept_id": "concepts"}
+    return main.agg(F.count("*").alias("rows"), F.count_if("eligible").alias("eligible_rows"), *[F.count_distinct(c).alias(n) for c, n in names.items()], *[fine(c).alias(f"eligible_{n}") for c, n in names.items()])
+
+
 def sample_flow(plan: DataFrame, series: DataFrame, metrics: DataFrame) -> DataFrame:
     """Requests planned, acquired, verified and eligible, for each role."""
     main = metrics.where("variant = 'main'")

@@ -21,12 +21,15 @@ def validated(records: DataFrame, allow_invalid_geometry: bool = False) -> DataF
 
 
 def with_duplicates(rows: DataFrame, key: str, signature: list[str], order: str) -> DataFrame:
-    """rows with copies of the key, whether they conflict in the signature, and the first and last of them by order; rows later rejected count too. A null key is no duplicate."""
+    """rows with copies of the key, whether they conflict in the signature, in which of its columns, and the first and last of them by order; rows later rejected count too. A null key is no duplicate."""
     w = Window.partitionBy(key)
     sign = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in signature])
     out = rows.withColumn("sign", sign)
     copies = F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.count("*").over(w))
-    return out.withColumn("copies", copies).withColumn("conflict", (F.col("copies") > 1) & (F.min("sign").over(w) != F.max("sign").over(w))).withColumn("first_of_key", F.min(order).over(w)).withColumn("last_of_key", F.max(order).over(w)).drop("sign")
+    differ = {f"differs_{c}": F.min(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).over(w) != F.max(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).over(w) for c in signature}
+    some = [F.when((F.col("copies") > 1) & F.col(k), F.lit(f"{k.removeprefix('differs_')}_conflict")) for k in differ]
+    out = out.withColumn("copies", copies).withColumns(differ).withColumn("conflicts", F.array_compact(F.array(*some))).drop(*differ)
+    return out.withColumn("conflict", (F.col("copies") > 1) & (F.min("sign").over(w) != F.max("sign").over(w))).withColumn("first_of_key", F.min(order).over(w)).withColumn("last_of_key", F.max(order).over(w)).drop("sign")
 
 
 def outcome(rows: DataFrame, policy: str, order: str) -> DataFrame:
@@ -36,9 +39,9 @@ def outcome(rows: DataFrame, policy: str, order: str) -> DataFrame:
     duplicate = F.col("copies") > 1
     stays = {"quarantine": F.lit(False), "keep-first": F.col(order) == F.col("first_of_key"), "keep-last": F.col(order) == F.col("last_of_key"), "reject-all": F.lit(False)}[policy]
     lost = "rejected" if policy == "reject-all" else "quarantined"
-    kind = F.when(F.col("conflict"), "conflicting_duplicate").otherwise("exact_duplicate")
+    kind = F.when(~F.col("conflict"), "exact_duplicate")
     state = F.when(F.col("reject_reason") != "", "rejected").when(F.col("quarantine_reason").isNotNull(), "quarantined").when(duplicate & ~stays, lost).otherwise("accepted")
-    why = F.when(F.col("reject_reason") != "", F.col("reject_reason")).when(F.col("quarantine_reason").isNotNull(), F.col("quarantine_reason")).when(duplicate & ~stays, F.concat(F.lit(f"{policy};"), kind))
+    why = F.when(F.col("reject_reason") != "", F.col("reject_reason")).when(F.col("quarantine_reason").isNotNull(), F.col("quarantine_reason")).when(duplicate & ~stays, F.concat_ws(";", F.lit(policy), kind, F.array_join("conflicts", ";")))
     return rows.withColumn("outcome", state).withColumn("outcome_reason", why)
 
 

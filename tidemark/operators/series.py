@@ -112,6 +112,13 @@ def runs(series: DataFrame, plan: DataFrame, rules: Rules) -> DataFrame:
     return spikes.join(longest(over, "over", "longest_run"), KEYS).join(longest(zero, "zero", "longest_zero_run"), KEYS)
 
 
+def with_stability(metrics: DataFrame, stability: DataFrame) -> DataFrame:
+    """Response metrics whose quality says with caution where repeats of a usable series are not stable."""
+    unstable = stability.where("repeats > 1 and not stable").select("request_id", "concept_id", F.lit(True).alias("unstable"))
+    shaky = (F.col("quality") == "usable") & F.coalesce("unstable", F.lit(False))
+    return metrics.join(unstable, ["request_id", "concept_id"], "left").withColumn("quality", F.when(shaky, "usable_with_caution").otherwise(F.col("quality"))).drop("unstable")
+
+
 def repeat_aggregate(metrics: DataFrame) -> DataFrame:
     """Means and population deviations of the lifts over a request's repeats; other fields from the first repeat."""
     lifts = ["lift_absolute", "lift_z", "lift_robust"]

@@ -11,7 +11,7 @@ from ..operators import finalize as f_
 from ..operators import integrate as i_
 from ..operators import series as s
 from .base import daily, observations, plan, table
-from .evidence_queries import roles
+from .evidence_queries import families, roles
 from .series_queries import PHASE_SQL, RESPONSE_SQL
 
 METRICS = ["lift_absolute", "lift_z", "lift_robust", "peak_value"]
@@ -64,6 +64,11 @@ def group_summaries(spark, d):
     return rounded(d_.over_groups(d_.request_summaries(responses(spark, d), METRICS, ["request_id", "concept_id"]), [["request_id"], ["concept_id"], []]))
 
 
+def family_summaries(spark, d):
+    by = d_.request_summaries(responses(spark, d), METRICS, ["request_id", "concept_id"]).join(families(spark, d), "concept_id")
+    return rounded(d_.over_groups(by, [["family"]]))
+
+
 def paired_diagnostics(spark, d):
     return rounded(d_.paired_diagnostics(responses(spark, d), METRICS))
 
@@ -122,6 +127,10 @@ def final_sensitivity(spark, d):
     return rounded(f_.sensitivity(f_.event_units(finals(spark, d))))
 
 
+def readiness_counters(spark, d):
+    return f_.readiness_counters(finals(spark, d))
+
+
 def sample_flow(spark, d):
     return f_.sample_flow(plan(spark, d), daily(spark, d), finals(spark, d))
 
@@ -195,6 +204,7 @@ ORACLE = {
     "lineage_conflicts": f"WITH {PHASE_SQL} SELECT request_id, 'a' AS field, string_agg(DISTINCT concept_id, ';' ORDER BY concept_id) AS \"values\", count(DISTINCT concept_id) AS n FROM obs GROUP BY 1 HAVING count(DISTINCT concept_id) > 1",
     "request_summaries": f"WITH {SUMM} SELECT request_id, concept_id, metric, n, valid, missing, not_finite, {_r('mean', 'median', 'least', 'most', 'sd')} FROM rs",
     "group_summaries": f"WITH {SUMM} SELECT concept_id, request_id, metric, concat_ws('+', CASE WHEN grouping(concept_id) = 0 THEN 'concept_id' END, CASE WHEN grouping(request_id) = 0 THEN 'request_id' END) AS scope, {_og} FROM rs GROUP BY GROUPING SETS ((request_id, metric), (concept_id, metric), (metric))",
+    "family_summaries": f"WITH {SUMM}, fam AS (SELECT DISTINCT event_type AS concept_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'demand' WHEN event_type = 'view' THEN 'awareness' WHEN event_type = 'error' THEN 'nonflood' ELSE 'weather' END AS family FROM events) SELECT family, metric, 'family' AS scope, {_og} FROM rs JOIN fam USING (concept_id) GROUP BY family, metric",
     "paired_diagnostics": f"WITH {SUMM} SELECT request_id, concept_id, metric, repeats, valid, round(d, 6) AS difference, round(abs(d), 6) AS absolute_difference, round(abs(d) / sqrt(2), 6) AS pair_sd, CASE WHEN size > 1e-12 THEN round(abs(d) / size, 6) END AS relative_difference, exclusion_reason FROM pe",
     "rank_agreement": f"WITH {SUMM} SELECT request_id, metric, first, second, concepts, round(spearman, 6) AS spearman, CASE WHEN concepts < 3 THEN 'too_few_concepts' WHEN spearman IS NULL THEN 'constant' END AS exclusion_reason FROM ra",
     "exclusion_ledger": f"""WITH {SUMM} SELECT 'value' AS kind, request_id, concept_id, metric, 'missing' AS reason FROM rs WHERE missing > 0 UNION ALL SELECT 'pair', request_id, concept_id, metric, exclusion_reason FROM pe WHERE exclusion_reason IS NOT NULL
@@ -217,6 +227,7 @@ SELECT *, CASE WHEN usable_metrics = 0 THEN 'collect_more' WHEN matched_concepts
     "final_sensitivity": f"""WITH {FINAL}, b AS (SELECT variant, role, avg(m) AS mean_lift, count(*) AS episodes FROM (SELECT variant, role, episode_id, avg(lift) AS m FROM un GROUP BY 1, 2, 3) GROUP BY 1, 2),
 c AS (SELECT u.variant, u.role, avg(u.lift - m.lift) AS mean_change, count(*) AS shared_units FROM un u JOIN un m ON m.variant = 'main' AND m.request_id = u.request_id AND m.concept_id = u.concept_id GROUP BY 1, 2)
 SELECT variant, role, {_r('mean_lift')}, episodes, {_r('mean_change')}, shared_units FROM b LEFT JOIN c USING (variant, role)""",
+    "readiness_counters": f"WITH {FINAL} SELECT count(*) AS rows, count(*) FILTER (eligible) AS eligible_rows, count(DISTINCT request_id) AS requests, count(DISTINCT episode_id) AS episodes, count(DISTINCT concept_id) AS concepts, count(DISTINCT request_id) FILTER (eligible) AS eligible_requests, count(DISTINCT episode_id) FILTER (eligible) AS eligible_episodes, count(DISTINCT concept_id) FILTER (eligible) AS eligible_concepts FROM fe WHERE variant = 'main'",
     "sample_flow": f"""WITH {FINAL} SELECT stage, role, count(DISTINCT request_id) AS requests FROM (SELECT 'planned' AS stage, role, request_id FROM plan UNION ALL SELECT 'acquired', role, request_id FROM daily JOIN plan USING (request_id)
 UNION ALL SELECT 'verified', role, request_id FROM fe WHERE variant = 'main' AND baseline_days > 0 UNION ALL SELECT 'eligible', role, request_id FROM fe WHERE variant = 'main' AND eligible) GROUP BY 1, 2""",
     "response_summary": f"""WITH {FINAL}, b AS (SELECT concept_id, role, count(*) AS units, avg(lift) AS mean_lift, avg(standardized) AS mean_standardized FROM un WHERE variant = 'main' GROUP BY 1, 2), c AS (SELECT concept_id, 'treated' AS role, avg(lift_contrast) AS mean_contrast FROM ct WHERE variant = 'main' GROUP BY 1)
@@ -229,4 +240,4 @@ g AS (SELECT request_id, concept_id, count(*) AS days, corr(x, y) AS pearson, co
 SELECT request_id, concept_id, days, CASE WHEN sx > 1e-12 AND sy > 1e-12 THEN round(pearson, 6) END AS pearson, CASE WHEN sx > 1e-12 AND sy > 1e-12 THEN round(spearman, 6) END AS spearman, {_r('mean_error', 'root_error', 'zero_agreement', 'first_peak', 'second_peak')}, first_peak_date, second_peak_date, datediff('day', first_peak_date, second_peak_date) AS peak_displacement, first_peak_date = second_peak_date AS same_peak_date FROM g""",
     "content_hash": """SELECT count(*) AS rows, CAST(sum(p) AS VARCHAR) AS sum, CAST(bit_xor(p) AS VARCHAR) AS xor FROM (SELECT CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 15) AS BIGINT) AS p FROM orders)""",
 }
-QUERIES = {f.__name__: f for f in (integrated, join_summary, orphan_rows, unmatched_counts, lineage_conflicts, request_summaries, group_summaries, paired_diagnostics, rank_agreement, exclusion_ledger, column_audit, metric_viability, group_coverage, repeat_coverage, readiness, final_metrics, event_units, complete_pairs, contrasts, final_sensitivity, sample_flow, response_summary, event_curve, store_agreement, content_hash, ridge_model)}
+QUERIES = {f.__name__: f for f in (integrated, join_summary, orphan_rows, unmatched_counts, lineage_conflicts, request_summaries, group_summaries, family_summaries, paired_diagnostics, rank_agreement, exclusion_ledger, column_audit, metric_viability, group_coverage, repeat_coverage, readiness, final_metrics, event_units, complete_pairs, contrasts, final_sensitivity, readiness_counters, sample_flow, response_summary, event_curve, store_agreement, content_hash, ridge_model)}

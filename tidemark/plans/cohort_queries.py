@@ -152,7 +152,7 @@ sh AS (SELECT wc, count(DISTINCT component) AS base_episodes FROM bo GROUP BY 1)
 nr AS (SELECT component, max(base_episodes) AS wider_base_episodes, count(DISTINCT wc) AS wider_components FROM bo JOIN sh USING (wc) GROUP BY 1),
 wx AS (SELECT component AS wc, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS x FROM ru WHERE policy = 'balanced'),
 cx AS (SELECT component, bool_or(x) AS wider_crosses_split FROM bo JOIN wx USING (wc) GROUP BY 1),
-k0 AS (SELECT component AS episode_key, episode_start, episode_end, duration_days, member_count, primary_state, state_count, edge_count, diagonal_km, largest_distance_km, union_km2, wider_base_episodes, wider_components, wider_crosses_split, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS crosses_split,
+k0 AS (SELECT component AS episode_key, episode_id, episode_start, episode_end, duration_days, member_count, primary_state, state_count, edge_count, diagonal_km, largest_distance_km, union_km2, wider_base_episodes, wider_components, wider_crosses_split, episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' AS crosses_split,
   concat_ws(';', CASE WHEN edge_count > 0 AND member_count > 2 THEN 'bridge' END, CASE WHEN duration_days > 3 THEN 'long_duration' END, CASE WHEN member_count > 4 THEN 'many_members' END, CASE WHEN state_count > 2 THEN 'many_states' END, CASE WHEN largest_distance_km > 15 THEN 'member_distance' END, CASE WHEN wider_base_episodes > 1 THEN 'merge_candidate' END,
   CASE WHEN wider_crosses_split OR episode_start < DATE '2024-01-01' AND episode_end >= DATE '2024-01-01' THEN 'split_boundary' END, CASE WHEN diagonal_km > 20 THEN 'wide' END) AS reasons FROM ru JOIN nr USING (component) JOIN cx USING (component) JOIN ar USING (policy, component) WHERE policy = 'conservative'),
 ca AS (SELECT *, CASE WHEN wider_base_episodes > 1 AND NOT wider_crosses_split THEN 'merge_candidate' WHEN wider_crosses_split THEN 'split_candidate' WHEN reasons <> '' THEN 'manual_review' ELSE 'retained' END AS status,
@@ -180,7 +180,7 @@ quantile_disc(days, 0.5) FILTER (days >= 0) AS p50, quantile_disc(days, 0.9) FIL
     "catalog_summary": f"WITH {CAT} SELECT count(*) AS episodes, CAST(sum(member_count) AS BIGINT) AS members, {', '.join(chr(10) + f'count(*) FILTER (status = {chr(39)}{s}{chr(39)}) AS {s}' for s in ('retained', 'merge_candidate', 'split_candidate', 'manual_review'))}, count(*) FILTER (crosses_split) AS crossing, count(*) FILTER (member_count = 1) AS singletons FROM ca",
     "catalog_counters": f"""WITH {CAT} SELECT counter, value, status, count(*) AS episodes FROM (SELECT 'year' AS counter, CAST(year(episode_start) AS VARCHAR) AS value, '' AS status FROM ca UNION ALL SELECT 'state', CAST(primary_state AS VARCHAR), '' FROM ca UNION ALL SELECT 'size', CASE WHEN member_count = 1 THEN '1' WHEN member_count <= 5 THEN '2-5' WHEN member_count <= 25 THEN '6-25' WHEN member_count <= 100 THEN '26-100' ELSE '101+' END, '' FROM ca
 UNION ALL SELECT 'strength', strength, '' FROM ca UNION ALL SELECT 'reason', unnest(string_split(reasons, ';')), status FROM ca WHERE reasons <> '') GROUP BY 1, 2, 3""",
-    "catalog_validation": f"WITH {CAT} SELECT unnest(['event_in_one_episode', 'episode_once', 'members_match', 'no_lost_episode', 'dates_in_order', 'status_known', 'reasons_fit_status']) AS \"check\", CAST(0 AS BIGINT) AS violations",
+    "catalog_validation": f"WITH {CAT} SELECT unnest(['event_in_one_episode', 'episode_once', 'members_match', 'ids_recomputed', 'no_lost_episode', 'dates_in_order', 'status_known', 'reasons_fit_status']) AS \"check\", CAST(0 AS BIGINT) AS violations",
     "decision_violations": f"""WITH {CAT}, m AS (SELECT event_id, component AS k, CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'development' END AS sp FROM me WHERE policy = 'conservative'), b AS (SELECT k, count(*) AS n, min(sp) AS sp FROM m GROUP BY 1), mg AS (SELECT k, k + 5 AS o, sp, k % 2 = 0 AS ov FROM b WHERE n = 1 AND k % 7 = 0)
 SELECT DISTINCT k AS episode_key, 'unknown_merge_source' AS problem FROM mg ANTI JOIN (SELECT k AS o FROM b) USING (o) UNION ALL SELECT DISTINCT mg.k, 'crosses_split' FROM mg JOIN b ON b.k = mg.o WHERE mg.sp <> b.sp AND NOT ov""",
     "applied_decisions": f"WITH {CAT} SELECT component AS episode_key, CASE WHEN count(*) > 1 THEN count(*) ELSE 1 END AS new_episodes, count(*) AS members FROM me WHERE policy = 'conservative' GROUP BY 1",

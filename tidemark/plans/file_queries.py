@@ -65,6 +65,11 @@ def export_observations(spark, d):
     return rows.select("request_id", "repeat_id", "concept_id", "date", "interest", "is_partial", "value_class", "label_matches")
 
 
+def export_checks(spark, d):
+    path, sidecars = _exports(spark, d)
+    return tables.export_checks(spark, path, sidecars.where("repeat_id = 'repeat_1'")).groupBy("rows", "header_cells", "odd_rows", "repeated_dates", "labels_match").agg(F.count("*").alias("files"))
+
+
 def acquisition_inventory(spark, d):
     path, sidecars = _exports(spark, d)
     return tables.store_counts(tables.inventory(spark, path, sidecars.where("repeat_id = 'repeat_1'"))).drop("bytes")
@@ -146,6 +151,7 @@ FROM information_schema.columns WHERE table_name = 'customer' UNION ALL SELECT '
     "export_observations": f"""WITH {SQL}, k AS (SELECT DISTINCT event_type AS concept_id FROM events), g AS (SELECT DISTINCT request_id, repeat_id, date FROM daily)
 SELECT request_id, repeat_id, concept_id, date, CASE WHEN value < 1 THEN 0.0 ELSE CAST(floor(value + 0.5) AS DOUBLE) END AS interest, coalesce(value >= 1 AND day(date) = 9, FALSE) AS is_partial,
 CASE WHEN value IS NULL THEN 'missing' WHEN value < 1 THEN 'reported_zero_low_volume' ELSE 'true_zero_unknown' END AS value_class, TRUE AS label_matches FROM g CROSS JOIN k LEFT JOIN daily USING (request_id, repeat_id, concept_id, date)""",
+    "export_checks": f"WITH {SQL}, g AS (SELECT request_id, repeat_id, count(DISTINCT date) AS rows FROM daily GROUP BY 1, 2) SELECT rows, CAST((SELECT count(DISTINCT event_type) + 1 FROM events) AS INT) AS header_cells, CAST(0 AS BIGINT) AS odd_rows, CAST(0 AS BIGINT) AS repeated_dates, CASE WHEN repeat_id = 'repeat_1' THEN TRUE END AS labels_match, count(*) AS files FROM g GROUP BY 1, 5",
     "acquisition_inventory": f"WITH {SQL}, g AS (SELECT DISTINCT request_id, repeat_id FROM daily) SELECT CASE WHEN repeat_id = 'repeat_1' THEN 'csv' ELSE 'unknown' END AS store, count(*) AS files, count(*) AS contents, count(*) FILTER (repeat_id = 'repeat_1') AS with_sidecar FROM g GROUP BY 1",
     "sidecar_problems": "SELECT CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'lists' WHEN c_custkey % 5 < 2 THEN 'backend' WHEN c_custkey % 13 < 2 THEN 'dates' END AS problem, count(*) AS sidecars FROM customer GROUP BY 1",
     "wide_store": f"WITH {SQL} SELECT CAST(date AS VARCHAR) AS date, concept_id, day(date) = 9 AS is_partial, count(*) AS n, round(sum(value), 4) AS total FROM daily GROUP BY 1, 2, 3",
@@ -157,4 +163,4 @@ SELECT 'outside_plan' AS problem, count(*) AS observations FROM o WHERE role = '
 UNION ALL SELECT 'no_partial_flag', count(*) FROM o WHERE event_id % 97 = 1 UNION ALL SELECT 'out_of_range', count(*) FROM o WHERE bad UNION ALL SELECT 'synthetic', count(*) FROM o WHERE event_id % 503 = 0) WHERE observations > 0""",
     "intersecting_events": "SELECT o_orderpriority, count(*) FILTER (o_orderkey % 5 > 0 AND o_orderkey % 2 = 0) AS by_states, count(*) FILTER (o_orderkey % 3 = 0) AS by_country FROM orders GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (source_index, bounded_scan, schema_inspection, plan_reader, export_observations, acquisition_inventory, sidecar_problems, wide_store, written_sinks, metric_sink, streamed_import, admission_violations, intersecting_events)}
+QUERIES = {f.__name__: f for f in (source_index, bounded_scan, schema_inspection, plan_reader, export_observations, export_checks, acquisition_inventory, sidecar_problems, wide_store, written_sinks, metric_sink, streamed_import, admission_violations, intersecting_events)}

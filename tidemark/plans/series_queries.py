@@ -30,6 +30,11 @@ def repeat_stability(spark, d):
     return rounded(s.repeat_stability(daily(spark, d), s.response_metrics(daily(spark, d), plan(spark, d), SHORT), SHORT))
 
 
+def response_quality(spark, d):
+    m = s.response_metrics(daily(spark, d), plan(spark, d), SHORT)
+    return s.with_stability(m, s.repeat_stability(daily(spark, d), m, SHORT)).select(*s.KEYS, "quality")
+
+
 def phase_stability(spark, d):
     return rounded(s.phase_stability(s.phase_metrics(daily(spark, d), plan(spark, d), SHORT), SHORT))
 
@@ -77,6 +82,12 @@ rm AS (SELECT * EXCLUDE (onset), peak_value - baseline_mean AS lift_absolute, CA
   FROM rm0 JOIN peaks USING (request_id, repeat_id, concept_id))
 """
 _K = ["request_id", "repeat_id", "concept_id"]
+STABLE = """
+each AS (SELECT request_id, concept_id, a.repeat_id, b.repeat_id, CASE WHEN count(*) >= 2 AND stddev_pop(a.value) > 1e-12 AND stddev_pop(b.value) > 1e-12 THEN corr(a.value, b.value) END AS r, max(abs(a.value - b.value)) AS d
+  FROM daily a JOIN daily b USING (request_id, concept_id, date) WHERE a.repeat_id < b.repeat_id GROUP BY 1, 2, 3, 4),
+c AS (SELECT request_id, concept_id, min(r) AS least_correlation, max(d) AS largest_difference FROM each GROUP BY 1, 2),
+p AS (SELECT request_id, concept_id, count(*) AS repeats, datediff('day', min(peak_date), max(peak_date)) AS peak_date_range FROM rm GROUP BY 1, 2)
+"""
 ORACLE = {
     "phase_metrics": rnd(PHASE_SQL, _phase_doubles, [*_K, "baseline_days", "peak_date", "peak_phase", "dominant_phase", "quality", *[f"{p}_days" for p in PH]]) + "pm",
     "response_metrics": rnd(RESPONSE_SQL, ["baseline_mean", "event_mean", "post_mean", "baseline_sd", "peak_value", "zero_share", "baseline_median", "baseline_mad", "lift_absolute", "lift_ratio", "lift_z", "lift_robust", "excess_area"], [*_K, "baseline_days", "event_days", "post_days", "peak_date", "days_to_peak", "quality"]) + "rm",
@@ -90,13 +101,10 @@ SELECT request_id, repeat_id, concept_id, CAST(count(*) FILTER (value >= 5 * nea
 FROM y LEFT JOIN r1 USING (request_id, repeat_id, concept_id) LEFT JOIN r2 USING (request_id, repeat_id, concept_id) GROUP BY 1, 2, 3""",
     "repeat_aggregate": f"""WITH {RESPONSE_SQL} SELECT request_id, concept_id, count(*) AS repeats, {', '.join(f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN count({c}) >= 2 THEN stddev_pop({c}) END, 6) AS {c}_sd" for c in ("lift_absolute", "lift_z", "lift_robust"))},
 bool_and(quality = 'usable') AS all_usable, arg_min(peak_date, repeat_id) AS peak_date, arg_min(quality, repeat_id) AS quality, string_agg(DISTINCT repeat_id, ';' ORDER BY repeat_id) AS repeat_ids FROM rm GROUP BY 1, 2""",
-    "repeat_stability": f"""WITH {RESPONSE_SQL},
-each AS (SELECT request_id, concept_id, a.repeat_id, b.repeat_id, CASE WHEN count(*) >= 2 AND stddev_pop(a.value) > 1e-12 AND stddev_pop(b.value) > 1e-12 THEN corr(a.value, b.value) END AS r, max(abs(a.value - b.value)) AS d
-  FROM daily a JOIN daily b USING (request_id, concept_id, date) WHERE a.repeat_id < b.repeat_id GROUP BY 1, 2, 3, 4),
-c AS (SELECT request_id, concept_id, min(r) AS least_correlation, max(d) AS largest_difference FROM each GROUP BY 1, 2),
-p AS (SELECT request_id, concept_id, count(*) AS repeats, datediff('day', min(peak_date), max(peak_date)) AS peak_date_range FROM rm GROUP BY 1, 2)
-SELECT request_id, concept_id, repeats, peak_date_range, round(least_correlation, 6) AS least_correlation, round(largest_difference, 6) AS largest_difference,
+    "repeat_stability": f"""WITH {RESPONSE_SQL}, {STABLE} SELECT request_id, concept_id, repeats, peak_date_range, round(least_correlation, 6) AS least_correlation, round(largest_difference, 6) AS largest_difference,
 coalesce(repeats >= 2 AND least_correlation >= 0.8 AND peak_date_range <= 3, FALSE) AS stable FROM p LEFT JOIN c USING (request_id, concept_id)""",
+    "response_quality": f"""WITH {RESPONSE_SQL}, {STABLE}, t AS (SELECT request_id, concept_id, repeats > 1 AND NOT coalesce(repeats >= 2 AND least_correlation >= 0.8 AND peak_date_range <= 3, FALSE) AS unstable FROM p LEFT JOIN c USING (request_id, concept_id))
+SELECT request_id, repeat_id, concept_id, CASE WHEN quality = 'usable' AND unstable THEN 'usable_with_caution' ELSE quality END AS quality FROM rm JOIN t USING (request_id, concept_id)""",
     "phase_stability": f"""WITH {PHASE_SQL}, s AS (SELECT request_id, concept_id, count(*) AS repeats, {', '.join(f"CASE WHEN count({p}_standardized) >= 2 THEN stddev_pop({p}_standardized) END AS {p}_sd" for p in PH)}, count(DISTINCT coalesce(dominant_phase, 'None')) AS dominant_phases FROM pm GROUP BY 1, 2)
 SELECT request_id, concept_id, repeats, dominant_phases, {', '.join(f"round({p}_sd, 6) AS {p}_sd" for p in PH)}, dominant_phases = 1 AS dominant_agrees,
 CASE WHEN repeats < 2 THEN 'not_repeated' WHEN dominant_phases = 1 AND coalesce(greatest({', '.join(f"{p}_sd" for p in PH)}), 0) <= 1 THEN 'stable' ELSE 'unstable' END AS status FROM s""",
@@ -105,4 +113,4 @@ string_agg(DISTINCT CAST(peak_date AS VARCHAR), ';' ORDER BY CAST(peak_date AS V
 SELECT request_id, concept_id, repeats, {', '.join(f"round({c}, 6) AS {c}" for c in ["baseline_mean", "baseline_sd", "peak_value", *[f"{p}_{c}" for p in PH for c in ("mean", "lift", "standardized", "robust")]])}, coalesce(pd, '') AS peak_dates, peak_date_range, quality, coalesce(peak_date_range = 0, FALSE) AS peak_dates_agree,
 (SELECT p FROM (VALUES {", ".join(f"('{p}', {p}_standardized)" for p in PH)}) v(p, x) WHERE x IS NOT NULL ORDER BY x DESC, p LIMIT 1) AS dominant_phase FROM s""",
 }
-QUERIES = {f.__name__: f for f in (phase_metrics, response_metrics, series_runs, repeat_aggregate, repeat_stability, phase_stability, phase_aggregate)}
+QUERIES = {f.__name__: f for f in (phase_metrics, response_metrics, series_runs, repeat_aggregate, repeat_stability, response_quality, phase_stability, phase_aggregate)}

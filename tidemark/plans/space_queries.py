@@ -43,6 +43,14 @@ def footprints(spark, d):
     return sp.decode(_boxed(e, x, y, x + w, y + w))
 
 
+def projected_areas(spark, d):
+    """Customers as boxes in degrees, projected to the equal-area plane."""
+    k = F.col("c_custkey")
+    x, y = (k * 7 % 340 - 170).cast("double"), (k % 120 - 60).cast("double")
+    rows = _boxed(table(spark, d, "customer").select("c_custkey"), x, y, x + (1 + k % 5).cast("double") / 10, y + (1 + k % 3).cast("double") / 10)
+    return rounded(sp.decode(rows, projected=True).select("c_custkey", F.col("area_km2_shape").alias("area_km2")), 4)
+
+
 def districts(spark, d):
     """A district for each nation: boxes of a 5 by 5 grid of 45 km, some way from the origin."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_nationkey").alias("k"))
@@ -104,7 +112,7 @@ def rolled(spark, d):
 
 
 def episode_rollup(spark, d):
-    return rounded(rolled(spark, d)[0].drop("episode_id"))
+    return rounded(rolled(spark, d)[0])
 
 
 def episode_areas(spark, d):
@@ -158,7 +166,7 @@ pst AS (SELECT policy, component, first(state ORDER BY n DESC, f) AS primary_sta
 ec AS (SELECT ed.policy, component, count(*) AS edge_count FROM ed JOIN me ON me.policy = ed.policy AND me.event_id = ed.a GROUP BY 1, 2),
 md AS (SELECT a.policy, a.component, max(sqrt(power(a.x + a.w / 2 - b.x - b.w / 2, 2) + power(a.y + a.w / 2 - b.y - b.w / 2, 2)) / 1000) AS largest_distance_km FROM g1 a JOIN g1 b ON a.policy = b.policy AND a.component = b.component GROUP BY 1, 2),
 sl AS (SELECT policy, component, string_agg(st, ';' ORDER BY st) AS state_codes, count(*) AS state_count FROM (SELECT DISTINCT policy, component, unnest(states) AS st FROM g1) GROUP BY 1, 2),
-r0 AS (SELECT policy, component, min(s) AS episode_start, max(e) AS episode_end, count(*) AS member_count, any_value(state_codes) AS state_codes, any_value(state_count) AS state_count, coalesce(max(gap), 0) AS largest_start_gap, first(x + w / 2 ORDER BY event_id) AS point_x, first(y + w / 2 ORDER BY event_id) AS point_y,
+r0 AS (SELECT policy, component, sha256(policy || '|' || string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY event_id)) AS episode_id, min(s) AS episode_start, max(e) AS episode_end, count(*) AS member_count, any_value(state_codes) AS state_codes, any_value(state_count) AS state_count, coalesce(max(gap), 0) AS largest_start_gap, first(x + w / 2 ORDER BY event_id) AS point_x, first(y + w / 2 ORDER BY event_id) AS point_y,
   sqrt(power(max(x + w) - min(x), 2) + power(max(y + w) - min(y), 2)) / 1000 AS diagonal_km, any_value(primary_state) AS primary_state, coalesce(any_value(edge_count), 0) AS edge_count, datediff('day', min(s), max(e)) AS duration_days, {_YS.format('min(s)', 'min(s)')} AS year_split, count(DISTINCT ys) > 1 AS crosses_year_split, any_value(largest_distance_km) AS largest_distance_km,
   CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 5 THEN '2-5' WHEN count(*) <= 25 THEN '6-25' WHEN count(*) <= 100 THEN '26-100' ELSE '101+' END AS size_bin FROM g1 JOIN pst USING (policy, component) JOIN md USING (policy, component) JOIN sl USING (policy, component) LEFT JOIN ec USING (policy, component) GROUP BY 1, 2),
 ru AS (SELECT *, concat_ws(';', CASE WHEN member_count > 3 THEN 'over_members' END, CASE WHEN duration_days > 4 THEN 'over_days' END, CASE WHEN largest_distance_km > 20 THEN 'over_distance_km' END, CASE WHEN state_count > 2 THEN 'over_states' END) AS review_reasons FROM r0),
@@ -170,7 +178,9 @@ ar AS (SELECT policy, component, sum(high * greatest(0, x1 - greatest(x, coalesc
 _ag = lambda l, r: f"""SELECT '{l}' AS left_policy, '{r}' AS right_policy, CAST(sum(n) AS BIGINT) AS events, count(*) FILTER (n = il AND n = ir) AS preserved, count(DISTINCT CASE WHEN pr > 1 AND n = il THEN l END) AS merged, count(DISTINCT CASE WHEN pl > 1 THEN l END) AS split, CAST(coalesce(sum(n) FILTER (n = il AND n = ir), 0) AS BIGINT) AS identical,
 round((sum(n) * (sum(n) - 1) / 2 - sum(il * (il - 1) / 2 / pl) - sum(ir * (ir - 1) / 2 / pr) + 2 * sum(n * (n - 1) / 2)) / (sum(n) * (sum(n) - 1) / 2), 6) AS agreement
 FROM (SELECT *, sum(n) OVER (PARTITION BY l) AS il, sum(n) OVER (PARTITION BY r) AS ir, count(*) OVER (PARTITION BY l) AS pl, count(*) OVER (PARTITION BY r) AS pr FROM (SELECT a.component AS l, b.component AS r, count(*) AS n FROM me a JOIN me b USING (event_id) WHERE a.policy = '{l}' AND b.policy = '{r}' GROUP BY 1, 2))"""  # noqa: E731,E741
+_q = lambda lat: f"((1 - ee * ee) * (sin(radians({lat})) / (1 - power(ee * sin(radians({lat})), 2)) - ln((1 - ee * sin(radians({lat}))) / (1 + ee * sin(radians({lat})))) / (2 * ee)))"
 ORACLE = {
+    "projected_areas": f"WITH b AS (SELECT c_custkey, c_custkey % 120 - 60.0 AS y, (1 + c_custkey % 5) / 10 AS w, (1 + c_custkey % 3) / 10 AS h, 0.0818191908426215 AS ee FROM customer) SELECT c_custkey, round(6378137.0 * 6378137.0 / 2 * radians(w) * ({_q('y + h')} - {_q('y')}) / 1e6, 4) AS area_km2 FROM b",
     "district_overlaps": f"WITH {BOX} SELECT event_id, code, round(overlap_km2, 6) AS overlap_km2, row_number() OVER (PARTITION BY event_id ORDER BY overlap_km2 DESC, code) AS assignment_rank, CASE WHEN overlap_km2 > 0 THEN round(overlap_km2 / area, 6) END AS event_fraction, CASE WHEN overlap_km2 > 0 THEN round(overlap_km2 / sum(overlap_km2) OVER (PARTITION BY event_id), 6) END AS union_fraction, row_number() OVER (PARTITION BY event_id ORDER BY overlap_km2 DESC, code) = 1 AS is_primary, TRUE AS valid FROM ov",
     "district_assignment": f"WITH {BOX} SELECT * FROM asg",
     "assignment_counters": f"WITH {BOX} SELECT method, count(*) AS events, count(*) FILTER (candidates > 1) AS several FROM asg GROUP BY 1",
@@ -189,4 +199,4 @@ count(*) FILTER (review_reasons <> '') AS review_flagged, CAST(sum(edge_count) A
     "state_years": f"WITH {MEMBERS} SELECT policy, state, year, count(*) AS episodes FROM (SELECT policy, unnest(string_split(state_codes, ';')) AS state, year(episode_start) AS year FROM ru) GROUP BY 1, 2, 3",
     "clustering_agreement": f"WITH {MEMBERS} {_ag('conservative', 'balanced')} UNION ALL {_ag('balanced', 'broad')}",
 }
-QUERIES = {f.__name__: f for f in (district_overlaps, district_assignment, assignment_counters, union_overlap, episode_edges, pair_diagnostics, episode_members, episode_rollup, episode_areas, policy_sensitivity, size_distribution, state_years, clustering_agreement)}
+QUERIES = {f.__name__: f for f in (projected_areas, district_overlaps, district_assignment, assignment_counters, union_overlap, episode_edges, pair_diagnostics, episode_members, episode_rollup, episode_areas, policy_sensitivity, size_distribution, state_years, clustering_agreement)}

@@ -124,11 +124,17 @@ def read_plan(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     return df
 
 
-def canonical_boundaries(rows: DataFrame, fields: dict[str, list[str]], code: str) -> DataFrame:
-    """Boundary rows with each field from the first source column that is resolved (blank and -99 are not), and duplicates counted by code."""
+def canonical_boundaries(rows: DataFrame, fields: dict[str, list[str]], code: str, required: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
+    """Boundary rows with each field from the first source column that is resolved (blank and -99 are not), and duplicates counted by code. A required field that stays unresolved, or with
+    unique a code that occurs again, is an error."""
     pick = lambda names: F.coalesce(*[F.when(~F.trim(F.col(n)).isin("", "-99"), F.trim(F.col(n))) for n in names if n in rows.columns])
     out = rows.select(*[pick(names).alias(name) for name, names in fields.items()], "geometry")
+    for c in required:
+        if lost := out.where(F.col(c).isNull()).count():
+            raise ValueError(f"{lost} boundaries without {c}")
     counts = out.groupBy(code).agg(F.count("*").alias("rows_of_code"))
+    if unique and (twice := counts.where("rows_of_code > 1").limit(20).collect()):
+        raise ValueError(f"codes of several boundaries: {[r[0] for r in twice]}")
     return out.join(counts, out[code].eqNullSafe(counts[code])).drop(counts[code])
 
 
@@ -157,6 +163,17 @@ def export_problems(spark: SparkSession, path: str) -> DataFrame:
     return width.unionByName(twice.select("source_file", "line", F.lit("date").alias("problem")))
 
 
+def export_checks(spark: SparkSession, path: str, sidecars: DataFrame) -> DataFrame:
+    """A row for each export: rows, cells of its header, rows of another width, dates that repeat, and whether its labels hold those that its sidecar asked for (null: no sidecar)."""
+    rows = export_lines(spark, path)
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    asked = sidecars.select(stem(F.col("sidecar_file")).alias("stem"), "requested_labels")
+    by = rows.groupBy("source_file").agg(F.count("*").alias("rows"), F.first("labels").alias("labels"), F.count_if(F.size("cells") != F.size("labels")).alias("odd_rows"), (F.count("*") - F.count_distinct(F.get("cells", F.lit(0)))).alias("repeated_dates"))
+    pairs = F.zip_with(F.slice("labels", 2, 100), "requested_labels", lambda have, want: F.coalesce(F.lower(have).contains(F.lower(want)), F.lit(False)))
+    joined = by.withColumn("stem", stem(F.col("source_file"))).join(asked, "stem", "left")
+    return joined.select("source_file", "rows", F.size("labels").alias("header_cells"), "odd_rows", "repeated_dates", F.when(F.col("requested_labels").isNotNull(), F.forall(pairs, lambda x: x)).alias("labels_match"))
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """Wide exports in long form: source_file, file_sha256, date_text, position, label, value_text. Rows that are wider or narrower than their header, or repeat a date, are an error."""
     if bad := export_problems(spark, path).limit(20).collect():
