@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, queries, substring_dedup, suffix_dedup
+from tidemark.llm import anchored, bpe, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, queries, substring_dedup, suffix_dedup
 from tidemark.operators.components import components
 
 ODD = [(9001, None), (9002, ""), (9003, "a" * 3000), (9004, "la la " * 400), (9005, "one two"), (9005, "one two"), (None, "Of the <|endoftext|> I'LL say ΣΑΣ ½²\x1cé́ ok"), (9006, "é" * 300 + " tail"), (9007, "\n\n  \t")]
@@ -98,6 +98,14 @@ def test_suffix_dedup_equals_brute_force(docs, rows):
     same([tuple(r) for r in suffix_dedup.deduplicate(docs).collect()], list(brute_strings(rows)))
 
 
+def test_crowded_anchors_give_the_same_rows(spark, docs, rows, monkeypatch):
+    """With a limit of one segment all anchors that differ are counted over all machines."""
+    want = {f: sorted(map(tuple, f(docs).collect()), key=repr) for f in (suffix_dedup.deduplicate, substring_dedup.deduplicate)}
+    monkeypatch.setattr(anchored, "CROWD", 1)
+    for f, expected in want.items():
+        assert sorted(map(tuple, f(docs).collect()), key=repr) == expected
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -569,6 +577,8 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for f in (suffix_dedup.deduplicate, substring_dedup.deduplicate, fingerprint.fingerprint, near_dedup.classes):
+    tokenizer = queries.tokenizer_path()
+    operators = (suffix_dedup.deduplicate, substring_dedup.deduplicate, fingerprint.fingerprint, near_dedup.classes, lambda d: packing.pack(d, tokenizer), lambda d: bpe.encoded_digests(d, tokenizer))
+    for f in operators:
         assert f(none).count() == 0
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0

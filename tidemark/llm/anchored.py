@@ -237,14 +237,14 @@ def repeated_segments(docs: DataFrame, scheme) -> DataFrame:
     return written(hits.join(written(about, "anchors"), "anchor"), "segments")
 
 
-def representatives(docs: DataFrame, hits: DataFrame, scheme, crowd: int = CROWD) -> DataFrame:
+def representatives(docs: DataFrame, hits: DataFrame, scheme) -> DataFrame:
     """A table of one row (anchor, seg, n, low, string) for each different segment of an anchor that has several.
 
-    An anchor of more than crowd segments has a row (anchor, seg, n, low, place, h1, h2) for each of their windows instead: such windows are counted by
+    An anchor of more than CROWD segments has a row (anchor, seg, n, low, place, h1, h2) for each of their windows instead: such windows are counted by
     128 bits of hash, over all machines.
     """
     one = hits.where("several").groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "part", "start", "windows")).alias("at"))
-    crowded = one.groupBy("anchor").agg(F.count("*").alias("segs")).where(F.col("segs") > crowd).select("anchor", F.lit(True).alias("crowded"))
+    crowded = one.groupBy("anchor").agg(F.count("*").alias("segs")).where(F.col("segs") > CROWD).select("anchor", F.lit(True).alias("crowded"))
     one = one.join(crowded, "anchor", "left")
     wanted = one.groupBy("at.doc_id", "at.part").agg(F.collect_list(F.struct("anchor", "seg", "n", "low", "at.start", "at.windows", "crowded")).alias("wanted"))
     schema = "anchor long, seg long, n long, low long, string binary, place int, h1 long, h2 long"
