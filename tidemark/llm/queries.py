@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, sql, substring_dedup, suffix_dedup
+from . import bpe, collocations, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, sql, substring_dedup, suffix_dedup, whitening
 from .common import read_table
 
 
@@ -62,6 +62,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_mtree_topk,
     op2_pii,
@@ -74,6 +78,7 @@ QUERIES = (
     op9_substring_dedup,
     op10_html_extract,
     op11_collocations,
+    op13_whitening,
 )
 
 
