@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, fingerprint, html_text, langid, mtree, near_dedup, packing, pii, sql, substring_dedup, suffix_dedup, whitening
+from . import bpe, collocations, fingerprint, html_text, langid, licenses, mtree, near_dedup, packing, pii, sql, substring_dedup, suffix_dedup, whitening
 from .common import read_table
 
 
@@ -62,6 +62,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES = (
     op9_substring_dedup,
     op10_html_extract,
     op11_collocations,
+    op12_license_scan,
     op13_whitening,
 )
 
@@ -88,4 +93,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the whole result; tests hold the other operators against brute force."""
-    return {"op11_collocations": sql.OP11_COLLOCATIONS}
+    known = licenses.templates(licenses.PHRASES, licenses.NOTICES)
+    return {"op11_collocations": sql.OP11_COLLOCATIONS, "op12_license_scan": sql.op12_license_scan(known, licenses.BETWEEN, licenses.SLIP, licenses.SHARE)}
