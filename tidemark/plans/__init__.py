@@ -1,8 +1,8 @@
 """Queries of the engine's operators over the driver's tables, with the SQL that gives the same rows."""
 
-from . import analysis_queries, cohort_queries, evidence_queries, file_queries, import_queries, more_queries, series_queries, space_queries
+from . import analysis_queries, cohort_queries, evidence_queries, file_queries, import_queries, integrity_queries, more_queries, series_queries, space_queries
 
-MODULES = (series_queries, evidence_queries, analysis_queries, space_queries, cohort_queries, import_queries, more_queries, file_queries)
+MODULES = (series_queries, evidence_queries, analysis_queries, space_queries, cohort_queries, import_queries, more_queries, file_queries, integrity_queries)
 
 
 def queries() -> dict:
