@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import reasons
+from ..sources.tables import written
+from . import selection
 
 #: Reasons in order of priority.
 REASONS = ("outside_domain", "missing_start", "outside_window", "negative_duration", "no_state", "review_required")
@@ -77,8 +79,17 @@ def temporal_quality(cohort: DataFrame) -> DataFrame:
     scopes = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("cohort_status") == "eligible", "eligible"))))
     rows = cohort.select(scopes.alias("scope"), "start", "end", days.alias("days"))
     n = lambda c: F.sum(c.cast("long"))
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by case when days >= 0 then days end)")
-    return rows.groupBy("scope").agg(F.count("*").alias("events"), n(F.col("end").isNull()).alias("missing_end"), n(F.col("days") < 0).alias("negative"), n(F.col("days") == 0).alias("same_day"), *[n(F.col("days") > k).alias(f"over_{k}") for k in (1, 3, 7, 30)], *[q(p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)])
+    counts = rows.groupBy("scope").agg(
+        F.count("*").alias("events"),
+        n(F.col("end").isNull()).alias("missing_end"),
+        n(F.col("days") < 0).alias("negative"),
+        n(F.col("days") == 0).alias("same_day"),
+        *[n(F.col("days") > k).alias(f"over_{k}") for k in (1, 3, 7, 30)],
+    )
+    names = [f"p{p}" for p in (50, 90, 95, 99)]
+    durations = written(rows.where("days >= 0").select("scope", "days"), "durations")
+    ranks = selection.discrete(durations, ("scope",), "days", {name: int(name[1:]) / 100 for name in names})
+    return counts.join(ranks, "scope", "left").select(*counts.columns, *[F.col(name).cast("int").alias(name) for name in names])
 
 
 def monthly_counts(cohort: DataFrame) -> DataFrame:

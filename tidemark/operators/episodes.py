@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.expr import reasons, size_bin
+from ..sources.tables import written
+from . import selection
 from .cohort import year_split
 from .components import components
 from .spatial import cells
@@ -188,14 +190,24 @@ def with_review(rolled: DataFrame, spans: DataFrame, limits: dict = REVIEW_LIMIT
 
 def policy_sensitivity(reviewed: DataFrame) -> DataFrame:
     """Statistics of each policy's episodes."""
-    q = lambda c, p: F.expr(f"percentile_disc({p}) within group (order by {c})")
     n = lambda c: F.sum(c.cast("long"))
-    return reviewed.groupBy("policy").agg(
-        F.sum("member_count").alias("members"), F.count("*").alias("episodes"), n(F.col("member_count") == 1).alias("singletons"), n(F.col("member_count") > 1).alias("multi_member"),
-        q("member_count", 0.5).alias("size_p50"), q("member_count", 0.9).alias("size_p90"), q("member_count", 0.95).alias("size_p95"), q("member_count", 0.99).alias("size_p99"), F.max("member_count").alias("largest"),
-        q("duration_days", 0.5).alias("duration_p50"), q("duration_days", 0.95).alias("duration_p95"), F.max("duration_days").alias("longest"),
-        n(F.col("state_count") > 1).alias("multistate"), n(F.col("crosses_year_split")).alias("split_boundary"), n(F.col("review_reasons") != "").alias("review_flagged"), F.sum("edge_count").alias("edges"),
-    )
+    reviewed = written(reviewed.select("policy", "member_count", "duration_days", "state_count", "crosses_year_split", "review_reasons", "edge_count"), "reviewed")
+    counts = reviewed.groupBy("policy").agg(
+        F.sum("member_count").alias("members"),
+        F.count("*").alias("episodes"),
+        n(F.col("member_count") == 1).alias("singletons"),
+        n(F.col("member_count") > 1).alias("multi_member"),
+        F.max("member_count").alias("largest"),
+        F.max("duration_days").alias("longest"),
+        n(F.col("state_count") > 1).alias("multistate"),
+        n(F.col("crosses_year_split")).alias("split_boundary"),
+        n(F.col("review_reasons") != "").alias("review_flagged"),
+        F.sum("edge_count").alias("edges"),
+    )
+    sizes = selection.discrete(reviewed, ("policy",), "member_count", {f"size_p{p}": p / 100 for p in (50, 90, 95, 99)})
+    durations = selection.discrete(reviewed, ("policy",), "duration_days", {f"duration_p{p}": p / 100 for p in (50, 95)})
+    typed = lambda df, like: df.select("policy", *[F.col(c).cast(reviewed.schema[like].dataType).alias(c) for c in df.columns if c != "policy"])
+    return counts.join(typed(sizes, "member_count"), "policy").join(typed(durations, "duration_days"), "policy")
 
 
 def size_distribution(rolled: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import Rules
 from ..functions.expr import mad_of, median_of, population_sd, reasons
+from ..sources.tables import written
+from . import selection
 from .describe import average_ranks
 from .series import KEYS, window_columns
 
@@ -160,9 +162,12 @@ def fit_ridge(dealt: DataFrame, target: str, features: list[str], categories: li
     square system of the columns is solved on the driver. A feature that does not vary in training has coefficient 0."""
     w = F.col("weight")
     copies = dealt.withColumn("out", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("fold <> out")
-    medians = copies.groupBy("out").agg(*[F.coalesce(F.median(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(f"d_{c}") for c in features])
-    # one row for each fold
-    filled = copies.join(F.broadcast(medians), "out").withColumns({f"f_{c}": F.when(F.col(c).isNull() | F.isnan(c), F.col(f"d_{c}")).otherwise(F.col(c)) for c in features})
+    # a row for each fold; values are counted by range, so that no group holds a fold's values
+    long = written(copies.select("out", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")).select("out", "f.*"), "features")
+    middle = selection.medians(long, ("out", "name"), "x")
+    medians = written(middle.groupBy("out").agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(0.0)).alias(f"d_{c}") for c in features]), "medians")
+    medians = copies.select("out").distinct().join(medians, "out", "left").select("out", *[F.coalesce(f"d_{c}", F.lit(0.0)).alias(f"d_{c}") for c in features])
+    filled = copies.join(medians, "out").withColumns({f"f_{c}": F.when(F.col(c).isNull() | F.isnan(c), F.col(f"d_{c}")).otherwise(F.col(c)) for c in features})
     mean = lambda c: F.sum(w * F.col(f"f_{c}")) / F.sum(w)
     means = filled.groupBy("out").agg(*[mean(c).alias(f"m_{c}") for c in features])
     filled = filled.join(F.broadcast(means), "out")
