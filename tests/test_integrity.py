@@ -100,3 +100,68 @@ def test_order_statistics(spark, buckets):
         assert {n: r[n] for n in shares} == {n: brute_discrete(groups[r["g"]], s) for n, s in shares.items()}
     assert selection.medians(df.where("x > 2"), (), "x", buckets).first()["median"] == statistics.median(x for xs in groups.values() for x in xs if x > 2)
     assert selection.medians(df.where("x is null"), ("g",), "x").count() == 0
+
+
+def test_one_write_serves_all_sinks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tidemark.sources import tables
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("note", T.StringType())])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 1000, 1, 3).mapInArrow(count, "id long")
+    path = str(tmp_path / "sinks")
+    got = {r["sink"]: (r["rows"], r["total"]) for r in tables.save_sinks(rows, path, F.when(F.col("id") % 4 == 0, "a").otherwise("b"), ("a", "b", "c"), schema, "id").collect()}
+    assert got == {"a": (250, 124500.0), "b": (750, 375000.0), "c": (0, None)} and seen.value == 1000  # inputs were read once
+    assert {n: tables.read_sink(spark, path, n, schema).count() for n in "abc"} == {"a": 250, "b": 750, "c": 0}
+    assert tables.read_sink(spark, path, "c", schema).columns == ["id", "note"]
+    with pytest.raises(PySparkException, match="no sink: 7"):
+        tables.save_sinks(spark.range(9), str(tmp_path / "bad"), F.col("id").cast("string"), ("0", "1", "2", "3", "4", "5", "6", "8"), schema)
+
+
+def test_files_in_the_order_of_their_names_are_the_sorted_rows(spark, tmp_path):
+    from tidemark.sources import tables
+
+    rows = spark.range(500).select("id", (F.col("id") * 37 % 11).alias("k"))
+    path = str(tmp_path / "ordered")
+    tables.save_ordered(rows, path, F.desc("k"), F.asc("id"), partitions=4, rows_per_file=60)
+    got = [r["id"] for r in tables.footprint_scan(spark, path).orderBy("source_row_index").collect()]
+    assert got == sorted(range(500), key=lambda i: (-(i * 37 % 11), i))
+
+
+def test_decisions_are_closed(spark):
+    from tidemark.operators import decisions
+
+    d = "episode_key long, action string, groups string, merge_with string, cross_split_override boolean, reviewer string, reason string"
+    members = spark.createDataFrame([(10 * k + i, k, "test" if k == 4 else "dev") for k in range(1, 8) for i in range(2)], "event_id long, episode_key long, split string")
+    made = spark.createDataFrame([(1, "merge", None, "2", True, "r", "x"), (2, "merge", None, "3;4", True, "r", "x"), (5, "split", "50|51", None, False, "r", "x"), (6, "retain", None, None, False, "r", "x")], d)
+    assert decisions.violations(made, members).count() == 0
+    got = {}
+    for r in decisions.applied(made, members).collect():
+        got.setdefault(r["new_id"], set()).add((r["event_id"], r["action"]))
+    assert sorted(sorted(e for e, _ in x) for x in got.values()) == [[10, 11, 20, 21, 30, 31, 40, 41], [50], [51], [60, 61], [70, 71]]
+    assert {frozenset(a for _, a in x) for x in got.values()} == {frozenset([a]) for a in ("merge", "split", "retain", "keep")}
+    bad = spark.createDataFrame([(1, "merge", None, "2", False, "r", "x"), (2, "merge", None, "4", False, "r", " "), (4, "retain", None, None, False, "r", "x"), (5, "merge", None, "5; ", False, "r", "x"), (7, "split", "70|70;71", None, False, None, "x")], d)
+    found = {(r["episode_key"], r["problem"]) for r in decisions.violations(bad, members).collect()}
+    assert found == {(2, "no_reviewer"), (7, "no_reviewer"), (5, "merge_of_one"), (4, "merged_and_decided"), (2, "crosses_split"), (7, "groups_not_a_partition"), *((k, "chain_crosses_split") for k in (1, 2, 4))}
+
+
+def test_required_states_fail_closed_and_break_ties_by_id(spark):
+    from tidemark.operators import greedy
+
+    cols = "id string, year int, state string, h string, season string, coastal boolean, member_class string, footprint string, compact string"
+    same = ("5", "winter", True, "singleton", "small", "spread")
+    sample = spark.createDataFrame([("a1", 2020, "A", *same), ("a2", 2020, "A", *same)], cols)
+    more = spark.createDataFrame([("z1", 2020, "Z", *same), ("z2", 2020, "Z", *same), ("y1", 2021, "Y", *same)], cols)
+    got = [(r["added_id"], r["removed_id"]) for r in greedy.with_required_states(sample, more, ["Z"], 2).orderBy("step").collect()]
+    assert got == [("z2", "a2"), ("z1", "a1")]
+    with pytest.raises(ValueError, match=r"Y \(no_swap\)"):
+        greedy.with_required_states(sample, more, ["Y"], 1)
+    rows = greedy.with_required_states(sample, more, ["X", "Z"], 1, strict=False).orderBy("step").collect()
+    assert [(r["required_state"], r["added_id"], r["problem"]) for r in rows] == [("X", None, "few_candidates"), ("Z", "z2", None)]

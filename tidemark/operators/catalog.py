@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import reasons, size_bin, stable_id
@@ -97,6 +97,11 @@ def validation(catalog: DataFrame, members: DataFrame, base: str = "conservative
     return out
 
 
+def numbers(c: str) -> Column:
+    """Numbers of a list in one text, parted by semicolons; what is no number is null, blanks are left out."""
+    return F.transform(F.filter(F.split(F.col(c), ";"), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("long"))
+
+
 def decision_violations(decisions: DataFrame, members: DataFrame) -> DataFrame:
     """What is wrong with reviewers' decisions (episode_key, action, groups, merge_with, cross_split_override): (episode_key, problem).
 
@@ -104,11 +109,11 @@ def decision_violations(decisions: DataFrame, members: DataFrame) -> DataFrame:
     """
     known = members.select("episode_key").distinct()
     parts = decisions.where("action = 'split'").select("episode_key", F.explode(F.split("groups", r"\|")).alias("g")).select("episode_key", F.explode(F.split("g", ";")).alias("event_id"))
-    listed = parts.groupBy("episode_key", F.col("event_id").cast("long").alias("event_id")).agg(F.count("*").alias("n"))
+    listed = parts.groupBy("episode_key", F.col("event_id").try_cast("long").alias("event_id")).agg(F.count("*").alias("n"))
     mine = members.select("episode_key", "event_id", F.lit(True).alias("is_member")).join(decisions.where("action = 'split'").select("episode_key"), "episode_key", "left_semi")
     compared = mine.join(listed, ["episode_key", "event_id"], "full")
     problem = lambda df, name: df.select("episode_key", F.lit(name).alias("problem")).distinct()
-    merged = decisions.where("action = 'merge'").select("episode_key", "cross_split_override", F.explode(F.split("merge_with", ";").cast("array<bigint>")).alias("other"))
+    merged = decisions.where("action = 'merge'").select("episode_key", "cross_split_override", F.explode(numbers("merge_with")).alias("other"))
     split = members.groupBy("episode_key").agg(F.min("split").alias("split"))
     crossing = merged.join(split, "episode_key").join(split.select(F.col("episode_key").alias("other"), F.col("split").alias("other_split")), "other").where("split <> other_split and not coalesce(cross_split_override, false)")
     return (

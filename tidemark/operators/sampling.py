@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import season, stable_id
+from .greedy import mini_set, nested_subsets, with_required_states  # noqa: F401  parts of the sampling interface
 
 
 def seeded(seed: str, c: str) -> Column:
@@ -58,95 +59,6 @@ def diverse_sample(rows: DataFrame, key: str, year: Column, per_year: int, seed:
     return few.groupBy("year").applyInPandas(choose, "id string, year int, stratum string, selection_rank int")
 
 
-#: What a swap may keep, and what it keeps at best.
-MATCHED = ("season", "coastal", "member_class", "footprint", "compact")
-BALANCED = ("coastal", "member_class", "footprint")
-
-
-def with_required_states(sample: DataFrame, candidates: DataFrame, required: list[str], least: int = 1, gladly: tuple[str, ...] = ()) -> DataFrame:
-    """The swaps that bring every required state into the sample at least so often: (step, required_state, added_id, removed_id, matched).
-
-    sample: the chosen; candidates: all; both with id, year, state, h (a seeded hash) and the columns of MATCHED. Swaps are made one after another, for states as listed, each within a
-    year and never at the cost of a required state. The best swap has, in this order: a compact newcomer if the state has none; the same coast, member class and footprint; years, seasons
-    and classes that the state lacks; most that matches; most rows of the state that loses one; a state given up gladly (first of all the last listed); the largest hashes. A swap's score depends on the newcomer by its classes
-    and hash alone, so of each state, year and class only as many as are asked for are looked at; these and the sample meet in one task.
-    """
-    columns = ["id", "year", "state", "h", *MATCHED]
-    place = F.row_number().over(Window.partitionBy("state", "year", *MATCHED).orderBy(F.desc("h")))
-    new = candidates.where(F.col("state").isin(required)).join(sample.select("id"), "id", "left_anti").withColumn("place", place).where(F.col("place") <= least * len(required))
-    rows = sample.select(*columns, F.lit(True).alias("chosen")).unionByName(new.select(*columns, F.lit(False).alias("chosen")))
-
-    def swaps(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["h", "id"])
-        chosen, free = (list(table[table["chosen"] == c].to_dict("records")) for c in (True, False))
-        out = []
-        for state in required:
-            while sum(r["state"] == state for r in chosen) < least:
-                have = [r for r in chosen if r["state"] == state]
-                often = pd.Series([r["state"] for r in chosen]).value_counts()
-                needs = not any(r["compact"] == "compact" for r in have)
-
-                def score(new, old):
-                    same = [c for c in MATCHED if new[c] == old[c]]
-                    fresh = sum((new["year"] != r["year"]) + (new["season"] != r["season"]) + (new["member_class"] != r["member_class"]) for r in have)
-                    return not needs or new["compact"] == "compact", set(BALANCED) <= set(same), fresh, len(same), int(often[old["state"]]), (gladly.index(old["state"]) + 1 if old["state"] in gladly else 0), new["h"], old["h"]
-
-                pairs = [(score(n, o), k, j) for k, n in enumerate(free) if n["state"] == state for j, o in enumerate(chosen) if o["year"] == n["year"] and o["state"] not in required]
-                if not pairs:
-                    break
-                _, k, j = max(pairs)
-                new, old = free.pop(k), chosen[j]
-                chosen[j] = new
-                out.append((len(out) + 1, state, new["id"], old["id"], ";".join(c for c in MATCHED if new[c] == old[c])))
-        return pd.DataFrame(out, columns=["step", "required_state", "added_id", "removed_id", "matched"])
-
-    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(swaps, "step int, required_state string, added_id string, removed_id string, matched string")
-
-
-def nested_subsets(chosen: DataFrame, sizes: list[int], first: list[str] = ()) -> DataFrame:
-    """(id, pick, in_n for each size): rows picked one by one, ids of first before all others, then from the year, region and state that have fewest so far, ties by rank and id. Picks up
-    to n are the subset of n, so that a smaller one is part of a larger.
-
-    chosen: id, year, region, state, selection_rank. A pick depends on the dimensions and the rank alone, so per combination only as many rows as the largest size are looked at.
-    """
-    most = max(sizes)
-    place = F.row_number().over(Window.partitionBy("year", "region", "state").orderBy("selection_rank", "id"))
-    few = chosen.select("id", "year", "region", "state", "selection_rank").withColumn("place", place).where((F.col("place") <= most) | F.col("id").isin(list(first)))
-
-    def pick(table: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(table.to_dict("records"), key=lambda r: (r["selection_rank"], r["id"]))
-        seen: dict[tuple, int] = {}
-        out = []
-        while left and len(out) < most:
-            early = [r for i in first for r in left if r["id"] == i]
-            best = early[0] if early else min(left, key=lambda r: (*(seen.get((c, r[c]), 0) for c in ("year", "region", "state")), r["selection_rank"], r["id"]))
-            left.remove(best)
-            for c in ("year", "region", "state"):
-                seen[c, best[c]] = seen.get((c, best[c]), 0) + 1
-            out.append((best["id"], len(out) + 1))
-        return pd.DataFrame(out, columns=["id", "pick"])
-
-    picked = few.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(pick, "id string, pick int")
-    return picked.withColumns({f"in_{n}": F.col("pick") <= n for n in sizes})
-
-
-def mini_set(chosen: DataFrame, home: str, n: int = 5) -> DataFrame:
-    """(id, pick): the first row of the home state, then one by one those that bring most of a new year, state and member class, ties to the lowest rank. chosen: a sample of id, year, state,
-    member_class, selection_rank; per combination of these only the first n by rank are looked at."""
-    place = F.row_number().over(Window.partitionBy("year", "state", "member_class").orderBy("selection_rank", "id"))
-    few = chosen.select("id", "year", "state", "member_class", "selection_rank").withColumn("place", place).where(F.col("place") <= n)
-
-    def pick(table: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(table.to_dict("records"), key=lambda r: (r["selection_rank"], r["id"]))
-        out = [r for r in left if r["state"] == home][:1]
-        while out and len(out) < n and (rest := [r for r in left if r not in out]):
-            fresh = lambda r: sum(all(r[c] != o[c] for o in out) for c in ("year", "state", "member_class"))
-            out.append(max(rest, key=fresh))
-        return pd.DataFrame([(r["id"], k + 1) for k, r in enumerate(out)], columns=["id", "pick"])
-
-    return few.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(pick, "id string, pick int")
-
-
 def subset_check(smaller: DataFrame, larger: DataFrame, key: str = "id") -> DataFrame:
     """One row: how many of the smaller set are not in the larger, how many the larger has more, and whether the smaller is a proper subset."""
     one = lambda a, b, name: a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").agg(F.count("*").alias(name))

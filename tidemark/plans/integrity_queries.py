@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, source_check
+from pyspark.sql import types as T
+
+from ..functions.expr import rounded
+from ..operators import decisions, integrity, source_check
 from ..sources import tables
 from .base import SQL, observations, plan, table
 
@@ -138,6 +141,56 @@ def source_recheck(spark, d):
     return found.groupBy("kind", "request_id", "repeat_id").agg(F.count("*").alias("n"), F.count_distinct("concept_id").alias("concepts"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+def _reviewed(spark, d):
+    """Four orders make an episode; of each nine episodes one is split by even and odd, chains of three are merged one to the next, one names two others."""
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.floor(F.col("o_orderkey") / 4).alias("episode_key"), F.when(F.col("o_orderstatus") == "P", "test").otherwise("development").alias("split"))
+    half = lambda r: F.array_join(F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == r, F.col("event_id")))), ";")
+    by = m.groupBy("episode_key").agg(half(0).alias("even"), half(1).alias("odd")).withColumn("r", F.col("episode_key") % 9)
+    k, r = F.col("episode_key"), F.col("r")
+    action = F.when(r == 0, "split").when(r.isin(1, 2, 5), "merge").when(r.isin(4, 8), "retain")
+    groups = F.when(r == 0, F.array_join(F.filter(F.array("even", "odd"), lambda x: x != ""), "|"))
+    merge_with = F.when(r.isin(1, 2), (k + 1).cast("string")).when(r == 5, F.concat_ws(";", k + 1, k + 2))
+    dec = by.select("episode_key", action.alias("action"), groups.alias("groups"), merge_with.alias("merge_with"), (k % 4 < 3).alias("cross_split_override"), F.when(k % 19 > 0, "rv").alias("reviewer"), F.lit("seen").alias("reason"))
+    return dec.where("action is not null"), m
+
+
+def decision_log(spark, d):
+    return decisions.decision_log(*_reviewed(spark, d))
+
+
+def decision_problems(spark, d):
+    """Some merges do not allow what they cross, some lack a reviewer, the last may name episodes that are not there; and some episodes of a chain are retained too."""
+    dec, m = _reviewed(spark, d)
+    more = m.where("episode_key % 9 = 3 and episode_key % 2 = 0").select("episode_key").distinct()
+    more = more.select("episode_key", F.lit("retain").alias("action"), F.lit(None).cast("string").alias("groups"), F.lit(None).cast("string").alias("merge_with"), F.lit(True).alias("cross_split_override"), F.lit("rv").alias("reviewer"), F.lit("kept").alias("reason"))
+    return decisions.violations(dec.unionByName(more), m)
+
+
+SINKS = ("accepted", "quarantined", "rejected", "unused")
+SINK_SCHEMA = T.StructType([T.StructField("key", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("price", T.DoubleType()), T.StructField("note", T.StringType())])
+
+
+def one_pass_sinks(spark, d):
+    """Every line item in one of three sinks, counted while it is written and again in what was written."""
+    path = tables.new_path(spark, "sinks")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), "l_quantity", "l_discount")
+    sink = F.when(F.col("l_quantity") > 45, "rejected").when(F.col("l_discount") > 0.08, "quarantined").otherwise("accepted")
+    counted = tables.save_sinks(rows, path, sink, SINKS, SINK_SCHEMA, "price")
+    back = None
+    for name in SINKS:
+        one = tables.read_sink(spark, path, name, SINK_SCHEMA).agg(F.lit(name).alias("sink"), F.count("*").alias("read"), F.sum("price").alias("read_total"), F.count("note").alias("notes"))
+        back = one if back is None else back.unionByName(one)
+    return rounded(counted.join(back, "sink"), 2)
+
+
+def ordered_sink(spark, d):
+    """Orders by price in several files, numbered again by the files' names and their rows' places."""
+    path = tables.new_path(spark, "ordered")
+    order = (F.desc("o_totalprice"), F.asc("o_orderkey"))
+    tables.save_ordered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), path, *order, partitions=8, rows_per_file=900)
+    return tables.footprint_scan(spark, path).select("o_orderkey", F.col("source_row_index").alias("place"))
+
+
 _SLOTS = ", ".join(f"('{r}', '{p}', '{n}')" for r, p, n in DESIGN.slots())
 _DESIGN_SQL = f"""
 o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT) AS e FROM orders),
@@ -209,11 +262,33 @@ v AS (
   UNION ALL SELECT CASE WHEN rn IS NULL THEN 'not_in_source' WHEN kn IS NULL THEN 'not_stored' WHEN ki IS DISTINCT FROM ri THEN 'value' ELSE 'partial_flag' END, request_id, repeat_id, concept_id, date
     FROM met WHERE rn IS NULL OR kn IS NULL OR ki IS DISTINCT FROM ri OR kp IS DISTINCT FROM rp)
 SELECT kind, request_id, repeat_id, count(*) AS n, count(DISTINCT concept_id) AS concepts, min(date) AS first, max(date) AS last FROM v GROUP BY ALL"""
+_REVIEW_SQL = """
+m AS (SELECT o_orderkey AS event_id, o_orderkey // 4 AS k, CASE WHEN o_orderstatus = 'P' THEN 'test' ELSE 'development' END AS split FROM orders),
+e AS (SELECT DISTINCT k, k % 9 AS r, k % 4 < 3 AS override FROM m),
+mg AS (SELECT k AS a, unnest(CASE WHEN r = 5 THEN [k + 1, k + 2] ELSE [k + 1] END) AS b, override FROM e WHERE r IN (1, 2, 5)),
+s AS (SELECT a, b FROM mg UNION SELECT b, a FROM mg),
+reach AS (SELECT DISTINCT a AS k, a AS o FROM s UNION SELECT reach.k, s.b FROM reach JOIN s ON s.a = reach.o),
+closed AS (SELECT k, min(o) AS target FROM reach GROUP BY 1)
+"""
 ORACLE = {
+    "decision_log": f"""WITH RECURSIVE {_REVIEW_SQL},
+x AS (SELECT event_id, k, coalesce(target, k) || '/' || CASE WHEN k % 9 = 0 AND event_id % 2 = 1 AND EXISTS (SELECT 1 FROM m n WHERE n.k = m.k AND n.event_id % 2 = 0) THEN 1 ELSE 0 END AS new_key,
+  CASE WHEN target IS NOT NULL THEN 'merge' WHEN k % 9 = 0 THEN 'split' WHEN k % 9 IN (4, 8) THEN 'retain' ELSE 'keep' END AS decision, ('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 15))::BIGINT AS p FROM m LEFT JOIN closed USING (k))
+SELECT 'ep_' || substr(sha256(count(*) || ':' || sum(p) || ':' || bit_xor(p)), 1, 16) AS new_id, decision, count(DISTINCT k) AS episodes, count(*) AS events, min(k) AS first_episode, max(k) AS last_episode FROM x GROUP BY new_key, decision""",
+    "decision_problems": f"""WITH RECURSIVE {_REVIEW_SQL}, sp AS (SELECT k, min(split) AS split FROM m GROUP BY 1),
+far AS (SELECT target FROM closed JOIN m USING (k) GROUP BY 1 HAVING count(DISTINCT split) > 1), no AS (SELECT DISTINCT target FROM closed JOIN mg ON mg.a = closed.k WHERE NOT override)
+SELECT k AS episode_key, 'no_reviewer' AS problem FROM e WHERE r IN (0, 1, 2, 4, 5, 8) AND k % 19 = 0
+UNION SELECT a, 'unknown_merge_source' FROM mg ANTI JOIN e ON b = k
+UNION SELECT a, 'crosses_split' FROM mg JOIN sp x ON a = x.k JOIN sp y ON b = y.k WHERE x.split <> y.split AND NOT override
+UNION SELECT k, 'merged_and_decided' FROM closed WHERE k % 9 = 3 AND k % 2 = 0 AND k IN (SELECT k FROM e)
+UNION SELECT k, 'chain_crosses_split' FROM closed JOIN far USING (target) JOIN no USING (target)""",
+    "one_pass_sinks": """SELECT sink, count(l_orderkey) AS rows, round(sum(l_extendedprice), 2) AS total, count(l_orderkey) AS read, round(sum(l_extendedprice), 2) AS read_total, CAST(0 AS BIGINT) AS notes
+FROM (SELECT unnest(['accepted', 'quarantined', 'rejected', 'unused']) AS sink) LEFT JOIN (SELECT *, CASE WHEN l_quantity > 45 THEN 'rejected' WHEN l_discount > 0.08 THEN 'quarantined' ELSE 'accepted' END AS sink FROM lineitem) USING (sink) GROUP BY 1""",
+    "ordered_sink": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders",
     "design_integrity": f"WITH {_DESIGN_SQL} SELECT kind, detail, count(*) AS n, count(DISTINCT episode_id) AS episodes, count(DISTINCT request_id) AS requests FROM v GROUP BY 1, 2",
     "sound_plan": f"""WITH {_DESIGN_SQL}, bad AS (SELECT episode_id FROM v WHERE episode_id IS NOT NULL UNION SELECT episode_id FROM p WHERE pair_id IN (SELECT detail FROM v WHERE kind = 'shared_pair'))
 SELECT role, panel, planned_repeat_id, count(*) AS rows, count(DISTINCT episode_id) AS episodes FROM p WHERE episode_id NOT IN (SELECT episode_id FROM bad) GROUP BY 1, 2, 3""",
     "lineage_integrity": _LINEAGE_SQL,
     "source_recheck": _SOURCE_SQL,
 }
-QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck)}
+QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck, decision_log, decision_problems, one_pass_sinks, ordered_sink)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,3 +221,38 @@ def inventory(spark: SparkSession, path: str, sidecars: DataFrame) -> DataFrame:
 def store_counts(inventory: DataFrame) -> DataFrame:
     """Files, bytes, different contents and files with a sidecar of each store."""
     return inventory.groupBy(F.coalesce("backend", F.lit("unknown")).alias("store")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("sha256").alias("contents"), F.sum(F.col("has_sidecar").cast("long")).alias("with_sidecar"))
+
+
+def save_sinks(df: DataFrame, path: str, sink: Column, names: tuple[str, ...], schema: T.StructType, total: str | None = None) -> DataFrame:
+    """Writes every row of df into the one of several sinks that sink names, by one partitioned write, and returns what that write has counted: (sink, rows, total).
+
+    Counts are observed on the rows as they are written, so nothing is cached, read back or computed twice. A row whose sink
+    is none of names, or null, stops the write; sinks without rows are counted as 0.
+    """
+    known = F.coalesce(sink.isin(*names), F.lit(False))
+    checked = F.when(known, sink).otherwise(F.raise_error(F.concat(F.lit("no sink: "), F.coalesce(sink.cast("string"), F.lit("null")))))
+    rows = df.withColumn("_sink", checked)
+    rows = typed(rows, T.StructType([*schema.fields, T.StructField("_sink", T.StringType())])).withColumnRenamed("_sink", "sink")
+    value = F.col(total).cast("double") if total else F.lit(None).cast("double")
+    mine = lambda n: F.col("sink") == n
+    seen = Observation()
+    metrics = [m for i, n in enumerate(names) for m in (F.count_if(mine(n)).alias(f"rows_{i}"), F.sum(F.when(mine(n), value)).alias(f"total_{i}"))]
+    rows.observe(seen, *metrics).write.mode("errorifexists").option("compression", "zstd").partitionBy("sink").parquet(path)
+    got = seen.get
+    return df.sparkSession.createDataFrame([(n, got[f"rows_{i}"], got[f"total_{i}"]) for i, n in enumerate(names)], "sink string, rows long, total double")
+
+
+def read_sink(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """One of the sinks that save_sinks wrote, with its fixed schema also if no row went there."""
+    parts = T.StructType([*schema.fields, T.StructField("sink", T.StringType())])
+    return spark.read.schema(parts).parquet(path).where(F.col("sink") == name).drop("sink")
+
+
+def save_ordered(df: DataFrame, path: str, *order: Column, partitions: int | None = None, rows_per_file: int = 0) -> None:
+    """Writes df in a fixed order over many files: the files one after the other by name, and the rows of each as they stand, are df in that order.
+
+    Ranges of the order go to one task each, so that no task sorts everything; rows equal in order stay in one file's neighbourhood but in no
+    fixed order among themselves, so end order with a key. footprint_scan numbers the rows again by file name and place.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
