@@ -12,6 +12,7 @@ feature: they are followed at a smaller share, and in them blocks may be mostly
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
@@ -28,6 +29,8 @@ from .common import written
 
 #: Counts and hosts that a task holds before it passes them on; wrappers of a host that one step merges; longest group that is looked for.
 HELD, FAN, PERIOD = 200_000, 32, 3
+#: Levels of block elements that a wrapper has; all that stands deeper counts as standing in the last of them.
+DEEPEST = 150
 #: Pages from which on a host has a wrapper; share of a host's pages that must have a place before what stands there can be fixed.
 LEAST_PAGES, LEAST_SHARE = 3, 0.05
 #: Share of an element's slot text that a child must hold to be gone into, and the same for a child that says that it is the article.
@@ -97,14 +100,72 @@ class Element:
     items: list
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element: its name, whether it is beside the article, whether it marks one, the element that holds its content, and that one's path and depth."""
+
+    name: str
+    off: bool
+    marks: bool
+    within: Element
+    path: str
+    depth: int
+
+
+class Stack:
+    """The open elements of a page, with how many there are of each name and kind, so that no step looks through all of them."""
+
+    def __init__(self, root: Element):
+        self.items: list[Open] = []
+        self.names: Counter = Counter()
+        self.off = self.marks = 0
+        self.base = Open("", False, False, root, "", 0)
+
+    @property
+    def top(self) -> Open:
+        return self.items[-1] if self.items else self.base
+
+    def push(self, item: Open) -> None:
+        self.items.append(item)
+        self.names[item.name] += 1
+        self.off += item.off
+        self.marks += item.marks
+
+    def pop(self) -> Open:
+        item = self.items.pop()
+        self.names[item.name] -= 1
+        self.off -= item.off
+        self.marks -= item.marks
+        return item
+
+    def close(self, name: str) -> None:
+        """Ends the innermost element of this name and all in it, if there is one."""
+        if self.names[name]:
+            while self.pop().name != name:
+                pass
+
+    def make_way(self, name: str) -> None:
+        """Ends the element that a new one of this name ends, within the nearest block."""
+        ends = CLOSES.get(name, {"p"} if name not in INLINE else ())
+        if not any(self.names[n] for n in ends):
+            return
+        for k in range(len(self.items) - 1, -1, -1):
+            if self.items[k].name in ends:
+                while len(self.items) > k:
+                    self.pop()
+                return
+            if self.items[k].name not in INLINE:
+                return
+
+
 def parse(page: str) -> tuple[Element, list[Text]]:
     """The tree of block elements, whose items are elements and texts, and the texts in page order.
 
     White space of a block is one space; character references are decoded. Unclosed and wrongly closed elements are taken as browsers do, roughly.
+    Elements below DEEPEST levels add no level and no part to paths: what they hold stands in the last one that does.
     """
     root = Element("", [])
-    # name, whether it is beside the article, whether it marks one, and the block element it is or stands in, with its path
-    stack: list[tuple[str, bool, bool, Element, str]] = []
+    stack = Stack(root)
     texts: list[Text] = []
     parts: list[str] = []
     linked = 0
@@ -117,16 +178,15 @@ def parse(page: str) -> tuple[Element, list[Text]]:
             parts.clear()
             share, linked = min(1.0, linked / max(1, len(text))), 0
             if text:
-                within, path = stack[-1][3:] if stack else (root, "")
-                texts.append(Text(path, text, any(s[1] for s in stack), any(s[2] for s in stack), share))
-                within.items.append(texts[-1])
+                texts.append(Text(stack.top.path, text, stack.off > 0, stack.marks > 0, share))
+                stack.top.within.items.append(texts[-1])
 
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
             parts.append(page[at:end])
-            if any(s[0] == "a" for s in stack):
+            if stack.names["a"]:
                 linked += end - at
         if not m:
             break
@@ -137,9 +197,7 @@ def parse(page: str) -> tuple[Element, list[Text]]:
         if name not in INLINE:
             flush()
         if m[1]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            stack.close(name)
             continue
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -152,23 +210,17 @@ def parse(page: str) -> tuple[Element, list[Text]]:
         if name in VOID or m[3].endswith("/"):
             continue
         if name in CLOSES or name not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(name, {"p"} if name not in INLINE else ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        inside = any(s[2] for s in stack)
-        label, off = element(name, m[3], inside)
+            stack.make_way(name)
+        label, off = element(name, m[3], stack.marks > 0)
         # a header is the page's own unless it stands within the article; a new article within one is a comment or a teaser
-        within_article = any(s[0] == "article" for s in stack)
+        within_article = stack.names["article"] > 0
         off = off or name == "header" and not within_article or name == "article" and within_article
-        within, path = stack[-1][3:] if stack else (root, "")
-        if name not in INLINE:
-            new = Element(label, [])
-            within.items.append(new)
-            within, path = new, f"{path}/{label}"
-        stack.append((name, off, name in ("article", "main") or "article" in label.split(".")[1:], within, path))
+        top = stack.top
+        within, path, depth = top.within, top.path, top.depth
+        if name not in INLINE and depth < DEEPEST:
+            within, path, depth = Element(label, []), f"{path}/{label}", depth + 1
+            top.within.items.append(within)
+        stack.push(Open(name, off, name in ("article", "main") or "article" in label.split(".")[1:], within, path, depth))
     flush()
     return root, texts
 
@@ -224,11 +276,26 @@ def optional(part: Part) -> Part:
     return part[0], True, part[2], part[3]
 
 
+def by_label(parts: tuple[Part, ...]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = defaultdict(list)
+    for k, part in enumerate(parts):
+        out[part[0]].append(k)
+    return out
+
+
+def after(places: dict[str, list[int]], label: str, k: int) -> int | None:
+    """The first place of a label beyond k."""
+    found = places.get(label, ())
+    at = bisect.bisect_right(found, k)
+    return found[at] if at < len(found) else None
+
+
 def aligned(a: tuple[Part, ...], b: tuple[Part, ...]) -> tuple[Part, ...]:
     """The sequence of parts that matches what either sequence matches."""
     if a == b:
         return a
     out: list[Part] = []
+    at_a, at_b = by_label(a), by_label(b)
     i = j = 0
     while i < len(a) or j < len(b):
         x, y = a[i] if i < len(a) else None, b[j] if j < len(b) else None
@@ -249,8 +316,8 @@ def aligned(a: tuple[Part, ...], b: tuple[Part, ...]) -> tuple[Part, ...]:
             out[-1] = again(out[-1], x)
             i += 1
         else:  # an optional part: up to the nearest common token
-            to_b = next((k for k in range(j + 1, len(b)) if b[k][0] == x[0]), None) if x else None
-            to_a = next((k for k in range(i + 1, len(a)) if a[k][0] == y[0]), None) if y else None
+            to_b = after(at_b, x[0], j) if x else None
+            to_a = after(at_a, y[0], i) if y else None
             if to_b is not None and (to_a is None or to_b - j <= to_a - i):
                 out += map(optional, b[j:to_b])
                 j = to_b

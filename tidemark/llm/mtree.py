@@ -172,7 +172,8 @@ def nearest_pivot(rows: DataFrame, pivots: dict, norm: float) -> DataFrame:
 
 
 def searched(shards: DataFrame, asked: DataFrame, on: list[str], k: int, norm: float) -> DataFrame:
-    """(query_id, vec_id, score, computed): the k best of each query in each shard it meets. shards: width, pivot, shard, ids, vectors; asked: width, pivot, query_ids, query_vectors, least."""
+    """(query_id, tag, vec_id, score, computed): the k best of each query in each shard it meets. shards: width, pivot, shard, ids, vectors; asked: width, pivot, query_ids, tags,
+    query_vectors, least."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for batch in batches:
@@ -181,44 +182,65 @@ def searched(shards: DataFrame, asked: DataFrame, on: list[str], k: int, norm: f
                     last = (r["width"], r["pivot"], r["shard"])
                     ids = np.frombuffer(r["ids"], "<i8")
                     tree = Tree(ids, np.frombuffer(r["vectors"], "<i8").reshape(len(ids), -1), norm)
-                ids, least = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["least"], "<i8")
+                ids, tags, least = (np.frombuffer(r[c], "<i8") for c in ("query_ids", "tags", "least"))
                 out = []
-                for i, q, low in zip(ids.tolist(), np.frombuffer(r["query_vectors"], "<i8").reshape(len(ids), -1), least.tolist()):
+                for i, tag, q, low in zip(ids.tolist(), tags.tolist(), np.frombuffer(r["query_vectors"], "<i8").reshape(len(ids), -1), least.tolist()):
                     before = tree.computed
                     found = tree.search(q, k, i, None if low == NONE else low)
-                    out += [(i, v, s, 0) for s, v in found] + [(i, None, None, tree.computed - before)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], ["query_id", "vec_id", "score", "computed"])
+                    out += [(i, tag, v, s, 0) for s, v in found] + [(i, tag, None, None, tree.computed - before)]
+                names = ["query_id", "tag", "vec_id", "score", "computed"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * len(names))], names)
 
     met = shards.join(asked, on).repartition("width", "pivot", "shard", "block").sortWithinPartitions("width", "pivot", "shard")
-    return met.select("width", "pivot", "shard", "ids", "vectors", "query_ids", "query_vectors", "least").mapInArrow(run, "query_id long, vec_id long, score long, computed long")
+    columns = ("width", "pivot", "shard", "ids", "vectors", "query_ids", "tags", "query_vectors", "least")
+    return met.select(*columns).mapInArrow(run, "query_id long, tag long, vec_id long, score long, computed long")
 
 
 #: Stands for no score yet.
 NONE = -(2**63)
 
 
+def smallest_hashes(rows: DataFrame, most: dict[int, int], n: dict[int, int]) -> DataFrame:
+    """(width, place, v): of each width the most[width] rows with the smallest hashes of their ids, numbered.
+
+    Only rows under a bound of the hash are sorted, about four times as many as are asked for whatever the number of rows; the bound is raised as long as it leaves too few.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("id"))
+    share = {w: min(1.0, 4 * most[w] / n[w]) for w in most}
+    of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for w, v in values.items() for x in (w, v)]), F.col("width"))
+    while share:
+        under = rows.where(F.col("hash").cast("double") / 2.0**64 + 0.5 <= of({w: float(s) for w, s in share.items()}))
+        found = {r["width"]: r["n"] for r in under.groupBy("width").agg(F.count("*").alias("n")).collect()}  # one row for each width
+        if all(found.get(w, 0) >= min(most[w], n[w]) for w in most):
+            place = F.row_number().over(Window.partitionBy("width").orderBy("hash", "id", "v"))
+            return under.withColumn("place", place).where(F.col("place") <= of(most)).select("width", "place", "v")
+        share = {w: min(1.0, 4 * s) for w, s in share.items()}
+    return rows.select("width", F.lit(0).alias("place"), "v").limit(0)
+
+
 def search_all(table: DataFrame, queries: F.Column, k: int, id_column: str, vector_column: str, scale: int, shard: int, block: int, pivots: int) -> DataFrame:
-    """A table of all that the searches of top_k find: (query_id, vec_id, score, computed), rows without vec_id saying how many distances a search computed."""
+    """A table of all that the searches of top_k find: (query_id, tag, vec_id, score, computed), rows without vec_id saying how many distances a search computed. tag tells vectors of
+    one query id apart; equal ones are asked once."""
     width = lambda df: df.withColumn("width", F.size("v"))
     rows, wanted = (width(integers(t, id_column, vector_column, scale)) for t in (table, table.where(queries)))
+    wanted = wanted.dropDuplicates(["id", "v"])
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     about = rows.groupBy("width").agg(F.count("*").alias("n"), F.max(square).alias("norm")).collect()  # one row for each length of vectors
     norm = max((r["norm"] for r in about), default=0.0)
     # the pivots are the rows with the smallest hashes: as many as there are shards, and never more than pivots
     few = {r["width"]: min(pivots, max(1, -(-r["n"] // shard))) for r in about}
-    place = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("id"), "id", "v"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= max(few.values(), default=0)).select("width", "place", "v").collect()
+    chosen = smallest_hashes(rows, few, {r["width"]: r["n"] for r in about}).collect()
     points = {w: on_sphere(np.array([r["v"] for r in chosen if r["width"] == w and r["place"] <= n], np.int64).reshape(-1, w), norm) for w, n in few.items()}
     dealt = written(nearest_pivot(rows, points, norm), "dealt")
     sizes = written(dealt.groupBy("width", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")), "pivots")
     placed = dealt.join(F.broadcast(sizes.select("width", "pivot", F.ceil(F.col("n") / shard).alias("parts"))), ["width", "pivot"]).withColumn("shard", F.pmod(F.xxhash64("id", "v"), "parts"))
     shards = written(packed(placed, ["width", "pivot", "shard"], {"id": "ids", "v": "vectors"}), "shards")
-    home = nearest_pivot(wanted, points, norm).withColumn("least", F.lit(NONE)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-wanted.count() // block)))))
-    fields = {"id": "query_ids", "v": "query_vectors", "least": "least"}
+    home = nearest_pivot(wanted, points, norm).withColumn("tag", F.xxhash64("v")).withColumn("least", F.lit(NONE)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-wanted.count() // block)))))
+    fields = {"id": "query_ids", "tag": "tags", "v": "query_vectors", "least": "least"}
     first = written(searched(shards.where("shard = 0"), packed(home, ["width", "pivot", "block"], fields), ["width", "pivot"], k, norm), "first")
     # a query that has k scores already looks only for those that are as good
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    bounds = first.where("vec_id is not null").withColumn("rank", best).where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("least"))
+    best = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id"))
+    bounds = first.where("vec_id is not null").withColumn("rank", best).where(F.col("rank") == k).groupBy("query_id", "tag").agg(F.max("score").alias("least"))
     radii = {w: np.full(len(p), -1.0) for w, p in points.items()}
     for r in sizes.collect():  # one row for each pivot
         radii[r["width"]][r["pivot"]] = r["radius"]
@@ -234,8 +256,9 @@ def search_all(table: DataFrame, queries: F.Column, k: int, id_column: str, vect
                 lists.append(np.flatnonzero(may).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "pivots"])
 
-    rest = home.select("id", "v", "width", F.col("pivot").alias("home"), "block").join(bounds.withColumnRenamed("query_id", "id"), "id", "left").withColumn("least", F.coalesce("least", F.lit(NONE)))
-    rest = rest.mapInArrow(near, "id long, v array<long>, width int, home long, block long, least long, pivots array<long>").withColumn("pivot", F.explode("pivots"))
+    rest = home.select("id", "tag", "v", "width", F.col("pivot").alias("home"), "block").join(bounds.withColumnRenamed("query_id", "id"), ["id", "tag"], "left")
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(NONE)))
+    rest = rest.mapInArrow(near, "id long, tag long, v array<long>, width int, home long, block long, least long, pivots array<long>").withColumn("pivot", F.explode("pivots"))
     asked = packed(rest.withColumn("at_home", F.col("pivot") == F.col("home")), ["width", "pivot", "block", "at_home"], fields)
     others = searched(shards, asked.where("not at_home"), ["width", "pivot"], k, norm)
     return first.unionByName(others).unionByName(searched(shards.where("shard > 0"), asked.where("at_home"), ["width", "pivot"], k, norm))
@@ -244,9 +267,10 @@ def search_all(table: DataFrame, queries: F.Column, k: int, id_column: str, vect
 def top_k(table: DataFrame, queries: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024, shard: int = SHARD, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the highest integer inner product for each row that queries selects, its own id left out.
 
-    Ties go to the smaller id; ids repeat in the result if rows repeat. Only vectors of one length are compared. An empty table, or one without
+    Ties go to the smaller id; a row that is there several times is a candidate as often, and so its id repeats in the result. A query that is there several times is answered
+    once; vectors of one query id that differ are answered each, with ranks of their own. Only vectors of one length are compared. An empty table, or one without
     queries, gives no rows. Rows without an id take no part.
     """
     found = search_all(table, queries, k, id_column, vector_column, scale, shard, block, pivots).where("vec_id is not null")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
