@@ -165,3 +165,28 @@ def test_required_states_fail_closed_and_break_ties_by_id(spark):
         greedy.with_required_states(sample, more, ["Y"], 1)
     rows = greedy.with_required_states(sample, more, ["X", "Z"], 1, strict=False).orderBy("step").collect()
     assert [(r["required_state"], r["added_id"], r["problem"]) for r in rows] == [("X", None, "few_candidates"), ("Z", "z2", None)]
+
+
+def test_batches_read_the_parts_they_touch_and_put_conflicts_aside(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.streaming import imports
+
+    store = str(tmp_path / "store")
+    day = dt.date(2024, 1, 1)
+    frame = lambda rows: spark.createDataFrame(rows, imports.SCHEMA)
+    many = [(f"q{k}", "r", "c", day, float(k), False) for k in range(60)]
+    imports.import_parted_batch(frame(many), store, 0, 16)
+    some = [("q1", "r", "c", day, 1.0, False), ("q1", "r", "c", day + dt.timedelta(1), 5.0, False), ("q1", "r", "c", day + dt.timedelta(1), 4.0, True), ("q1", "r", "d", day, None, None), ("q1", "r", "d", day, None, None)]
+    for _ in range(2):  # a batch that is tried again changes nothing
+        imports.import_parted_batch(frame(some), store, 1, 16)
+    imports.import_parted_batch(frame([("q1", "r", "c", day, None, False), ("q1", "r", "d", day, None, None)]), store, 2, 16)
+    imports.import_parted_batch(frame([]), store, 3, 16)
+    log = {r["import_batch"]: tuple(r[c] for c in ("rows", "added", "repeated", "conflicting", "parts")) for r in spark.read.parquet(f"{store}/log").collect()}
+    assert log == {0: (60, 60, 0, 0, 16), 1: (4, 2, 1, 1, 1), 2: (2, 0, 1, 1, 1), 3: (0, 0, 0, 0, 0)}
+    read = {r["import_batch"]: r["files_read"] for r in spark.read.parquet(f"{store}/log").collect()}
+    assert read[0] == 0 and 0 < read[1] <= 4 and read[3] == 0  # of the files of 16 parts those of one
+    aside = {(r["import_batch"], r["interest"], r["old_interest"]) for r in spark.read.parquet(f"{store}/conflicts").collect()}
+    assert aside == {(1, 5.0, 4.0), (2, None, 1.0)}
+    kept = {(r["request_id"], r["concept_id"], r["date"], r["interest"]) for r in spark.read.parquet(f"{store}/rows").collect()}
+    assert kept == {(q, c, d, v) for q, _, c, d, v, _ in many} | {("q1", "c", day + dt.timedelta(1), 4.0), ("q1", "d", day, None)}

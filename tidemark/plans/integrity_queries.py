@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.expr import rounded
 from ..operators import decisions, integrity, source_check
 from ..sources import tables
+from ..streaming.imports import import_parted_stream
 from .base import SQL, observations, plan, table
 
 DESIGN = integrity.Design(("treated", "control"), {"p1": ("a", "b"), "p2": ("c", "d")}, ("repeat_1", "repeat_2"), ("csv",), "v1", most_episodes=1000)
@@ -191,6 +192,20 @@ def ordered_sink(spark, d):
     return tables.footprint_scan(spark, path).select("o_orderkey", F.col("source_row_index").alias("place"))
 
 
+def parted_import(spark, d):
+    """Three lots of requests land one after another; the last has some of the first again, its clicks with other values. What the log of each batch says, and the conflicts put aside."""
+    land, store, state = (tables.new_path(spark, n) for n in ("landing", "parted", "progress"))
+    one = observations(spark, d).groupBy("request_id", "repeat_id", "concept_id", "date").agg(F.min("interest").alias("interest"), F.bool_or("is_partial").alias("is_partial"))
+    n = F.substring("request_id", 2, 20).cast("int")
+    changed = F.when((n % 3 == 0) & (F.col("concept_id") == "click"), F.col("interest") + 1).otherwise(F.col("interest"))
+    for lot, rows in enumerate((one.where(n % 3 == 0), one.where(n % 3 == 1), one.where((n % 6 == 0) | (n % 6 == 2)).withColumn("interest", changed))):
+        rows.write.parquet(f"{land}/lot={lot}")
+        import_parted_stream(spark, f"{land}/*", store, state).awaitTermination()
+    log = spark.read.parquet(f"{store}/log").select("import_batch", "rows", "added", "repeated", "conflicting")
+    aside = spark.read.parquet(f"{store}/conflicts").groupBy("import_batch").agg(F.sum(F.col("interest") - F.col("old_interest")).alias("difference"))
+    return rounded(log.join(aside, "import_batch", "left").select(F.col("import_batch").cast("int").alias("import_batch"), *log.columns[1:], "difference"))
+
+
 _SLOTS = ", ".join(f"('{r}', '{p}', '{n}')" for r, p, n in DESIGN.slots())
 _DESIGN_SQL = f"""
 o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT) AS e FROM orders),
@@ -285,10 +300,13 @@ UNION SELECT k, 'chain_crosses_split' FROM closed JOIN far USING (target) JOIN n
     "one_pass_sinks": """SELECT sink, count(l_orderkey) AS rows, round(sum(l_extendedprice), 2) AS total, count(l_orderkey) AS read, round(sum(l_extendedprice), 2) AS read_total, CAST(0 AS BIGINT) AS notes
 FROM (SELECT unnest(['accepted', 'quarantined', 'rejected', 'unused']) AS sink) LEFT JOIN (SELECT *, CASE WHEN l_quantity > 45 THEN 'rejected' WHEN l_discount > 0.08 THEN 'quarantined' ELSE 'accepted' END AS sink FROM lineitem) USING (sink) GROUP BY 1""",
     "ordered_sink": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders",
+    "parted_import": f"""WITH {SQL}, o AS (SELECT request_id, repeat_id, concept_id, date, min(interest) AS interest, CAST(request_id[2:] AS INT) AS n FROM obs GROUP BY 1, 2, 3, 4)
+SELECT CASE WHEN n % 3 < 2 AND b = 0 THEN n % 3 ELSE 2 END AS import_batch, count(*) AS rows, count(*) FILTER (b = 0) AS added, count(*) FILTER (b = 1 AND NOT c) AS repeated, count(*) FILTER (b = 1 AND c) AS conflicting, CAST(nullif(count(*) FILTER (b = 1 AND c), 0) AS DOUBLE) AS difference
+FROM (SELECT *, concept_id = 'click' AND interest IS NOT NULL AS c FROM o, (SELECT unnest([0, 1]) AS b)) WHERE b = 0 AND (n % 3 < 2 OR n % 6 = 2) OR b = 1 AND n % 6 = 0 GROUP BY 1""",
     "design_integrity": f"WITH {_DESIGN_SQL} SELECT kind, detail, count(*) AS n, count(DISTINCT episode_id) AS episodes, count(DISTINCT request_id) AS requests FROM v GROUP BY 1, 2",
     "sound_plan": f"""WITH {_DESIGN_SQL}, bad AS (SELECT episode_id FROM v WHERE episode_id IS NOT NULL UNION SELECT episode_id FROM p WHERE pair_id IN (SELECT detail FROM v WHERE kind = 'shared_pair'))
 SELECT role, panel, planned_repeat_id, count(*) AS rows, count(DISTINCT episode_id) AS episodes FROM p WHERE episode_id NOT IN (SELECT episode_id FROM bad) GROUP BY 1, 2, 3""",
     "lineage_integrity": _LINEAGE_SQL,
     "source_recheck": _SOURCE_SQL,
 }
-QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck, decision_log, decision_problems, one_pass_sinks, ordered_sink)}
+QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck, decision_log, decision_problems, one_pass_sinks, ordered_sink, parted_import)}
