@@ -190,3 +190,49 @@ def test_batches_read_the_parts_they_touch_and_put_conflicts_aside(spark, tmp_pa
     assert aside == {(1, 5.0, 4.0), (2, None, 1.0)}
     kept = {(r["request_id"], r["concept_id"], r["date"], r["interest"]) for r in spark.read.parquet(f"{store}/rows").collect()}
     assert kept == {(q, c, d, v) for q, _, c, d, v, _ in many} | {("q1", "c", day + dt.timedelta(1), 4.0), ("q1", "d", day, None)}
+
+
+def test_splits_filters_and_schemas_fail_closed(spark):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from tidemark.operators import cohort, sampling
+    from tidemark.sources import tables
+
+    windows = [("a", "2024-01-01", "2024-01-31")]
+    rows = spark.createDataFrame([(dt.date(2024, 1, k),) for k in (1, 31)], "start date")
+    assert {r["split"] for r in cohort.require_split(rows, "start", windows).collect()} == {"a"}
+    for bad in (dt.date(2024, 2, 1), None):
+        with pytest.raises(PySparkException, match="dates outside all splits: 1 violations"):
+            cohort.require_split(rows.unionByName(spark.createDataFrame([(bad,)], "start date")), "start", windows).count()
+    plan = spark.createDataFrame([("q2", "r1", "p"), ("q1", "r2", "p"), ("q1", "r1", "o")], "request_id string, planned_repeat_id string, panel string")
+    assert [r["request_id"] for r in sampling.filtered(plan, panel="p").collect()] == ["q1", "q2"]
+    assert [tuple(r) for r in sampling.filtered(plan, 1, panel=["p", "o"]).collect()] == [("q1", "r1", "o")]
+    with pytest.raises(ValueError, match="no columns"):
+        sampling.filtered(plan, place="p")
+    with pytest.raises(PySparkException, match="no plan row"):
+        sampling.filtered(plan, panel="x").collect()
+    schema = T.StructType([T.StructField("panel", T.StringType())])
+    assert tables.conforming(plan, schema).columns == ["panel"]
+    with pytest.raises(ValueError, match=r"panel \(bigint, found string\), none \(string, found None\)"):
+        tables.conforming(plan, T.StructType([T.StructField("panel", T.LongType()), T.StructField("none", T.StringType())]))
+
+
+def test_rows_without_key_are_copies_of_nothing(spark):
+    from tidemark.operators import quality
+
+    rows = spark.createDataFrame([(None, 1, k) for k in range(50)] + [("a", 1, 100), ("a", 2, 101), ("b", 1, 102)], "key string, v int, place long")
+    got = quality.with_duplicates(rows, "key", ["v"], "place")
+    assert {(r["key"], r["copies"], r["conflict"]) for r in got.collect()} == {(None, 1, False), ("a", 2, True), ("b", 1, False)} and got.count() == 53
+    assert all(r["first_of_key"] == r["place"] == r["last_of_key"] for r in got.where("key is null").collect())
+
+
+def test_shares_of_overlapping_boundaries_are_of_their_union(spark):
+    from tidemark.operators import spatial
+
+    found = spark.createDataFrame([(1, "a", 6.0), (1, "b", 4.0), (2, "a", 0.0)], "event_id long, code string, overlap_km2 double")
+    events = spark.createDataFrame([(1, 10.0), (2, 1.0)], "event_id long, area_km2_shape double")
+    union = spark.createDataFrame([(1, 8.0)], "event_id long, union_km2 double")
+    assert [r["union_fraction"] for r in spatial.ranked(found, events, union).orderBy("event_id", "code").collect()] == [0.75, 0.5, None]
+    assert [r["union_fraction"] for r in spatial.ranked(found, events).orderBy("event_id", "code").collect()] == [0.6, 0.4, None]

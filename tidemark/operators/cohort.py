@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import reasons
 from ..sources.tables import written
 from . import selection
+from .integrity import guarded
 
 #: Reasons in order of priority.
 REASONS = ("outside_domain", "missing_start", "outside_window", "negative_duration", "no_state", "review_required")
@@ -52,11 +53,9 @@ def split_of(start: Column, windows: list[tuple[str, str, str]]) -> Column:
 
 
 def require_split(rows: DataFrame, start: str, windows: list[tuple[str, str, str]]) -> DataFrame:
-    """rows with split; a start outside all windows, or none, is an error that names some of them."""
+    """rows with split; a start outside all windows, or none, stops whatever reads the result with an error that names the first of them."""
     out = rows.withColumn("split", split_of(F.col(start), windows))
-    if lost := out.where("split is null").select(start).limit(20).collect():
-        raise ValueError(f"dates outside all splits: {[str(r[0]) for r in lost]}")
-    return out
+    return guarded(out, out.where("split is null").select(F.col(start).cast("string").alias(start)).distinct(), "dates outside all splits")
 
 
 def year_split(start: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null
@@ -142,6 +142,13 @@ def lineage_violations(base: DataFrame, plan: DataFrame) -> DataFrame:
     return out.unionByName(row(other, "unplanned_concept", *key, F.array_join(F.array_sort(F.array_distinct("concepts")), ";").alias("detail")))
 
 
+def samples(violations: DataFrame, kind: str, order: tuple[str, ...], each: int = 20) -> DataFrame:
+    """The first few violations of each kind in a fixed order, numbered, and how many there are: what a report shows, whatever their number."""
+    total = violations.groupBy(kind).agg(F.count("*").alias("of"))
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    return violations.withColumn("place", place).where(F.col("place") <= each).join(total, kind)
+
+
 def guarded(rows: DataFrame, violations: DataFrame, what: str, shown: int = 20) -> DataFrame:
     """rows, if there is no violation; else whatever reads them fails, with how many there are and the first of them.
 

@@ -21,15 +21,20 @@ def validated(records: DataFrame, allow_invalid_geometry: bool = False) -> DataF
 
 
 def with_duplicates(rows: DataFrame, key: str, signature: list[str], order: str) -> DataFrame:
-    """rows with copies of the key, whether they conflict in the signature, in which of its columns, and the first and last of them by order; rows later rejected count too. A null key is no duplicate."""
+    """rows with copies of the key, whether they conflict in the signature, in which of its columns, and the first and last of them by order; rows later rejected count too.
+
+    A null key is no duplicate: such rows are copies of nothing, whatever their number, and take no part in the shuffle by key.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    keyed = rows.where(F.col(key).isNotNull()).withColumn("sign", F.xxhash64(*map(text, signature)))
     w = Window.partitionBy(key)
-    sign = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in signature])
-    out = rows.withColumn("sign", sign)
-    copies = F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.count("*").over(w))
-    differ = {f"differs_{c}": F.min(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).over(w) != F.max(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).over(w) for c in signature}
+    differ = {f"differs_{c}": F.min(text(c)).over(w) != F.max(text(c)).over(w) for c in signature}
     some = [F.when((F.col("copies") > 1) & F.col(k), F.lit(f"{k.removeprefix('differs_')}_conflict")) for k in differ]
-    out = out.withColumn("copies", copies).withColumns(differ).withColumn("conflicts", F.array_compact(F.array(*some))).drop(*differ)
-    return out.withColumn("conflict", (F.col("copies") > 1) & (F.min("sign").over(w) != F.max("sign").over(w))).withColumn("first_of_key", F.min(order).over(w)).withColumn("last_of_key", F.max(order).over(w)).drop("sign")
+    out = keyed.withColumn("copies", F.count("*").over(w)).withColumns(differ).withColumn("conflicts", F.array_compact(F.array(*some))).drop(*differ)
+    out = out.withColumn("conflict", (F.col("copies") > 1) & (F.min("sign").over(w) != F.max("sign").over(w)))
+    out = out.withColumn("first_of_key", F.min(order).over(w)).withColumn("last_of_key", F.max(order).over(w)).drop("sign")
+    alone = rows.where(F.col(key).isNull()).withColumns({"copies": F.lit(1).cast("long"), "conflicts": F.array().cast("array<string>"), "conflict": F.lit(False), "first_of_key": F.col(order), "last_of_key": F.col(order)})
+    return out.unionByName(alone)
 
 
 def outcome(rows: DataFrame, policy: str, order: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import season, stable_id
+from .integrity import guarded
 from .greedy import mini_set, nested_subsets, with_required_states  # noqa: F401  parts of the sampling interface
 
 
@@ -98,12 +99,16 @@ def plan_violations(plan: DataFrame, repeats: int, panels: int) -> DataFrame:
     return bad.unionByName(shared)
 
 
-def filtered(plan: DataFrame, limit: int | None = None, **equal: str) -> DataFrame:
-    """Plan rows with these values, in their fixed order, up to a limit."""
+def filtered(plan: DataFrame, limit: int | None = None, **equal: str | list[str]) -> DataFrame:
+    """Plan rows with these values (one or several of each column), in their fixed order, up to a limit. A column that the plan lacks is an error; a filter that leaves nothing is, too,
+    for whatever reads the result."""
+    if absent := [c for c in equal if c not in plan.columns]:
+        raise ValueError(f"the plan has no columns {absent}")
     for c, v in equal.items():
-        plan = plan.where(F.col(c) == v)
-    plan = plan.orderBy("request_id", "planned_repeat_id")
-    return plan if limit is None else plan.limit(limit)
+        plan = plan.where(F.col(c).isin(v if isinstance(v, list) else [v]))
+    none = plan.agg(F.count("*").alias("rows")).where("rows = 0")
+    rows = guarded(plan, none, f"no plan row with {equal}").orderBy("request_id", "planned_repeat_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def concept_violations(concepts: DataFrame, panels: DataFrame, tiers: list[str], core: str = "core") -> DataFrame:

@@ -118,14 +118,19 @@ def _larger_first() -> list:
     return [F.desc(F.round("overlap_km2", 9)), F.col("code")]
 
 
-def ranked(found: DataFrame, events: DataFrame) -> DataFrame:
-    """Overlaps with their share of the event's area and of all its overlaps, their rank (largest first, ties by code) and whether they are the first."""
+def ranked(found: DataFrame, events: DataFrame, union: DataFrame | None = None) -> DataFrame:
+    """Overlaps with their share of the event's area and of what the event shares with all boundaries together, their rank (largest first, ties by code) and whether they are the first.
+
+    union: (event_id, union_km2), as union_overlap gives it, for boundaries that overlap each other; without it their overlaps are added up, which is the same where they do not.
+    """
     w = Window.partitionBy("event_id")
     out = found.join(events.select("event_id", "area_km2_shape"), "event_id").withColumn("assignment_rank", F.row_number().over(w.orderBy(*_larger_first())))
-    whole = F.sum("overlap_km2").over(w)
+    if union is not None:
+        out = out.join(union.select("event_id", "union_km2"), "event_id", "left")
+    whole = F.sum("overlap_km2").over(w) if union is None else F.col("union_km2")
     some = F.col("overlap_km2") > 0
     out = out.withColumn("event_fraction", F.when((F.col("area_km2_shape") > 0) & some, F.col("overlap_km2") / F.col("area_km2_shape")))
-    return out.withColumn("union_fraction", F.when(some, F.col("overlap_km2") / whole)).withColumn("is_primary", F.col("assignment_rank") == 1).drop("area_km2_shape")
+    return out.withColumn("union_fraction", F.when(some, F.try_divide(F.col("overlap_km2"), whole))).withColumn("is_primary", F.col("assignment_rank") == 1).drop("area_km2_shape", "union_km2")
 
 
 def primary(found: DataFrame, events: DataFrame, tie: float = TIE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import rounded
-from ..operators import decisions, integrity, source_check
+from ..operators import cohort, decisions, integrity, quality, sampling, source_check
 from ..sources import tables
 from ..streaming.imports import import_parted_stream
 from .base import SQL, observations, plan, table
@@ -167,6 +167,41 @@ def decision_problems(spark, d):
     return decisions.violations(dec.unionByName(more), m)
 
 
+def violation_samples(spark, d):
+    """The first three violations of each kind, as a report shows them, and how many there are."""
+    found = integrity.design_violations(*_designed(spark, d), DESIGN)
+    return integrity.samples(found, "kind", ("episode_id", "request_id", "detail"), 3).select("kind", "place", "episode_id", "request_id", "detail", "of")
+
+
+WINDOWS = [("development", "1900-01-01", "1995-12-31"), ("validation", "1996-01-01", "1996-12-31"), ("test", "1997-01-01", "2100-12-31")]
+
+
+def guarded_splits(spark, d):
+    """Every order's split, through the check that would stop the job at a date outside all of them."""
+    rows = cohort.require_split(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("start")), "start", WINDOWS)
+    return rows.groupBy("split").agg(F.count("*").alias("orders"), F.min("start").alias("first"), F.max("start").alias("last"))
+
+
+def plan_filter(spark, d):
+    """Plan rows of one panel and two roles; the order of the rows is that of requests and repeats."""
+    return sampling.filtered(_designed(spark, d)[0], panel="p1", role=["control", "national"]).groupBy("role", "planned_repeat_id").agg(F.count("*").alias("rows"), F.min("request_id").alias("first"), F.max("request_id").alias("last"))
+
+
+def conforming_rows(spark, d):
+    """Customers as a registered table: fields of its schema alone, after their types are checked."""
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("c_acctbal", T.DoubleType())])
+    rows = tables.conforming(tables.typed(table(spark, d, "customer"), schema), schema)
+    return rounded(rows.agg(F.count("*").alias("rows"), F.count_distinct("c_name").alias("names"), F.sum("c_acctbal").alias("total")), 2)
+
+
+def duplicates_without_key(spark, d):
+    """Line items of which a third have no key: such rows are copies of nothing; outcomes by policy, and by the reasons given for them."""
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 3 > 0, F.col("l_partkey")).alias("key"), "l_suppkey", "l_quantity", k.alias("place"), F.lit("").alias("reject_reason"), F.lit(None).cast("string").alias("quarantine_reason"))
+    out = quality.outcome(quality.with_duplicates(rows, "key", ["l_suppkey", "l_quantity"], "place"), "keep-first", "place")
+    return out.groupBy(F.col("key").isNull().alias("without_key"), "outcome", "outcome_reason").agg(F.count("*").alias("rows"), F.max("copies").alias("most_copies"))
+
+
 SINKS = ("accepted", "quarantined", "rejected", "unused")
 SINK_SCHEMA = T.StructType([T.StructField("key", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("price", T.DoubleType()), T.StructField("note", T.StringType())])
 
@@ -300,6 +335,15 @@ UNION SELECT k, 'chain_crosses_split' FROM closed JOIN far USING (target) JOIN n
     "one_pass_sinks": """SELECT sink, count(l_orderkey) AS rows, round(sum(l_extendedprice), 2) AS total, count(l_orderkey) AS read, round(sum(l_extendedprice), 2) AS read_total, CAST(0 AS BIGINT) AS notes
 FROM (SELECT unnest(['accepted', 'quarantined', 'rejected', 'unused']) AS sink) LEFT JOIN (SELECT *, CASE WHEN l_quantity > 45 THEN 'rejected' WHEN l_discount > 0.08 THEN 'quarantined' ELSE 'accepted' END AS sink FROM lineitem) USING (sink) GROUP BY 1""",
     "ordered_sink": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders",
+    "violation_samples": f"WITH {_DESIGN_SQL} SELECT kind, row_number() OVER w AS place, episode_id, request_id, detail, count(*) OVER (PARTITION BY kind) AS of FROM v WINDOW w AS (PARTITION BY kind ORDER BY episode_id NULLS FIRST, request_id NULLS FIRST, detail) QUALIFY place <= 3",
+    "guarded_splits": """SELECT CASE WHEN d <= DATE '1995-12-31' THEN 'development' WHEN d <= DATE '1996-12-31' THEN 'validation' ELSE 'test' END AS split, count(*) AS orders, min(d) AS first, max(d) AS last
+FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) GROUP BY 1""",
+    "plan_filter": f"WITH {_DESIGN_SQL} SELECT role, planned_repeat_id, count(*) AS rows, min(request_id) AS first, max(request_id) AS last FROM p WHERE panel = 'p1' AND role IN ('control', 'national') GROUP BY 1, 2",
+    "conforming_rows": "SELECT count(*) AS rows, count(DISTINCT c_name) AS names, round(sum(c_acctbal), 2) AS total FROM customer",
+    "duplicates_without_key": """SELECT key IS NULL AS without_key, CASE WHEN n > 1 AND place > first THEN 'quarantined' ELSE 'accepted' END AS outcome,
+CASE WHEN n > 1 AND place > first THEN concat_ws(';', 'keep-first', CASE WHEN NOT a AND NOT b THEN 'exact_duplicate' END, CASE WHEN a OR b THEN concat_ws(';', CASE WHEN a THEN 'l_suppkey_conflict' END, CASE WHEN b THEN 'l_quantity_conflict' END) ELSE '' END) END AS outcome_reason, count(*) AS rows, max(n) AS most_copies
+FROM (SELECT *, CASE WHEN key IS NULL THEN 1 ELSE count(*) OVER w END AS n, min(place) OVER w AS first, min(l_suppkey) OVER w <> max(l_suppkey) OVER w AS a, min(l_quantity) OVER w <> max(l_quantity) OVER w AS b
+  FROM (SELECT CASE WHEN l_orderkey % 3 > 0 THEN l_partkey END AS key, l_suppkey, l_quantity, l_orderkey * 10 + l_linenumber AS place FROM lineitem) WINDOW w AS (PARTITION BY key)) GROUP BY 1, 2, 3""",
     "parted_import": f"""WITH {SQL}, o AS (SELECT request_id, repeat_id, concept_id, date, min(interest) AS interest, CAST(request_id[2:] AS INT) AS n FROM obs GROUP BY 1, 2, 3, 4)
 SELECT CASE WHEN n % 3 < 2 AND b = 0 THEN n % 3 ELSE 2 END AS import_batch, count(*) AS rows, count(*) FILTER (b = 0) AS added, count(*) FILTER (b = 1 AND NOT c) AS repeated, count(*) FILTER (b = 1 AND c) AS conflicting, CAST(nullif(count(*) FILTER (b = 1 AND c), 0) AS DOUBLE) AS difference
 FROM (SELECT *, concept_id = 'click' AND interest IS NOT NULL AS c FROM o, (SELECT unnest([0, 1]) AS b)) WHERE b = 0 AND (n % 3 < 2 OR n % 6 = 2) OR b = 1 AND n % 6 = 0 GROUP BY 1""",
@@ -309,4 +353,4 @@ SELECT role, panel, planned_repeat_id, count(*) AS rows, count(DISTINCT episode_
     "lineage_integrity": _LINEAGE_SQL,
     "source_recheck": _SOURCE_SQL,
 }
-QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck, decision_log, decision_problems, one_pass_sinks, ordered_sink, parted_import)}
+QUERIES = {f.__name__: f for f in (design_integrity, sound_plan, lineage_integrity, source_recheck, decision_log, decision_problems, one_pass_sinks, ordered_sink, parted_import, violation_samples, guarded_splits, plan_filter, conforming_rows, duplicates_without_key)}

@@ -40,7 +40,7 @@ def footprint_scan(spark: SparkSession, path: str, max_rows: int | None = None)
     # one row for each file
     sizes = df.select(file.alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("_file", file).withColumn("_place", place).join(F.broadcast(sizes.select(F.col("file").alias("_file"), before.alias("_before"))), "_file")
+    df = df.withColumn("_file", file).withColumn("_place", place).join(sizes.select(F.col("file").alias("_file"), before.alias("_before")), "_file")
     index = F.col("_before") + F.col("_place")
     index = F.coalesce(F.col("__index_level_0__").cast("long"), index) if "__index_level_0__" in df.columns else index
     df = df.withColumn("source_row_index", index)
@@ -77,6 +77,13 @@ def conformance(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, expected string, found string")
 
 
+def conforming(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df's registered fields, if it has all of them with their types; else an error that names each that differs. Nothing is read for it."""
+    if bad := conformance(df, schema).collect():  # a row for each field of the schema at most
+        raise ValueError("fields that do not conform: " + ", ".join(f"{r['field']} ({r['expected']}, found {r['found']})" for r in bad))
+    return df.select(*[f.name for f in schema])
+
+
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df cast to a fixed schema; columns it lacks are null, others go."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
