@@ -223,7 +223,7 @@ PARTS = ["a@b.com", "_x@y.co", "%", " ", "1.2.3.4", ".5", "..", "@", "-", "41111
 @pytest.fixture(scope="module")
 def private(spark):
     rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(PARTS, rng.integers(0, 12))) for _ in range(600)]
+    texts = ["".join(rng.choice(PARTS, rng.integers(0, 12))) for _ in range(1500)]
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None), (-2, "1 " * 20000 + "+1" + "(" * 20000)], "doc_id long, text string")
 
 
