@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, documents_of, written
+from .common import carried, documents_of, lean, written
 
 #: Units of one numpy pass, bytes of representatives that are compared in one go, and different segments up to which an anchor's are compared in one task.
 CHUNK, BLOCK, CROWD = 1 << 20, 1 << 20, 4096
@@ -180,7 +180,7 @@ def compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             z = [squeeze(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(z, pa.binary()), *[batch.column(c) for c in carry]], ["doc_id", "part", "z", *carry])
 
-    return docs.mapInArrow(run, "doc_id long, part long, z binary" + carried(docs, carry))
+    return docs.mapInArrow(lean(run), "doc_id long, part long, z binary" + carried(docs, carry))
 
 
 def opened(z: bytes) -> bytes:
@@ -225,7 +225,7 @@ def all_segments(docs: DataFrame, scheme, anchors_only: bool = False) -> DataFra
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "anchor long" if anchors_only else SEGMENT)
+    return docs.mapInArrow(lean(run), "anchor long" if anchors_only else SEGMENT)
 
 
 def repeated_segments(docs: DataFrame, scheme) -> DataFrame:
@@ -266,7 +266,7 @@ def representatives(docs: DataFrame, hits: DataFrame, scheme) -> DataFrame:
                 types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return written(compressed(docs).join(wanted, ["doc_id", "part"]).select("z", "wanted").mapInArrow(run, schema), "representatives")
+    return written(compressed(docs).join(wanted, ["doc_id", "part"]).select("z", "wanted").mapInArrow(lean(run), schema), "representatives")
 
 
 def verdicts(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]], value: F.Column, encode: Callable[[list], bytes]) -> DataFrame:
@@ -280,7 +280,7 @@ def verdicts(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]], value:
             got = [encode([x["value"] for x in v]) for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("seg"), pa.array(got, pa.binary())], ["anchor", "seg", "verdict"])
 
-    return by_anchor(rows.where("place is null").select("anchor", "seg", "n", "low", "string"), judge).unionByName(each.mapInArrow(run, "anchor long, seg long, verdict binary"))
+    return by_anchor(rows.where("place is null").select("anchor", "seg", "n", "low", "string"), judge).unionByName(each.mapInArrow(lean(run), "anchor long, seg long, verdict binary"))
 
 
 def by_anchor(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]]) -> DataFrame:
@@ -302,4 +302,4 @@ def by_anchor(rows: DataFrame, judge: Callable[[list[dict]], list[bytes]]) -> Da
         if held:
             yield settled(held)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, "anchor long, seg long, verdict binary")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(lean(run), "anchor long, seg long, verdict binary")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-__all__ = ["carried", "documents_of", "partitions", "read_table", "text_or_empty", "written"]
+__all__ = ["carried", "documents_of", "lean", "partitions", "read_table", "text_or_empty", "written"]
 
 #: Bytes of one batch of texts that goes to Python; sessions that allow more are held to this, so that a batch of long texts does not fill a worker.
 BATCH_BYTES = 2 << 20
@@ -25,6 +29,22 @@ def hold_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow, after which a worker gives the memory of its task back: Spark keeps workers for later tasks, and what their allocators hold on to counts as the executor's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .anchored import CHUNK, SMALLEST, compressed, keyed, mixed, opened, word_hashes
-from .common import written
+from .common import lean, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 3
@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame, least: float = FREQUENT) -> tuple[np.n
             yield flush()
 
     total = docs.count()
-    often = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least * total))
+    often = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least * total))
     table = often.toArrow()
     words, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(words)
@@ -176,7 +176,7 @@ def bands(docs: DataFrame, frozen) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("node", "text").mapInArrow(run, "node long, buckets array<long>, signature binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node long, buckets array<long>, signature binary")
 
 
 def agreeing(left: F.Column, right: F.Column) -> F.Column:
@@ -201,7 +201,7 @@ def all_pairs(buckets: DataFrame) -> DataFrame:
             a, b = zip(*seen) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long")
+    return buckets.mapInArrow(lean(run), "a long, b long")
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def compared(sides: DataFrame) -> DataFrame:
         if held:
             yield from block(held)
 
-    return sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long, alike long")
+    return sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(run), "a long, b long, alike long")
 
 
 def across(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def verified(pairs: DataFrame, texts: DataFrame, frozen) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").sortWithinPartitions("b").mapInArrow(lean(run), "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

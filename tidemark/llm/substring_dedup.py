@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import SMALLEST, Words, compressed, keyed, marks_of, opened, repeated_segments, representatives, verdicts
+from .common import lean
 
 
 def judge(rows: list[dict]) -> list[bytes]:
@@ -72,4 +73,4 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * (1 + texts)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
-    return compressed(docs).join(marks, ["doc_id", "part"], "left").select("doc_id", "z", "marks").mapInArrow(run, schema)
+    return compressed(docs).join(marks, ["doc_id", "part"], "left").select("doc_id", "z", "marks").mapInArrow(lean(run), schema)

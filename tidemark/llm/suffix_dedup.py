@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import SMALLEST, Bytes, compressed, keyed, marks_of, opened, repeated_segments, representatives, verdicts
-from .common import carried
+from .common import carried, lean
 
 #: Never a byte of UTF-8; ends every string of a block.
 END = 0xFF
@@ -200,4 +200,4 @@ def deduplicate(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)] + [batch.column(c) for c in carry], names)
 
     joined = compressed(docs, carry).join(marked(docs, scheme), ["doc_id", "part"], "left")
-    return joined.select("doc_id", "z", "marks", *carry).mapInArrow(run, schema + carried(docs, carry))
+    return joined.select("doc_id", "z", "marks", *carry).mapInArrow(lean(run), schema + carried(docs, carry))
