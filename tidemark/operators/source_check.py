@@ -47,7 +47,10 @@ def recheck(stored: DataFrame, plan: DataFrame, files: DataFrame, sidecars: Data
     repeated_date, missing_day (of the query's window), bad_value. By observation: value, partial_flag, not_in_source, not_stored.
     """
     keys = ("request_id", "repeat_id")
-    by = stored.groupBy(*keys).agg(F.min("source_file").alias("source_file"), (F.coalesce(F.min("source_file") != F.max("source_file"), F.lit(False))).alias("several"))
+    # of several sources the first that there is a raw file of is looked at, and one that is lost only if there is no other
+    lost = stored.select(*keys, "source_file").distinct().join(files.select("source_file", F.lit(False).alias("lost")).distinct(), "source_file", "left").withColumn("lost", F.coalesce("lost", F.lit(True)))
+    first = F.min_by("source_file", F.struct("lost", F.col("source_file").isNull(), "source_file"))
+    by = lost.groupBy(*keys).agg(first.alias("source_file"), (F.coalesce(F.min("source_file") != F.max("source_file"), F.lit(False))).alias("several"))
     p = plan.select("request_id", F.col("planned_repeat_id").alias("repeat_id"), F.lit(True).alias("planned"), *[F.col(c).alias(f"plan_{c}") for c in ("episode_id", "geography", "window_start", "window_end", *SETTINGS)], F.split("concept_ids", ";").alias("concepts"))
     side = sidecars.select(_stem(F.col("sidecar_file")).alias("stem"), F.struct(*[c for c in sidecars.columns if c != "sidecar_file"]).alias("side"))
     read = _cells(files).withColumn("stem", _stem(F.col("source_file")))
