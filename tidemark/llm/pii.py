@@ -6,7 +6,7 @@ these, so the base matches themselves, rewritten in such forms within their own
 are what to leave alone. Boosted trees over format and context score the candidates; a kind's threshold is calibrated on documents
 that training left out, over candidates that can be added, with hidden forms weighed by how rare they are; those over it are added where they touch no base span.
 Candidates that go on in letters, digits or a longer number are none. Features are a few small integers, so
-training needs one grouped count over a sample of documents, whose groups are bounded by the product of the features' sizes.
+training needs one grouped count over all documents, whose groups are bounded by the product of the features' sizes.
 """
 
 from __future__ import annotations
@@ -60,8 +60,6 @@ CONTEXT = 40
 ROUNDS, RATE, DEPTH, PRECISION = 20, 0.3, 3, 0.9
 #: Hidden forms that calibration expects for each plain one. Examples are made of every plain match, negatives are what texts hold, so examples count this much.
 HIDDEN = 0.05
-#: Documents that training reads, about, picked by a hash of the row; all of them if there are fewer.
-SAMPLE = 100_000
 SPAN = "struct<kind:int,start:int,end:int,hit:string,head:string,tail:string>"
 #: Items that an array under construction is extended by in one go.
 BLOCK = 256
@@ -287,18 +285,9 @@ def examples(docs: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"c.{f}").alias(f) for f in FEATURES], "out", "hit")
 
 
-def sampled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """About most rows of docs, by a hash of the row, so that the same ones are picked wherever they stand."""
-    n = docs.count()
-    if n <= most:
-        return docs
-    share = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).cast("double") / 2.0**64 + 0.5
-    return docs.where(share < most / n)
-
-
-def train(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """The model of one grouped count over a sample's examples; there are at most as many groups as the features have combinations."""
-    rows = examples(sampled(docs, most)).groupBy(*FEATURES, "out").agg(F.count("*").alias("n"), F.sum("hit").alias("y")).collect()
+def train(docs: DataFrame) -> Model:
+    """The model of one grouped count over the examples of all documents; there are at most as many groups as the features have combinations, whatever the number of documents."""
+    rows = examples(docs).groupBy(*FEATURES, "out").agg(F.count("*").alias("n"), F.sum("hit").alias("y")).collect()
     return fit(sorted((({f: r[f] for f in FEATURES}, r["n"], r["y"], r["out"]) for r in rows), key=str))
 
 
