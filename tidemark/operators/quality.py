@@ -58,10 +58,12 @@ def accounting(rows: DataFrame) -> DataFrame:
 
 def duplicate_profile(rows: DataFrame, key: str, signature: list[str]) -> DataFrame:
     """One row: keys that occur again, their rows, rows beyond the first, exact copies, conflicting groups, and groups in which each signature column conflicts."""
-    differ = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).alias(f"d_{c}") for c in signature]
-    every = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in signature])
-    by = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(every).alias("kinds"), *differ).where("n > 1")
-    return by.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"), F.coalesce(F.sum(F.col("n") - F.col("kinds")), F.lit(0)).alias("exact_copies"), F.coalesce(F.sum((F.col("kinds") > 1).cast("long")), F.lit(0)).alias("conflicting_groups"), *[F.coalesce(F.sum((F.col(f"d_{c}") > 1).cast("long")), F.lit(0)).alias(f"conflicts_{c}") for c in signature])
+    # counting distinct values of each column would deal out every row once for each; that a column differs shows in its extremes and its nulls
+    each = rows.groupBy(key, *signature).agg(F.count("*").alias("n"))
+    present = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0))
+    differ = [((F.coalesce(F.min(c) != F.max(c), F.lit(False))) | ((present(c) > 0) & (present(c) < F.sum("n")))).alias(f"d_{c}") for c in signature]
+    by = each.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), *differ).where("n > 1")
+    return by.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"), F.coalesce(F.sum(F.col("n") - F.col("kinds")), F.lit(0)).alias("exact_copies"), F.coalesce(F.sum((F.col("kinds") > 1).cast("long")), F.lit(0)).alias("conflicting_groups"), *[F.coalesce(F.sum(F.col(f"d_{c}").cast("long")), F.lit(0)).alias(f"conflicts_{c}") for c in signature])
 
 
 def table_profile(rows: DataFrame, area: str, start: str, end: str) -> DataFrame:
