@@ -194,6 +194,24 @@ def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
     same([tuple(r) for r in near_dedup.across(crowded, signed, found).collect()], want)
 
 
+def test_unlike_members_of_crowded_buckets_make_no_row_for_each_pair(spark, monkeypatch):
+    """Texts about 0.7 like each other crowd buckets: only the two rounds of candidates from small buckets and centres are given as rows of pairs, blocks give links alone."""
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(60, 5, replace=False) * 5:
+            words[at] = f"x{rng.integers(10**9)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given, plain = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: given.append(pairs.count()) or plain(pairs, *rest))
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.classes(docs).collect()} == brute_classes(spark, docs, rows)
+    assert len(given) == 2, given
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

@@ -9,7 +9,7 @@ Exact copies are one representative from the start. Buckets of few members give
 are dealt again by pairs of bands, and only in sub-buckets that are still large, whose members nearly all are near copies
 of each other, are members compared with a few centres that all sub-buckets choose by the same orders. Verification goes in two rounds: one candidate for each text, then those that would join different classes.
 Centres only save work: members of a crowded bucket whom all this leaves in different classes are then compared block against block, every
-one with every other, and verified by the same two rounds. Nothing is left out but pairs already in one verified class.
+one with every other, and verified where they meet; what comes out are links that join classes, no row for each pair. Nothing is left out but pairs already in one verified class.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS = 14, 3
 ALL_PAIRS, CENTRES = 24, 3
 #: Following bands by each of which a crowded bucket is dealt again.
 NEXT = 3
-#: Members of crowded buckets that meet in one block, about.
-BLOCK = 1024
+#: Members of crowded buckets that meet in one block, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Share of documents from which on a word counts as less than rare. At most (distinct words in a document) / FREQUENT words can reach it, whatever the
 #: number of documents; that bounds the table that is sent to the workers.
 FREQUENT = 1e-3
@@ -150,7 +150,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def bands(docs: DataFrame, frozen) -> DataFrame:
-    """(node, buckets, signature) of every text that has words: the bucket of each of BANDS bands, and a byte of each sample as signature."""
+    """(node, buckets, signature, size) of every text that has words: the bucket of each of BANDS bands, a byte of each sample as signature, and the text's bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*frozen.value)
         held: list[tuple[int, bytes]] = []
@@ -162,7 +162,8 @@ def bands(docs: DataFrame, frozen) -> DataFrame:
             bucket = np.stack([mixed(functools.reduce(lambda x, y: x * np.uint64(0x5851F42D4C957F2D) + y, got[b * ROWS : b * ROWS + ROWS]) + np.uint64(b)) for b in range(BANDS)])
             node = np.array([n for n, _ in held], np.int64)[some]
             signature = [x.tobytes() for x in (got & np.uint64(255)).astype(np.uint8).T]
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(bucket.T.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["node", "buckets", "signature"])
+            sizes = np.array([len(t) for _, t in held], np.int64)[some]
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(bucket.T.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(signature, pa.binary()), pa.array(sizes)], ["node", "buckets", "signature", "size"])
 
         size = 0
         for batch in batches:
@@ -176,7 +177,7 @@ def bands(docs: DataFrame, frozen) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("node", "text").mapInArrow(lean(run), "node long, buckets array<long>, signature binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node long, buckets array<long>, signature binary, size long")
 
 
 def agreeing(left: F.Column, right: F.Column) -> F.Column:
@@ -210,7 +211,7 @@ def small(rows: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs of nodes that share a bucket and whose samples agree often enough, of crowded buckets only the likely ones; and (node, bucket) of
+    """Distinct pairs of nodes that share a bucket and whose samples agree often enough, of crowded buckets only the likely ones; and (node, band, bucket) of
     crowded buckets. signed: a table of (node, buckets, signature)."""
     rows = signed.select("node", F.posexplode("buckets").alias("band", "bucket"))
     sized = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -230,13 +231,33 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = dealt.where(F.col("n") > ALL_PAIRS).select("node", F.transform(near, lambda c: c["node"]).alias("centres"))
     star = star.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres")).select("node", F.explode("centres").alias("c"))
     pairs = few.unionByName(fewer).unionByName(star.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"))).distinct()
-    return pairs, shared.where(F.col("n") > ALL_PAIRS).select("node", "bucket")
+    return pairs, shared.where(F.col("n") > ALL_PAIRS).select("node", "band", "bucket")
+
+
+def by_pair(sides: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge makes of the rows of each pair of blocks. sides: (pair, side, node, ...)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start < end:
+                    if held and pair[start] != last:
+                        yield from judge(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(start, end - start))
+                    last = pair[start]
+        if held:
+            yield from judge(pa.Table.from_batches(held))
+
+    return sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(run), schema)
 
 
 def compared(sides: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, of agreeing members of different classes, and how many samples agree. sides: (pair, side, node, class, signature) of pairs of blocks."""
-    def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         right = rows["side"].to_numpy() == 1
         node, of = rows["node"].to_numpy(), rows["class"].to_numpy()
         sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
@@ -251,36 +272,69 @@ def compared(sides: DataFrame) -> DataFrame:
             a, b = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out.values(), pa.int64())], ["a", "b", "alike"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            pair = batch.column("pair").to_numpy()
-            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
-            for start, end in zip(cuts, cuts[1:]):
-                if start < end:
-                    if held and pair[start] != last:
-                        yield from block(held)
-                        held = []
-                    held.append(batch.slice(start, end - start))
-                    last = pair[start]
-        if held:
-            yield from block(held)
+    return by_pair(sides, judge, "a long, b long, alike long")
 
-    return sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(run), "a long, b long, alike long")
 
+def linked(sides: DataFrame, frozen) -> DataFrame:
+    """Links (a, b), a > b, that join the classes of the members of each pair of blocks as all their links would: agreeing members are verified where they meet, unless what has been
+    found there makes them one class already, so that no more links come out than there are members. sides: (pair, side, band, node, class, signature, buckets, z).
 
-def across(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, alike) for every pair of nodes that share a crowded bucket, are of different classes so far, and whose samples agree often enough.
+    Two texts that share several buckets are compared in that of the first band: if it is not a crowded one, all its pairs have been verified before.
+    """
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        weights = Weights(*frozen.value)
+        right = rows["side"].to_numpy() == 1
+        node, band = rows["node"].to_numpy(), rows["band"][0].as_py()
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        buckets = rows["buckets"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[:, :band]
+        names, group = np.unique(rows["class"].to_numpy(), return_inverse=True)
+        if len(names) < 2:
+            return
+        texts = [b" ".join(opened(z.as_py()).split()) + b" " for z in rows["z"]]
+        shingles, weight, starts = weights.of(texts)
+        vocabulary, at = np.unique(shingles, return_inverse=True)
+        ends, totals = np.append(starts[1:], len(shingles)), np.add.reduceat(weight, starts)
+        heavy = np.zeros(len(vocabulary))
+        lefts, rights = np.flatnonzero(~right), np.flatnonzero(right)
+        out: list[tuple[int, int]] = []
+        for i in lefts.tolist():
+            apart = rights[group[rights] != group[i]]
+            agree = (sign[apart] == sign[i]).sum(axis=1) >= LEAST_AGREEMENT * sign.shape[1]
+            apart = apart[agree]
+            apart = apart[~(buckets[apart] == buckets[i]).any(axis=1)]
+            if not len(apart):
+                continue
+            mine = slice(starts[i], ends[i])
+            heavy[at[mine]] = weight[mine]
+            sizes = ends[apart] - starts[apart]
+            first = np.cumsum(sizes) - sizes
+            flat = np.repeat(starts[apart] - first, sizes) + np.arange(sizes.sum())
+            low = np.add.reduceat(np.minimum(heavy[at[flat]], weight[flat]), first)
+            heavy[at[mine]] = 0.0
+            for j in apart[low >= (SIMILAR - 1e-9) * (totals[i] + totals[apart] - low)].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return by_pair(sides, judge, "a long, b long")
+
+
+def met_blocks(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """(pair, side, node, class and the columns of crowded and signed) of every two blocks of a crowded bucket that are to be compared.
 
     Members of a class that has BLOCK of them in the bucket stand in blocks of their own, which are not compared with each other; members of smaller classes share blocks.
     """
     members = crowded.join(found.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    members = written(members, "members")
-    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= BLOCK).withColumn("group", F.when(F.col("own"), F.col("class")).otherwise(0))
+    members = written(members.join(signed, "node"), "members")
+    size = F.sum("size") if "size" in members.columns else F.lit(0)
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n"), size.alias("bytes")).withColumn("own", F.col("n") >= BLOCK).withColumn("group", F.when(F.col("own"), F.col("class")).otherwise(0))
     sizes = written(sizes, "sizes")
     divided = sizes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    groups = sizes.groupBy("bucket", "own", "group").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).join(divided, "bucket")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    groups = sizes.groupBy("bucket", "own", "group").agg(blocks.alias("blocks")).join(divided, "bucket")
     groups = written(groups, "groups")
     blocks = groups.select("bucket", "own", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # named anew, so that the two sides of the join are told apart
@@ -288,16 +342,19 @@ def across(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame
     met = left.join(right, "bucket").where("l <= r and not (l.own and r.own and l.group = r.group)").withColumn("pair", F.xxhash64("bucket", "l", "r"))
     met = met.select("bucket", "pair", F.posexplode(F.array("l", "r")).alias("side", "at")).select("bucket", "pair", "side", "at.own", "at.group", "at.block")
     placed = members.join(sizes.select("bucket", "class", "own", "group"), ["bucket", "class"]).join(groups, ["bucket", "own", "group"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(signed.select("node", "signature"), "node")
-    return compared(placed.join(met, ["bucket", "own", "group", "block"]).select("pair", "side", "node", "class", "signature")).distinct()
+    return placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(met, ["bucket", "own", "group", "block"])
+
+
+def across(crowded: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, alike) for every pair of nodes that share a crowded bucket, are of different classes so far, and whose samples agree often enough. Their number grows with the square of
+    a bucket's classes; linking compares the same pairs without a row for each."""
+    return compared(met_blocks(crowded, signed, found).select("pair", "side", "node", "class", "signature")).distinct()
 
 
-def hubs_first(pairs: DataFrame) -> DataFrame:
-    """Of each node's pairs the one with the partner that agrees most with all its partners: where many are like one original, that is the original."""
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))
-    weight = ends.groupBy("y").agg(F.sum("alike").alias("weight"))
-    best = ends.join(weight, "y").groupBy("x").agg(F.max(F.struct("weight", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-    return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def linking(crowded: DataFrame, signed: DataFrame, found: DataFrame, texts: DataFrame, frozen) -> DataFrame:
+    """Links (a, b) that join the classes found so far as all links between nodes that share a crowded bucket would. texts: (node, z) of all nodes."""
+    met = met_blocks(crowded, signed, found).select("pair", "side", "band", "node", "class", "signature", "buckets")
+    return linked(met.join(texts, "node"), frozen).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, frozen) -> DataFrame:
@@ -343,23 +400,23 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     named = compressed(docs).withColumn("node", F.when(F.col("part") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "part")))
 
-    def joined(pairs: DataFrame, first: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """links and those of pairs, and their components: first is verified before all others that would still join different classes."""
+    def joined(pairs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of pairs, and their components: first is verified before all others that would still join different classes."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         # the same join at every size: what is wanted grows with the input
         texts = written(named.join(wanted.hint("merge"), "node").select("node", "z").dropDuplicates(["node"]), "texts")
-        some = written(verified(first, texts, frozen), "links")
-        links = links.unionByName(some) if links else some
+        links = written(verified(first, texts, frozen), "links")
         found = written(components(links), "classes")
         side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         links = links.unionByName(written(verified(apart, texts, frozen), "links"))
         return links, written(components(links), "classes")
 
-    links, found = joined(pairs, pairs.groupBy("a").agg(F.min("b").alias("b")), None)
-    rest = written(across(crowded, signed, found), "across").join(pairs, ["a", "b"], "left_anti")
+    links, found = joined(pairs, pairs.groupBy("a").agg(F.min("b").alias("b")))
+    texts = named.select("node", "z").join(crowded.select("node").distinct().hint("merge"), "node").dropDuplicates(["node"])
+    rest = written(linking(crowded, signed, found, texts, frozen), "across")
     if not rest.isEmpty():
-        _, found = joined(rest.select("a", "b"), hubs_first(rest), links)
+        found = written(components(links.unionByName(rest)), "classes")
     labelled = again.join(found.withColumnRenamed("node", "kept"), "kept", "left").withColumn("component", F.coalesce("component", "kept"))
     named_id = F.when(F.col("doc_id") != SMALLEST, F.col("doc_id"))
     about = labelled.groupBy("component").agg(F.min(named_id).alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "part")).alias("one"))
