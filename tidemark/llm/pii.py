@@ -3,8 +3,8 @@
 Everything on the data's path is a DataFrame expression. Fixed base patterns give spans that always count. Wider
 generators propose more spans, also overlapping ones, of forms that base patterns miss: spelled-out and spaced addresses, numbers without a plus or with other separators. There are no labels for
 these, so the base matches themselves, rewritten in such forms within their own contexts, are what to find, and candidates that touch no base match
-are what to leave alone. Boosted trees over format and context score the candidates; a kind's threshold is calibrated on documents
-that training left out, over candidates that can be added, with hidden forms weighed by how rare they are; those over it are added where they touch no base span.
+are what to leave alone. Boosted trees over format and context score the candidates; a kind's threshold is calibrated on all
+documents, each scored by trees that learnt on the other folds, over candidates that can be added, with hidden forms weighed by how rare they are; those over it are added where they touch no base span.
 Candidates that go on in letters, digits or a longer number are none. Features are a few small integers, so
 training needs one grouped count over all documents, whose groups are bounded by the product of the features' sizes.
 """
@@ -58,6 +58,8 @@ FEATURES = {"kind": 4, "plus": 2, "between": 6, "digits": 5, "groups": 5, "befor
 #: Characters of context on either side.
 CONTEXT = 40
 ROUNDS, RATE, DEPTH, PRECISION = 20, 0.3, 3, 0.9
+#: Folds of documents; each is scored by trees of the others.
+FOLDS = 5
 #: Hidden forms that calibration expects for each plain one. Examples are made of every plain match, negatives are what texts hold, so examples count this much.
 HIDDEN = 0.05
 SPAN = "struct<kind:int,start:int,end:int,hit:string,head:string,tail:string>"
@@ -219,22 +221,41 @@ def grow(cells: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int):
     return list(FEATURES)[k], v, grow(cells[yes], slope[yes], curve[yes], depth - 1), grow(cells[~yes], slope[~yes], curve[~yes], depth - 1)
 
 
-def fit(counts: list[tuple[dict, int, int, bool]]) -> Model:
-    """Trees from cells (features, rows, rows that are personal data, held out); a kind's threshold is the lowest score from which on PRECISION of its held-out
-    rows are, where every row that is counts as HIDDEN of one. A kind that never gets there has no additions."""
-    seen = [(c, n, y) for c, n, y, out in counts if not out]
-    total, yes = sum(n for _, n, _ in seen), sum(y for *_, y in seen)
+def boosted(counts: list[tuple[dict, int, int]]) -> Model:
+    """A model without thresholds from cells (features, rows, rows that are personal data)."""
+    total, yes = sum(n for _, n, _ in counts), sum(y for *_, y in counts)
     model = Model(start=math.log((yes + 1) / (total - yes + 1)))
-    if seen:
-        cells = np.array([[c[f] for f in FEATURES] for c, *_ in seen])
-        n, y = (np.array([x[k] for x in seen], float) for k in (1, 2))
-        raw = np.full(len(seen), model.start)
+    if counts:
+        cells = np.array([[c[f] for f in FEATURES] for c, *_ in counts])
+        n, y = (np.array([x[k] for x in counts], float) for k in (1, 2))
+        raw = np.full(len(counts), model.start)
         for _ in range(ROUNDS if yes else 0):
             p = 1 / (1 + np.exp(-raw))
             model.trees.append(grow(cells, y - n * p, n * p * (1 - p), DEPTH))
-            raw += [_leaf(model.trees[-1], c) for c, *_ in seen]
+            raw += [_leaf(model.trees[-1], c) for c, *_ in counts]
+    return model
+
+
+def merged(counts: list[tuple[dict, int, int, int]]) -> list[tuple[dict, int, int]]:
+    """Cells of several folds as one, in a fixed order."""
+    sums: dict[tuple, list[int]] = {}
+    for c, n, y, _ in counts:
+        both = sums.setdefault(tuple(c[f] for f in FEATURES), [0, 0])
+        both[0] += n
+        both[1] += y
+    return [(dict(zip(FEATURES, key)), *both) for key, both in sorted(sums.items())]
+
+
+def fit(counts: list[tuple[dict, int, int, int]]) -> Model:
+    """Trees from the cells (features, rows, rows that are personal data, fold) of all folds. Thresholds come from all rows too, each scored by trees of the other folds: a kind's is the
+    lowest score from which on PRECISION of its rows are, where every row that is counts as HIDDEN of one. A kind that never gets there has no additions."""
+    model = boosted(merged(counts))
+    scored = []
+    for fold in sorted({out for *_, out in counts}):
+        others = boosted(merged([x for x in counts if x[3] != fold]))
+        scored += [(c["kind"], others.raw(c), n, y) for c, n, y, out in counts if out == fold]
     for k in range(len(KINDS)):
-        tested = sorted(((model.raw(c), n, y) for c, n, y, out in counts if out and c["kind"] == k), key=lambda x: -x[0])
+        tested = sorted((x[1:] for x in scored if x[0] == k), key=lambda x: -x[0])
         rows = hits = 0
         for at, (score, n, y) in enumerate(tested):
             rows, hits = rows + n, hits + y
@@ -269,8 +290,8 @@ def disguised(kind: str, span: Column, way: Column) -> Column:
 
 def examples(docs: DataFrame) -> DataFrame:
     """(features, out, hit) of candidates to learn from: every base match of every document disguised, in its own context (hit), and every
-    candidate of a document that touches no base match (not). A fifth of the documents is held out."""
-    base = with_base(docs).select("doc_id", "text", "base", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("out"))
+    candidate of a document that touches no base match (not), by fold of the document (out)."""
+    base = with_base(docs).select("doc_id", "text", "base", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("out"))
     span = base.select("doc_id", "out", F.explode("base").alias("s")).withColumn("way", F.pmod(F.xxhash64("doc_id", "s.start", F.lit(7)), F.lit(4)))
     hidden = reduce(lambda a, k: a.when(F.col("s.kind") == k, disguised(KINDS[k], F.col("s"), F.col("way"))), range(1, len(KINDS)), F.when(F.col("s.kind") == 0, disguised(KINDS[0], F.col("s"), F.col("way"))))
     clean = lambda c: F.translate(F.coalesce(c, F.lit("")), _JOIN, " ")
@@ -286,7 +307,7 @@ def examples(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of one grouped count over the examples of all documents; there are at most as many groups as the features have combinations, whatever the number of documents."""
+    """The model of one grouped count over the examples of all documents; there are at most FOLDS times as many groups as the features have combinations, whatever the number of documents."""
     rows = examples(docs).groupBy(*FEATURES, "out").agg(F.count("*").alias("n"), F.sum("hit").alias("y")).collect()
     return fit(sorted((({f: r[f] for f in FEATURES}, r["n"], r["y"], r["out"]) for r in rows), key=str))
 
