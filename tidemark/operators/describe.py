@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import population_sd
+from ..functions.expr import correlation, population_sd
 
 
 def finite(c: str):
@@ -64,8 +64,7 @@ def rank_agreement(rows: DataFrame, metrics: list[str], least: int = 3) -> DataF
     keys = ["request_id", "metric", "first", "second"]
     pairs = a.join(b, ["request_id", "metric", "concept_id"]).where("first < second")
     ranked = average_ranks(average_ranks(pairs, keys, "x", "rx"), keys, "y", "ry")
-    varies = (F.stddev_pop("rx") > 1e-12) & (F.stddev_pop("ry") > 1e-12)
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("concepts"), F.when((F.count("*") >= least) & varies, F.corr("rx", "ry")).alias("spearman"))
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("concepts"), correlation("rx", "ry", least).alias("spearman"))
     return out.withColumn("exclusion_reason", F.when(F.col("concepts") < least, "too_few_concepts").when(F.col("spearman").isNull(), "constant"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Rules
-from ..functions.expr import mad_of, median_of, population_sd, reasons
+from ..functions.expr import correlation, mad_of, median_of, population_sd, reasons
 from ..sources.tables import written
 from . import selection
 from .describe import average_ranks
@@ -108,10 +108,9 @@ def store_agreement(first: DataFrame, second: DataFrame, keys: list[str]) -> Dat
     """How two stores (keys, date, value) agree on shared days: correlations, errors, zeros, peaks."""
     rows = first.select(*keys, "date", F.col("value").alias("x")).join(second.select(*keys, "date", F.col("value").alias("y")), [*keys, "date"])
     rows = average_ranks(average_ranks(rows, keys, "x", "rx"), keys, "y", "ry")
-    varies = lambda a, b: (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
     d = F.col("x") - F.col("y")
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("days"), F.when(varies("x", "y"), F.corr("x", "y")).alias("pearson"), F.when(varies("rx", "ry"), F.corr("rx", "ry")).alias("spearman"), F.avg(F.abs(d)).alias("mean_error"), F.sqrt(F.avg(d * d)).alias("root_error"), F.avg(((F.col("x") == 0) == (F.col("y") == 0)).cast("double")).alias("zero_agreement"),
+        F.count("*").alias("days"), correlation("x", "y").alias("pearson"), F.when(correlation("x", "y").isNotNull(), correlation("rx", "ry")).alias("spearman"), F.avg(F.abs(d)).alias("mean_error"), F.sqrt(F.avg(d * d)).alias("root_error"), F.avg(((F.col("x") == 0) == (F.col("y") == 0)).cast("double")).alias("zero_agreement"),
         F.max("x").alias("first_peak"), F.max("y").alias("second_peak"), F.min_by("date", F.struct(-F.col("x"), "date")).alias("first_peak_date"), F.min_by("date", F.struct(-F.col("y"), "date")).alias("second_peak_date"),
     )
     return out.withColumn("peak_displacement", F.datediff("second_peak_date", "first_peak_date")).withColumn("same_peak_date", F.col("first_peak_date") == F.col("second_peak_date"))
