@@ -191,7 +191,8 @@ def searched(shards: DataFrame, asked: DataFrame, on: list[str], k: int, norm: f
                 names = ["query_id", "tag", "vec_id", "score", "computed"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * len(names))], names)
 
-    met = shards.join(asked, on).repartition("width", "pivot", "shard", "block").sortWithinPartitions("width", "pivot", "shard")
+    # never broadcast: what shards take on disk says little about their size in memory, since equal rows and small numbers are written in hardly any space
+    met = shards.hint("merge").join(asked, on).repartition("width", "pivot", "shard", "block").sortWithinPartitions("width", "pivot", "shard")
     columns = ("width", "pivot", "shard", "ids", "vectors", "query_ids", "tags", "query_vectors", "least")
     return met.select(*columns).mapInArrow(run, "query_id long, tag long, vec_id long, score long, computed long")
 
