@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null
+from ..sources.tables import written
 
 PLAN_FIELDS = (
     "request_id",
@@ -48,61 +49,93 @@ def _slot() -> Column:
     return F.concat_ws("/", "role", "panel", "planned_repeat_id")
 
 
-def _row_problems(plan: DataFrame, catalog: DataFrame, design: Design) -> DataFrame:
-    """Rules that a plan row breaks by itself or against its episode in the catalog."""
-    by = catalog.groupBy("episode_id").agg(F.max("status").alias("status"), F.max("episode_start").alias("episode_start"), F.max("episode_end").alias("episode_end"), F.lit(True).alias("known"))
-    rows = plan.join(by, "episode_id", "left")
-    known = F.coalesce("known", F.lit(False))
+def _own_problems(plan: DataFrame, design: Design) -> DataFrame:
+    """Rules that a plan row breaks by itself."""
     listed = F.create_map(*[F.lit(x) for name, concepts in design.panels.items() for x in (name, ";".join(concepts))])
-    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
-    outside = ~(F.col("role").isin(*design.roles) & F.col("panel").isin(*design.panels) & F.col("planned_repeat_id").isin(*design.repeats))
     found = [F.when(blank_to_null(F.col(c).cast("string")).isNull(), F.struct(F.lit("empty_field").alias("kind"), F.lit(c).alias("detail"))) for c in PLAN_FIELDS]
     for kind, condition, detail in (
-        ("not_in_catalog", ~known, F.lit("")),
-        ("not_retained", known & ~F.col("status").eqNullSafe(F.lit(design.retained)), F.col("status")),
-        ("dates_conflict", known & (differs("event_start", "episode_start") | differs("event_end", "episode_end")), F.lit("")),
-        ("outside_design", F.coalesce(outside, F.lit(True)), _slot()),
+        ("outside_design", ~_inside(design), _slot()),
         ("panel_concepts", ~F.col("concept_ids").eqNullSafe(F.try_element_at(listed, F.col("panel"))), F.col("panel")),
         ("terminology", ~F.col("terminology_version").eqNullSafe(F.lit(design.terminology)), F.col("terminology_version")),
         ("backend", ~F.coalesce(F.col("backend").isin(*design.backends), F.lit(False)), F.col("backend")),
     ):
         found.append(F.when(condition, F.struct(F.lit(kind).alias("kind"), F.coalesce(detail, F.lit("")).alias("detail"))))
+    return _each(plan, found)
+
+
+def _catalog_problems(plan: DataFrame, catalog: DataFrame, design: Design) -> DataFrame:
+    """Rules that a plan row breaks against its episode in the catalog; only what they look at is dealt out."""
+    by = catalog.groupBy("episode_id").agg(F.max("status").alias("status"), F.max("episode_start").alias("episode_start"), F.max("episode_end").alias("episode_end"), F.lit(True).alias("known"))
+    rows = plan.select("episode_id", "request_id", "event_start", "event_end").join(by.hint("merge"), "episode_id", "left")  # never broadcast: files of a catalog may be far smaller than its rows
+    known = F.coalesce("known", F.lit(False))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    found = []
+    for kind, condition, detail in (
+        ("not_in_catalog", ~known, F.lit("")),
+        ("not_retained", known & ~F.col("status").eqNullSafe(F.lit(design.retained)), F.coalesce("status", F.lit(""))),
+        ("dates_conflict", known & (differs("event_start", "episode_start") | differs("event_end", "episode_end")), F.lit("")),
+    ):
+        found.append(F.when(condition, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))))
+    return _each(rows, found)
+
+
+def _each(rows: DataFrame, found: list[Column]) -> DataFrame:
     rows = rows.select("episode_id", "request_id", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    return rows.select("x.kind", "episode_id", "request_id", "x.detail")
+    return rows.select("x.kind", F.col("episode_id").cast("string").alias("episode_id"), F.col("request_id").cast("string").alias("request_id"), "x.detail")
+
+
+def _inside(design: Design) -> Column:
+    """Whether a row is in a slot of the design; not, if one of its fields is null."""
+    return F.coalesce(F.col("role").isin(*design.roles) & F.col("panel").isin(*design.panels) & F.col("planned_repeat_id").isin(*design.repeats), F.lit(False))
+
+
+def _request_problems(rows: DataFrame) -> DataFrame:
+    """Repeats that a request has twice, and requests whose rows differ in more than the repeat. rows: request_id, planned_repeat_id, episode_id, and s1 and s2, 128 bits of hash of the other fields."""
+    each = rows.groupBy("request_id", "planned_repeat_id").agg(F.count("*").alias("n"), F.min("episode_id").alias("e"), *[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for n, f in (("a", F.min), ("b", F.max))])
+    again = F.collect_list(F.when(F.col("n") > 1, F.struct(F.lit("repeated_request").alias("kind"), F.col("e").cast("string").alias("e"), F.col("planned_repeat_id").cast("string").alias("detail"))))
+    changes = (F.min("a_s1") != F.max("b_s1")) | (F.min("a_s2") != F.max("b_s2"))
+    by = each.groupBy("request_id").agg(again.alias("again"), changes.alias("changes"), F.min("e").alias("e"))
+    changed = F.when(F.col("changes"), F.array(F.struct(F.lit("request_changes").alias("kind"), F.col("e").cast("string").alias("e"), F.lit("").alias("detail")))).otherwise(F.array())
+    found = by.where("changes or size(again) > 0").select("request_id", F.explode(F.concat("again", changed)).alias("x"))
+    return found.select("x.kind", F.col("x.e").alias("episode_id"), F.col("request_id").cast("string").alias("request_id"), "x.detail")
 
 
 def design_violations(plan: DataFrame, catalog: DataFrame, design: Design) -> DataFrame:
     """(kind, episode_id, request_id, detail) of everything that keeps a plan from being the design over the catalog.
 
-    The division of the plan by the design is one aggregate: an episode's slots inside the design, of which there are never
-    more than the design has, are subtracted from it. Null and blank fields break empty_field; an empty plan breaks no_episode.
+    The division of the plan by the design is one aggregate: rows of an episode are counted for each slot of the design, so that one row of an episode is dealt
+    out, whatever the number of its rows in a task. Null and blank fields break empty_field; an empty plan breaks no_episode.
     """
     none = F.lit(None).cast("string")
     row = lambda df, kind, episode, request, detail: df.select(F.lit(kind).alias("kind"), episode.cast("string").alias("episode_id"), request.cast("string").alias("request_id"), detail.cast("string").alias("detail"))
-    one = _row_problems(plan, catalog, design)
-
-    twice = plan.groupBy("request_id", "planned_repeat_id").agg(F.min("episode_id").alias("e"), F.count("*").alias("n")).where("n > 1")
-    out = one.unionByName(row(twice, "repeated_request", F.col("e"), F.col("request_id"), F.col("planned_repeat_id")))
-
-    signature = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in PLAN_FIELDS if c != "planned_repeat_id"]), {"ignoreNullFields": "false"}), 256)
-    changed = plan.groupBy("request_id").agg(F.min("episode_id").alias("e"), F.min(signature).alias("a"), F.max(signature).alias("b")).where("a <> b")
-    out = out.unionByName(row(changed, "request_changes", F.col("e"), F.col("request_id"), F.lit("")))
-
-    slots = plan.groupBy("episode_id", "role", "panel", "planned_repeat_id").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_pair"), F.max("pair_id").alias("last_pair"))
-    out = out.unionByName(row(slots.where("n > 1"), "repeated_slot", F.col("episode_id"), none, _slot()))
-
-    wanted = F.array(*[F.lit("/".join(s)) for s in design.slots()])
-    inside = F.when(F.array_contains(wanted, _slot()), _slot())
-    by = slots.groupBy("episode_id").agg(F.collect_set(inside).alias("there"), F.min("first_pair").alias("a"), F.max("last_pair").alias("b"))
-    missing = F.array_join(F.array_except(wanted, F.col("there")), ";")
+    out = _own_problems(plan, design).unionByName(_catalog_problems(plan, catalog, design))
+
+    # a hash passes nulls over, so that where they are is hashed too
+    fields = [F.col(c).cast("string") for c in PLAN_FIELDS if c != "planned_repeat_id"]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in fields])
+    rows = plan.select("request_id", "planned_repeat_id", "episode_id", F.xxhash64(nulls, *fields).alias("s1"), F.xxhash64(F.lit("2"), nulls, *fields).alias("s2"))
+    # rows of a request are dealt out once; those without an id, which may be many, are first added up where they are
+    named = blank_to_null(F.col("request_id").cast("string")).isNotNull()
+    out = out.unionByName(_request_problems(rows.where(named).repartition("request_id"))).unionByName(_request_problems(rows.where(~named)))
+
+    slots = design.slots()
+    here = lambda r, p, n: F.count_if((F.col("role") == r) & (F.col("panel") == p) & (F.col("planned_repeat_id") == n))
+    by = plan.groupBy("episode_id").agg(*[here(*s).alias(f"n{i}") for i, s in enumerate(slots)])
+    which = lambda f: F.array_compact(F.array(*[F.when(f(F.col(f"n{i}")), F.lit("/".join(s))) for i, s in enumerate(slots)]))
+    missing = F.array_join(which(lambda n: n == 0), ";")
     out = out.unionByName(row(by.where(missing != ""), "incomplete_design", F.col("episode_id"), none, missing))
-    out = out.unionByName(row(by.where("a is null or a <> b"), "several_pairs", F.col("episode_id"), none, F.lit("")))
-
-    shared = plan.groupBy("pair_id").agg(F.min("episode_id").alias("a"), F.max("episode_id").alias("b")).where("a <> b and pair_id is not null")
+    out = out.unionByName(row(by.select("episode_id", F.explode(which(lambda n: n > 1)).alias("slot")), "repeated_slot", F.col("episode_id"), none, F.col("slot")))
+    beside = plan.where(~_inside(design)).groupBy("episode_id", "role", "panel", "planned_repeat_id").agg(F.count("*").alias("n"))
+    out = out.unionByName(row(beside.where("n > 1"), "repeated_slot", F.col("episode_id"), none, _slot()))
+
+    pairs = plan.select("episode_id", "pair_id").distinct()
+    several = pairs.groupBy("episode_id").agg(F.count("pair_id").alias("n"))
+    out = out.unionByName(row(several.where("n <> 1"), "several_pairs", F.col("episode_id"), none, F.lit("")))
+    shared = pairs.where("pair_id is not null").groupBy("pair_id").agg(F.count("episode_id").alias("n")).where("n > 1")
     out = out.unionByName(row(shared, "shared_pair", none, none, F.col("pair_id")))
     again = catalog.groupBy("episode_id").agg(F.count("*").alias("n")).where("n > 1")
     out = out.unionByName(row(again, "repeated_in_catalog", F.col("episode_id"), none, F.lit("")))
-    total = by.agg(F.count("*").alias("n"))
+    total = several.agg(F.count("*").alias("n"))
     out = out.unionByName(row(total.where("n = 0"), "no_episode", none, none, F.lit("")))
     if design.most_episodes is not None:
         out = out.unionByName(row(total.where(F.col("n") > design.most_episodes), "too_many_episodes", none, none, F.col("n")))
@@ -144,6 +177,7 @@ def lineage_violations(base: DataFrame, plan: DataFrame) -> DataFrame:
 
 def samples(violations: DataFrame, kind: str, order: tuple[str, ...], each: int = 20) -> DataFrame:
     """The first few violations of each kind in a fixed order, numbered, and how many there are: what a report shows, whatever their number."""
+    violations = written(violations, "violations")  # read twice, and much dearer to find than to keep
     total = violations.groupBy(kind).agg(F.count("*").alias("of"))
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
     return violations.withColumn("place", place).where(F.col("place") <= each).join(total, kind)
@@ -156,8 +190,9 @@ def guarded(rows: DataFrame, violations: DataFrame, what: str, shown: int = 20)
     rows, and making it raises the error. Nothing is collected before a result is asked for.
     """
     line = F.to_json(F.struct(*[F.col(c) for c in violations.columns]))
-    first = violations.select(line.alias("v")).orderBy("v").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("v")), " ").alias("first"))
-    counted = violations.agg(F.count("*").alias("n")).crossJoin(first)  # one row each
+    lines = violations.select(line.alias("v"))
+    first = lines.orderBy("v").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("v")), " ").alias("first"))
+    counted = lines.agg(F.count("v").alias("n")).crossJoin(first)  # one row each; of the same lines, so that Spark makes what stands under them once
     text = F.concat(F.lit(f"{what}: "), F.col("n"), F.lit(" violations, "), F.col("first"))
     sound = counted.select(F.when(F.col("n") > 0, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)).alias("_sound"))
     return rows.join(F.broadcast(sound), F.col("_sound")).drop("_sound")
