@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,10 +192,17 @@ def guarded(rows: DataFrame, violations: DataFrame, what: str, shown: int = 20)
     The check is part of the plan: one row, made by an aggregate that keeps no more than shown violations, is joined to all
     rows, and making it raises the error. Nothing is collected before a result is asked for.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first = 0, []
+        for batch in batches:
+            n += len(batch)
+            first = heapq.nsmallest(shown, first + batch.column("v").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.string()))], ["n", "first"])
+
+    # one pass: a row of each task, with no more than shown violations
     line = F.to_json(F.struct(*[F.col(c) for c in violations.columns]))
-    lines = violations.select(line.alias("v"))
-    first = lines.orderBy("v").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("v")), " ").alias("first"))
-    counted = lines.agg(F.count("v").alias("n")).crossJoin(first)  # one row each; of the same lines, so that Spark makes what stands under them once
+    some = violations.select(line.alias("v")).mapInArrow(run, "n long, first array<string>")
+    counted = some.agg(F.sum("n").alias("n"), F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, shown), " ").alias("first"))
     text = F.concat(F.lit(f"{what}: "), F.col("n"), F.lit(" violations, "), F.col("first"))
     sound = counted.select(F.when(F.col("n") > 0, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)).alias("_sound"))
     return rows.join(F.broadcast(sound), F.col("_sound")).drop("_sound")
